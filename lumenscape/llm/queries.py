@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenscape.llm.circulant_minhash import near_duplicates
 from lumenscape.llm.common import read_table
+from lumenscape.llm.order_minhash import order_minhash
+from lumenscape.llm.packing import pack_documents
+
+
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +21,15 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_vector_packing": op3_vector_packing,
         "op7_circulant_minhash": op7_circulant_minhash,
+        "op8_order_minhash": op8_order_minhash,
     }
 
 
