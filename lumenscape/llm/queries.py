@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenscape.llm.circulant_minhash import near_duplicates
 from lumenscape.llm.common import read_table
+from lumenscape.llm.graph_dedup import near_vectors
 from lumenscape.llm.order_minhash import order_minhash
 from lumenscape.llm.packing import pack_documents
 
 
+def op1_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_graph_dedup": op1_graph_dedup,
         "op3_vector_packing": op3_vector_packing,
         "op7_circulant_minhash": op7_circulant_minhash,
         "op8_order_minhash": op8_order_minhash,
