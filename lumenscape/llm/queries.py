@@ -11,12 +11,18 @@ from lumenscape.llm.common import read_table
 from lumenscape.llm.graph_dedup import near_vectors
 from lumenscape.llm.order_minhash import order_minhash
 from lumenscape.llm.packing import pack_documents
+from lumenscape.llm.toxicity import toxicity
 
 
 def op1_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_graph_dedup": op1_graph_dedup,
         "op3_vector_packing": op3_vector_packing,
+        "op5_crf_toxicity": op5_crf_toxicity,
         "op7_circulant_minhash": op7_circulant_minhash,
         "op8_order_minhash": op8_order_minhash,
     }
