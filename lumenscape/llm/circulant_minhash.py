@@ -100,8 +100,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     filled = feats.where("n_shingles > 0 and id is not null")
     classes = materialise(spark, filled.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.min("bands").alias("bands")), "classes")
     # an id with several texts belongs to several classes: they are linked by the shared id
-    same_id = filled.select("id", "d1", "d2", "n_shingles").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    keyed = classes.select("rep", F.explode("bands").alias("bucket"))
+    same_id = filled.groupBy("id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi")
+    repeated = not same_id.isEmpty()
+    keyed = classes.select("rep", F.explode(F.array_distinct("bands")).alias("bucket")).distinct() if repeated else classes.select("rep", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("bucket")
     members = materialise(spark, keyed.join(shared, "bucket").select("bucket", F.col("rep").alias("id")), "members")
     wanted = members.select("id").distinct()
@@ -117,10 +118,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         return near.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b")
 
     comp = link_buckets(spark, members, verify)
-    if not same_id.isEmpty():
+    if repeated:
         ties = filled.join(same_id.select("id"), "id").join(classes.drop("bands"), ["d1", "d2", "n_shingles"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-        comp = materialise(spark, connected_components(spark, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ties)), "comp")
-    heads = materialise(spark, classes.drop("bands").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "heads")
+        comp = connected_components(spark, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ties))
+    heads = (classes.drop("bands").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     joined = feats.drop("bands").join(heads, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(component)

@@ -32,10 +32,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(spark: SparkSession, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    few: rows are narrow (ids), so the last stage uses at most four tasks a core and leaves as many files.
+    """
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -115,31 +118,29 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     """(a, b) links -> (id, component): the smallest id reachable, for every id with a link.
 
     Alternating large and small stars, each a grouped minimum and a join; edges shrink to one star
-    per component. Hubs are split by adaptive skew joins; nothing is collected but a checksum.
+    per component. Hubs are split by adaptive skew joins; nothing is collected.
     """
-    e = materialise(spark, edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    e = materialise(spark, pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges", few=True)
 
-    def checksum(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def stars(df: DataFrame) -> bool:
+        """Every node hangs on one centre, and no centre hangs on another."""
+        roles = df.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(df.select("v", F.lit(0), F.lit(1)))
+        return roles.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf = 1 and centre = 1").isEmpty()
 
-    last = checksum(e)
-    if last[0] == 0:
-        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(max_rounds):
+        if stars(e):
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(spark, large, "cc-large")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = materialise(spark, large, "cc-large", few=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = materialise(spark, small, "cc-edges")
-        now = checksum(new)
+        new = materialise(spark, small, "cc-edges", few=True)
         forget(spark, e)
         forget(spark, large)
         e = new
-        if now == last:
-            break
-        last = now
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     centres = e.select(F.col("v").alias("id")).distinct()
@@ -149,24 +150,23 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
 def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 4) -> DataFrame:
     """Components of ids that share buckets and pass verify(), without all pairs of a bucket.
 
-    members: (bucket, id), buckets of two ids or more. verify: (a, b) pairs -> the linked ones.
+    members: a table of (bucket, id) without repeats, buckets of two ids or more. verify: (a, b) pairs -> the linked ones.
     A star round tests each bucket's pivot against its other ids; ids of one component need no test.
     The pivot of a later round comes from another component than the bucket's first one. The last
     round tests every pair of different components left in a bucket that was not tested before, so
     no link is lost; a group of near copies is one component by then.
     Returns (id, component) for linked ids.
     """
-    members = materialise(spark, members.distinct(), "members")
     sizes = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = members.join(sizes, "bucket").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    tested = materialise(spark, pairs, "tested")
-    links = materialise(spark, verify(tested), "links")
-    comp = materialise(spark, connected_components(spark, links), "comp")
+    tested = materialise(spark, pairs, "tested", few=True)
+    links = materialise(spark, verify(tested), "links", few=True)
+    comp = connected_components(spark, links)
     star, round_no = True, 0
     while True:
         known = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         spread = known.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        open_ = materialise(spark, known.join(spread.select("bucket", "c0"), "bucket"), "open")
+        open_ = materialise(spark, known.join(spread.select("bucket", "c0"), "bucket"), "open", few=True)
         if open_.isEmpty():
             break
         round_no += 1
@@ -176,7 +176,7 @@ def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[Data
             others = others.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x", F.lit(round_no)).alias("h"), "x", "cx")).alias("p")).select("bucket", "p.x", "p.cx")
         cross = open_.join(others, "bucket").where("component <> cx").select("x", F.col("id").alias("y"))
         pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialise(spark, pairs, "tested")
+        fresh = materialise(spark, pairs, "tested", few=True)
         forget(spark, open_)
         if fresh.isEmpty():
             if not star:
@@ -184,10 +184,10 @@ def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[Data
             star = False
             continue
         tested = tested.union(fresh)
-        found = materialise(spark, verify(fresh), "links")
+        found = materialise(spark, verify(fresh), "links", few=True)
         if not found.isEmpty():
             links = links.union(found)
-            comp = materialise(spark, connected_components(spark, links), "comp")
+            comp = connected_components(spark, links)
         if not star:
             break
     return comp

@@ -212,7 +212,7 @@ def near_vectors(spark: SparkSession, table: DataFrame, id_col: str = "vec_id",
         recall = found / n_truth if n_truth else 1.0
         if recall >= WANTED_RECALL or overlap >= k:
             break
-    comp = materialise(spark, connected_components(spark, links.where("a < b")), "comp")
+    comp = connected_components(spark, links.where("a < b"))
     counts = links.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("linked"))
     state = classes.join(counts, "id", "left").join(comp, "id", "left")
     state = state.select("vec", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
