@@ -147,14 +147,15 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(centres.select("id", F.col("id").alias("component")))
 
 
-def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 4) -> DataFrame:
+def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None, star_rounds: int = 4) -> DataFrame:
     """Components of ids that share buckets and pass verify(), without all pairs of a bucket.
 
     members: a table of (bucket, id) without repeats, buckets of two ids or more. verify: (a, b) pairs -> the linked ones.
-    A star round tests each bucket's pivot against its other ids; ids of one component need no test.
-    The pivot of a later round comes from another component than the bucket's first one. The last
-    round tests every pair of different components left in a bucket that was not tested before, so
-    no link is lost; a group of near copies is one component by then.
+    A first star round tests each bucket's smallest id against its other ids; ids of one component
+    need no further test. Without rest() more star rounds follow, whose pivots come from other components
+    than the bucket's first one. The last round tests what rest() proposes for the (bucket, id, component, c0) rows of buckets that still
+    hold several components: every pair that can be a link, of different components. Without rest()
+    that is every such pair of a bucket. So no link is lost; a group of near copies is one component by then.
     Returns (id, component) for linked ids.
     """
     sizes = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -162,7 +163,7 @@ def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[Data
     tested = materialise(spark, pairs, "tested", few=True)
     links = materialise(spark, verify(tested), "links", few=True)
     comp = connected_components(spark, links)
-    star, round_no = True, 0
+    star, round_no = rest is None, 0
     while True:
         known = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         spread = known.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
@@ -171,10 +172,13 @@ def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[Data
             break
         round_no += 1
         star = star and round_no < star_rounds
-        others = open_.where("component <> c0").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-        if star:
-            others = others.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x", F.lit(round_no)).alias("h"), "x", "cx")).alias("p")).select("bucket", "p.x", "p.cx")
-        cross = open_.join(others, "bucket").where("component <> cx").select("x", F.col("id").alias("y"))
+        if star or rest is None:
+            others = open_.where("component <> c0").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
+            if star:
+                others = others.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x", F.lit(round_no)).alias("h"), "x", "cx")).alias("p")).select("bucket", "p.x", "p.cx")
+            cross = open_.join(others, "bucket").where("component <> cx").select("x", F.col("id").alias("y"))
+        else:
+            cross = rest(open_)
         pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         fresh = materialise(spark, pairs, "tested", few=True)
         forget(spark, open_)
