@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenscape.llm.circulant_minhash import near_duplicates
-from lumenscape.llm.common import read_table
+from lumenscape.llm.common import new_folder, read_table
 from lumenscape.llm.graph_dedup import near_vectors
+from lumenscape.llm.language_id import languages
 from lumenscape.llm.order_minhash import order_minhash
 from lumenscape.llm.packing import pack_documents
+from lumenscape.llm.secret_ledger import BASE_RULES, scan_versions
 from lumenscape.llm.toxicity import toxicity
 
 
@@ -23,10 +25,24 @@ def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = scan_versions(spark, docs, new_folder(spark, "ledger"), ["doc_id"])
+    kinds = [r.kind for r in BASE_RULES]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("found", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, read_table(spark, sf_dir, "documents"), percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -39,8 +55,10 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_graph_dedup": op1_graph_dedup,
+        "op2_secret_ledger": op2_secret_ledger,
         "op3_vector_packing": op3_vector_packing,
         "op5_crf_toxicity": op5_crf_toxicity,
+        "op6_byte_cnn_language": op6_byte_cnn_language,
         "op7_circulant_minhash": op7_circulant_minhash,
         "op8_order_minhash": op8_order_minhash,
     }
