@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenscape.llm.circulant_minhash import near_duplicates
-from lumenscape.llm.common import new_folder, read_table
+from lumenscape.llm.common import materialise, new_folder, read_table
 from lumenscape.llm.graph_dedup import near_vectors
 from lumenscape.llm.language_id import languages
+from lumenscape.llm.mixing import document_items, document_sql, mix
 from lumenscape.llm.order_minhash import order_minhash
 from lumenscape.llm.packing import pack_documents
 from lumenscape.llm.secret_ledger import BASE_RULES, scan_versions
+from lumenscape.llm.token_rollup import LETTER_RUNS, PIECES, SQL, WORDS, Rollup, count_matches, document_rollup
 from lumenscape.llm.toxicity import toxicity
 
 
@@ -20,6 +22,10 @@ def op1_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, document_items(read_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
@@ -55,17 +61,26 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash(read_table(spark, sf_dir, "documents"))
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    counts = [F.coalesce(count_matches(F.col("text"), p), F.lit(0)).alias(n) for n, p in (("words", WORDS), ("runs", LETTER_RUNS), ("pieces", PIECES))]
+    counted = materialise(spark, docs.select("doc_id", "source", "lang", *counts), "counted")
+    return document_rollup(Rollup(spark, new_folder(spark, "rollup")), counted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_graph_dedup": op1_graph_dedup,
         "op2_secret_ledger": op2_secret_ledger,
         "op3_vector_packing": op3_vector_packing,
+        "op4_hierarchical_mix": op4_hierarchical_mix,
         "op5_crf_toxicity": op5_crf_toxicity,
         "op6_byte_cnn_language": op6_byte_cnn_language,
         "op7_circulant_minhash": op7_circulant_minhash,
         "op8_order_minhash": op8_order_minhash,
+        "op9_token_rollup": op9_token_rollup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_hierarchical_mix": document_sql(), "op9_token_rollup": SQL}
