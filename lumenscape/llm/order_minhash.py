@@ -1,9 +1,9 @@
 """Order MinHash fingerprints with built-in functions only.
 
-A text is cut into short units (runs of up to four non-space characters, so a word gives one or
+A text is cut into short units (runs of up to eight non-space characters, so a word gives one or
 more and a text without spaces still gives many). Every run of `k` units is a k-mer; a k-mer that
 comes again gets the next occurrence number, so repeats count. One hash of (k-mer, occurrence) deals
-the k-mers into slots and orders them there; the two smallest of a slot, put back in text order,
+the k-mers into 64 slots and orders them there; the two smallest of a slot, put back in text order,
 are hashed together. Equal slots need the same k-mers in the same order, so a fingerprint follows
 edit distance rather than set overlap. Everything of one text happens in array expressions of its
 own row: no rows are exploded and nothing is shuffled for a fingerprint.
@@ -13,23 +13,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLOTS, K = 64, 4
+K = 3
 _POS_BITS = 26  # units of a text that positions can hold: 67 million
 _POS = (1 << _POS_BITS) - 1
-_PRIO = 0x7FFFFFFF
-_SLOT_SHIFT = 57
+_PRIO = 0xFFFFFFFF
+_SLOT_SHIFT = 58  # 64 slots
 
 
 def units(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(\S{1,4})"), F.lit(1))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,8}"), F.lit(0)), lambda x: F.xxhash64(x))
 
 
 def _hashed_kmers(u: Column, k: int) -> Column:
-    """38 bits of each k-mer's hash over 26 bits of its position; fewer than k units: one k-mer of all."""
-    whole = F.array(F.xxhash64(F.concat_ws(" ", u)).bitwiseAND(~_POS))
+    """38 bits of each k-mer's hash over 26 bits of its position; u: hashes of the units. Under k units: one k-mer of all."""
+    whole = F.array(F.xxhash64(F.array_join(F.transform(u, lambda x: x.cast("string")), " ")).bitwiseAND(~_POS))
     runs = F.transform(
-        F.sequence(F.lit(0), F.size(u) - k),
-        lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(k)]).bitwiseAND(~_POS).bitwiseOR(i.cast("long")),
+        F.slice(u, F.lit(1), F.greatest(F.size(u) - (k - 1), F.lit(0))),
+        lambda x, i: F.xxhash64(x, *[F.get(u, i + j) for j in range(1, k)]).bitwiseAND(~_POS).bitwiseOR(i.cast("long")),
     )
     return F.when(F.size(u) >= k, runs).when(F.size(u) > 0, whole).otherwise(F.array().cast("array<long>"))
 
@@ -43,25 +43,26 @@ def _repeats(ordered: Column) -> Column:
     return F.filter(F.sequence(F.lit(1), F.size(ordered) - 1), lambda i: _same_kmer(F.get(ordered, i), F.get(ordered, i - 1)))
 
 
-def _run_starts(rep: Column) -> Column:
-    """For each repeat, where its run of neighbouring indexes starts in `rep`: a running maximum by doubling steps."""
+def _occurrences(rep: Column) -> Column:
+    """Occurrence number of each repeat: its place in its run of neighbouring indexes.
+
+    Where a run starts in `rep` is a running maximum, found by doubling steps.
+    """
     first = F.transform(rep, lambda x, j: F.when((j > 0) & (F.get(rep, j - 1) == x - 1), F.lit(0)).otherwise(j))
     steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(rep).cast("double"))).cast("int")), lambda s: F.pow(F.lit(2.0), s).cast("int"))
-    return F.aggregate(steps, first, lambda acc, step: F.transform(acc, lambda x, j: F.greatest(x, F.coalesce(F.get(acc, F.when(j >= step, j - step)), F.lit(0)))))
+    starts = F.aggregate(steps, first, lambda acc, step: F.transform(acc, lambda x, j: F.greatest(x, F.coalesce(F.get(acc, F.when(j >= step, j - step)), F.lit(0)))))
+    return F.transform(starts, lambda x, j: j - x + 1)
 
 
-def _slotted(ordered: Column, rep: Column, starts: Column, slots: int) -> Column:
-    """Slot, priority and position of every (k-mer, occurrence) in one long, ascending."""
+def _with_repeats(ordered: Column, firsts: Column, rep: Column, occurrences: Column) -> Column:
+    """Every (k-mer, occurrence) in one long, ascending: slot, priority and position. Repeats are hashed anew."""
 
-    def pack(kmer: Column, occurrence: Column) -> Column:
-        h = F.xxhash64(F.shiftright(kmer, _POS_BITS), occurrence)
-        slot = F.shiftleft(h.bitwiseAND(slots - 1), _SLOT_SHIFT)
-        prio = F.shiftleft(F.shiftright(h, 20).bitwiseAND(_PRIO), _POS_BITS)
-        return slot.bitwiseOR(prio).bitwiseOR(kmer.bitwiseAND(_POS))
+    def again(i: Column, occurrence: Column) -> Column:
+        kmer = F.get(ordered, i)
+        return F.coalesce(F.xxhash64(F.shiftright(kmer, _POS_BITS), occurrence).bitwiseAND(~_POS).bitwiseOR(kmer.bitwiseAND(_POS)), F.lit(0).cast("long"))
 
-    firsts = F.transform(F.filter(ordered, lambda x, i: (i == 0) | ~_same_kmer(x, F.get(ordered, i - 1))), lambda x: pack(x, F.lit(0)))
-    again = F.transform(rep, lambda i, j: pack(F.get(ordered, i), j - F.get(starts, j) + 1))
-    return F.when(F.size(rep) > 0, F.concat(firsts, again)).otherwise(firsts)
+    # zip_with takes the occurrences outside its lambda, so that they are worked out once
+    return F.when(F.size(rep) > 0, F.sort_array(F.concat(firsts, F.zip_with(rep, occurrences, again)))).otherwise(firsts)
 
 
 def _slot(x: Column) -> Column:
@@ -79,20 +80,21 @@ def _tuples(kept: Column) -> Column:
         forward = x.bitwiseAND(_POS) < other.bitwiseAND(_POS)
         pair = F.when(other.isNull(), F.xxhash64(prio(x))).when(forward, F.xxhash64(prio(x), prio(other))).otherwise(F.xxhash64(prio(other), prio(x)))
         first = (i == 0) | (_slot(F.get(kept, i - 1)) != _slot(x))
-        return F.when(first, F.shiftleft(_slot(x), 32).bitwiseOR(pair.bitwiseAND(0xFFFFFFFF)))
+        return F.when(first, F.shiftleft(_slot(x).bitwiseAND(63), 32).bitwiseOR(pair.bitwiseAND(0xFFFFFFFF)))
 
     return F.filter(F.transform(kept, entry), lambda x: x.isNotNull())
 
 
-def with_signature(df: DataFrame, text_col: str, out: str, k: int = K, slots: int = SLOTS) -> DataFrame:
+def with_signature(df: DataFrame, text_col: str, out: str, k: int = K) -> DataFrame:
     """Add array<long> `out`: at most one entry per slot, ascending. Null and white-space texts: empty."""
-    u, h, r, s, p = (f"__{out}_{x}" for x in "uhrsp")
+    u, h, f, r, s, p = (f"__{out}_{x}" for x in "uhfrsp")
     none = F.array().cast("array<int>")
     df = df.withColumn(u, units(F.coalesce(F.col(text_col), F.lit(""))))
     df = df.withColumn(h, F.sort_array(_hashed_kmers(F.col(u), k))).drop(u)
-    df = df.withColumn(r, F.when(F.size(h) > 1, _repeats(F.col(h))).otherwise(none))
-    df = df.withColumn(s, F.when(F.size(r) > 0, _run_starts(F.col(r))).otherwise(none))
-    df = df.withColumn(p, F.sort_array(_slotted(F.col(h), F.col(r), F.col(s), slots))).drop(h, r, s)
+    df = df.withColumn(f, F.filter(F.col(h), lambda x, i: (i == 0) | ~_same_kmer(x, F.get(F.col(h), i - 1))))
+    df = df.withColumn(r, F.when(F.size(f) < F.size(h), _repeats(F.col(h))).otherwise(none))
+    df = df.withColumn(s, F.when(F.size(r) > 0, _occurrences(F.col(r))).otherwise(none))
+    df = df.withColumn(p, _with_repeats(F.col(h), F.col(f), F.col(r), F.col(s))).drop(h, f, r, s)
     two = F.filter(F.col(p), lambda x, i: (i < 2) | (_slot(F.get(F.col(p), i - 2)) != _slot(x)))
     df = df.withColumn(p, two)
     return df.withColumn(out, _tuples(F.col(p))).drop(p)
@@ -135,7 +137,7 @@ def with_next_document(docs: DataFrame, columns: list[str], buckets: int = 64) -
     return led.where("guest = 0").drop("guest")
 
 
-def order_minhash(docs: DataFrame, k: int = K, slots: int = SLOTS) -> DataFrame:
+def order_minhash(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text: the last floor(n_chars/4) code points replaced by the first as many (or all) of
@@ -144,13 +146,13 @@ def order_minhash(docs: DataFrame, k: int = K, slots: int = SLOTS) -> DataFrame:
     come out once each; an empty table gives an empty result; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = with_signature(base, "text", "sig", k, slots)
+    base = with_signature(base, "text", "sig", k)
     led = with_next_document(base, ["text", "sig"])
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
     led = led.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sig", "next_sig")
-    led = with_signature(led, "edited", "edited_sig", k, slots)
+    led = with_signature(led, "edited", "edited_sig", k)
     return led.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text("sig").alias("fingerprint"), as_text("edited_sig").alias("edited_fingerprint"),
