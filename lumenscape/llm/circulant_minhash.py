@@ -11,9 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenscape.llm.common import WordHashes, ascii_words, connected_components, link_buckets, materialise, mix64, shingle_set
+from lumenscape.llm.common import WordHashes, ascii_words, connected_components, link_buckets, materialise, mix64, prefix_pairs, shingle_set
 
 #: 24 bands of 5: a pair at Jaccard 0.85 is missed with probability 1e-6, at 0.8 with 1e-4.
 BANDS, ROWS = 24, 5
@@ -87,29 +87,6 @@ def shingle_table(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<long>")
 
 
-def prefix_pairs(spark: SparkSession, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of different components that can reach the similarity, by exact prefix and position filters.
-
-    Shingles are ranked rarest first. Two sets that reach the similarity share a shingle of their
-    prefixes, and enough of what follows it. Texts with shingles of their own drop out here, so the
-    edges of a large group of near copies are not compared with all of it.
-    """
-    ids = rows.groupBy("id").agg(F.min("component").alias("component"))
-    each = materialise(spark, sets.join(ids, "id").select("id", "component", F.size("s").alias("n"), F.explode("s").alias("token")), "tokens")
-    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token", "df")
-    ranked = each.join(common, "token").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    need = F.ceil(F.col("n") * percent / 100)
-    own = F.col("n") - F.size("t")  # shingles of no other text, ahead of all others in rank
-    cut = F.slice("t", F.lit(1), F.greatest(F.lit(0), (F.col("n") - need + 1 - own).cast("int")))
-    prefixes = ranked.select("id", "component", "n", own.alias("own"), F.posexplode(cut).alias("i", "t"))
-    prefixes = materialise(spark, prefixes.select("id", "component", "n", (F.col("own") + F.col("i")).alias("at"), F.col("t.token").alias("token")), "prefixes")
-    first = prefixes.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token", "c0")
-    other = prefixes.join(first, "token").where("component <> c0").select("token", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    reach = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) * (100 + percent) >= (F.col("n") + F.col("nx")) * percent
-    sizes = F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent
-    return other.join(prefixes, (other.token == prefixes.token) & (F.col("component") != F.col("cx")) & reach & sizes).select("x", F.col("id").alias("y"))
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 
@@ -140,7 +117,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         near = sized.where(small * 100 >= large * percent).select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
         return near.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b")
 
-    comp = link_buckets(spark, members, verify, lambda open_: prefix_pairs(spark, open_, sets, percent))
+    def reach(left: Column, n: Column, m: Column) -> Column:
+        return (left * (100 + percent) >= (n + m) * percent) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+
+    comp = link_buckets(spark, members, verify, lambda open_: prefix_pairs(spark, open_, sets, lambda n: F.ceil(n * percent / 100), reach))
     if repeated:
         ties = filled.join(same_id.select("id"), "id").join(classes.drop("bands"), ["d1", "d2", "n_shingles"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
         comp = connected_components(spark, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ties))

@@ -10,6 +10,7 @@ from lumenscape.llm.circulant_minhash import near_duplicates
 from lumenscape.llm.common import materialise, new_folder, read_table
 from lumenscape.llm.graph_dedup import near_vectors
 from lumenscape.llm.language_id import languages
+from lumenscape.llm.line_dedup import line_report
 from lumenscape.llm.mixing import document_items, document_sql, mix
 from lumenscape.llm.order_minhash import order_minhash
 from lumenscape.llm.packing import pack_documents
@@ -68,6 +69,10 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_rollup(Rollup(spark, new_folder(spark, "rollup")), counted)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_graph_dedup": op1_graph_dedup,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_circulant_minhash": op7_circulant_minhash,
         "op8_order_minhash": op8_order_minhash,
         "op9_token_rollup": op9_token_rollup,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 

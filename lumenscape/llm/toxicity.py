@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lumenscape.llm.common import id_crc32
 
@@ -238,15 +238,13 @@ def fit_on_documents(docs: DataFrame, labels: DataFrame, eligible: Column) -> Fi
     return fit([(row["text"], row["toxic"]) for row in sorted(got, key=lambda row: (row["r"], row["doc_id"], row["toxic"]))])
 
 
-SCORES = "id long, score double, spans array<struct<start:int,end:int,chance:double>>"
-
-
-def score_documents(spark: SparkSession, docs: DataFrame, model: Field) -> DataFrame:
-    """docs with score (0 to 1) and spans (code points of toxic runs, end exclusive) added."""
+def score_documents(spark: SparkSession, docs: DataFrame, model: Field, score_col: str = "score", spans_col: str = "spans") -> DataFrame:
+    """docs with a score (0 to 1) and spans (code points of toxic runs, end exclusive) added."""
     shared = spark.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())]))
     text_at = docs.columns.index("text")
-    schema = f"{docs._jdf.schema().toDDL()}, score double, spans array<struct<start:int,end:int,chance:double>>"
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("chance", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(spans_col, T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field_ = shared.value
@@ -266,7 +264,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Field) -> DataF
                 for i, text in enumerate(texts):
                     mine = hot[owner == i] - (ends[i] - lengths[i]) if len(hot) else ()
                     spans.append(_spans(text, set(mine), p[ends[i] - lengths[i] : ends[i]]) if len(mine) else [])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(spans, span_type)], names=[*batch.schema.names, "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(spans, span_type)], names=[*batch.schema.names, score_col, spans_col])
 
     return docs.mapInArrow(run, schema)
 
