@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from lumenscape.llm.common import id_crc32
 
 #: Bounds of the fit: labelled documents of each class, and their length.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 12_000
 #: Tokens of one training window.
 WINDOW = 64
 #: Evidence that makes a word or prefix a label: toxic documents that have it, and log-odds.
@@ -123,29 +123,24 @@ def summaries(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(docs: list[list[str]], labels: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids: dict[str, list[int]] = {}
+def _windows(docs: list[list[str]], labels: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token numbers and labels (windows, WINDOW), lengths, and the features of each numbered token."""
+    number: dict[str, int] = {}
     rows = [(d[i : i + WINDOW], y[i : i + WINDOW]) for d, y in zip(docs, labels) for i in range(0, len(d), WINDOW)]
-    f = np.zeros((len(rows), WINDOW, 7), np.int32)
-    y = np.zeros((len(rows), WINDOW))
-    n = np.zeros(len(rows), int)
+    x, y, n = np.zeros((len(rows), WINDOW), np.int32), np.zeros((len(rows), WINDOW), np.float32), np.zeros(len(rows), int)
     for r, (words, marks) in enumerate(rows):
         n[r] = len(words)
         y[r, : len(words)] = marks
-        for j, w in enumerate(words):
-            got = ids.get(w)
-            if got is None:
-                got = ids[w] = token_features(w)
-            f[r, j] = got
-    return f, y, n
+        x[r, : len(words)] = [number.setdefault(w, len(number)) for w in words]
+    return x, y, n, np.array([token_features(w) for w in number], dtype=np.int32).reshape(-1, 7)
 
 
 def fit_field(docs: list[list[str]], labels: list[list[int]], steps: int = 50, rate: float = 0.2, ridge: float = 1e-6) -> Field:
     """Maximum likelihood by full-batch Adam; the gradient is labels less marginals."""
     model = Field()
     model.bias = -3.0
-    f, y, n = _windows(docs, labels)
-    if not len(f):
+    x, y, n, features = _windows(docs, labels)
+    if not len(x):
         return model
     valid = np.arange(WINDOW)[None, :] < n[:, None]
     first = np.zeros(valid.shape, bool)
@@ -160,16 +155,17 @@ def fit_field(docs: list[list[str]], labels: list[list[int]], steps: int = 50, r
     for step in range(1, steps + 1):
         model.bias, model.start = small[0], small[1]
         model.trans = np.array([[0.0, small[2]], [small[4], small[3]]])
-        e = model.weights[f].sum(axis=2) + model.bias
+        e = (model.weights[features].sum(axis=1) + model.bias)[x]
         p = marginals(e, first, last, model) * valid
         # pair marginals from neighbours' marginals: exact for the stay and leave counts up to the transition's pull
         inside = _pair_expectations(e, p, model, pairs_valid)
         gap = (y - p) * valid * scale
-        g = [np.bincount(f.ravel(), np.repeat(gap.ravel(), 7), _TABLE) - ridge * model.weights, np.array([gap.sum(), gap[:, 0].sum(), *((want - inside) * scale)])]
-        for k, x in enumerate((model.weights, small)):
+        per_token = np.bincount(x.ravel(), gap.ravel(), len(features))
+        g = [np.bincount(features.ravel(), np.repeat(per_token, 7), _TABLE) - ridge * model.weights, np.array([gap.sum(), gap[:, 0].sum(), *((want - inside) * scale)])]
+        for k, param in enumerate((model.weights, small)):
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            x += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            param += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         small[2:] = np.clip(small[2:], -3.0, 3.0)
     model.bias, model.start = small[0], small[1]
     model.trans = np.array([[0.0, small[2]], [small[4], small[3]]])
