@@ -10,6 +10,7 @@ score (calibrated on documents that the field was not fitted on) and the offsets
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,11 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from lumenscape.llm.common import id_crc32
 
 #: Bounds of the fit: labelled documents of each class, and their length.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 12_000
+TRAIN_DOCS, TRAIN_CHARS = 4000, 12_000
 #: Tokens of one training window.
 WINDOW = 64
-#: Evidence that makes a word or prefix a label: toxic documents that have it, and log-odds.
-LEAST_DOCS, LEAST_ODDS = 3, 3.0
+#: Evidence that makes a word or prefix a label: how many toxic documents have it (and what share of
+#: them; copies of one document must not make its rare words evidence), and log-odds.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.015, 3.0
 _TABLE = 1 << 18
 #: Inference runs in chunks; what lies further away than this many tokens no longer matters.
 CHUNK, REACH = 256, 64
@@ -155,13 +157,17 @@ def fit_field(docs: list[list[str]], labels: list[list[int]], steps: int = 50, r
     for step in range(1, steps + 1):
         model.bias, model.start = small[0], small[1]
         model.trans = np.array([[0.0, small[2]], [small[4], small[3]]])
-        e = (model.weights[features].sum(axis=1) + model.bias)[x]
-        p = marginals(e, first, last, model) * valid
-        # pair marginals from neighbours' marginals: exact for the stay and leave counts up to the transition's pull
-        inside = _pair_expectations(e, p, model, pairs_valid)
-        gap = (y - p) * valid * scale
-        per_token = np.bincount(x.ravel(), gap.ravel(), len(features))
-        g = [np.bincount(features.ravel(), np.repeat(per_token, 7), _TABLE) - ridge * model.weights, np.array([gap.sum(), gap[:, 0].sum(), *((want - inside) * scale)])]
+        evidence = model.weights[features].sum(axis=1) + model.bias
+        per_token, sums, inside = np.zeros(len(features)), np.zeros(2), np.zeros(3)
+        for at in range(0, len(x), 8192):  # temporary arrays stay small
+            part = slice(at, at + 8192)
+            e = evidence[x[part]]
+            p = marginals(e, first[part], last[part], model) * valid[part]
+            inside += _pair_expectations(p, model, pairs_valid[part])
+            gap = (y[part] - p) * valid[part] * scale
+            per_token += np.bincount(x[part].ravel(), gap.ravel(), len(features))
+            sums += gap.sum(), gap[:, 0].sum()
+        g = [np.bincount(features.ravel(), np.repeat(per_token, 7), _TABLE) - ridge * model.weights, np.array([*sums, *((want - inside) * scale)])]
         for k, param in enumerate((model.weights, small)):
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
@@ -172,7 +178,7 @@ def fit_field(docs: list[list[str]], labels: list[list[int]], steps: int = 50, r
     return model
 
 
-def _pair_expectations(e: np.ndarray, p: np.ndarray, model: Field, valid: np.ndarray) -> np.ndarray:
+def _pair_expectations(p: np.ndarray, model: Field, valid: np.ndarray) -> np.ndarray:
     """Expected counts of the transitions 0->1, 1->1 and 1->0.
 
     A pair's log odds ratio is that of its transition weights, which with both marginals fixes the pair.
@@ -190,7 +196,8 @@ def _pair_expectations(e: np.ndarray, p: np.ndarray, model: Field, valid: np.nda
 
 def fit(rows: list[tuple[str, int]]) -> Field:
     """rows: (text, toxic). Two thirds fit the field, the rest its calibration."""
-    docs, marks = [tokens(t) for t, _ in rows], np.array([int(y) for _, y in rows])
+    rows = list(dict.fromkeys(rows))  # equal texts count once
+    docs, marks = [[sys.intern(w) for w in tokens(t)] for t, _ in rows], np.array([int(y) for _, y in rows])
     if not rows or marks.min() == marks.max():
         model = Field(bias=-3.0)
         model.calibration = np.array([8.0 if rows and marks[0] == 1 else -8.0, 0, 0, 0])
@@ -199,7 +206,7 @@ def fit(rows: list[tuple[str, int]]) -> Field:
     for d, y in zip(docs, marks):
         (in_toxic if y else in_clean).update({k for w in set(d) for k in _label_keys(w)})
     nt, nc = marks.sum(), len(marks) - marks.sum()
-    telling = {k for k, c in in_toxic.items() if c >= LEAST_DOCS and np.log((c + 0.1) / nt) - np.log((in_clean.get(k, 0) + 0.1) / nc) >= LEAST_ODDS}
+    telling = {k for k, c in in_toxic.items() if c >= max(LEAST_DOCS, LEAST_SHARE * nt) and np.log((c + 0.1) / nt) - np.log((in_clean.get(k, 0) + 0.1) / nc) >= LEAST_ODDS}
     labels = [[int(bool(y) and any(k in telling for k in _label_keys(w))) for w in d] for d, y in zip(docs, marks)]
     fold = np.arange(len(docs)) % 3
     # a toxic document without a labelled token says nothing about its tokens: it only calibrates
