@@ -76,26 +76,25 @@ def _clean(raw: str | Column) -> Column:
     return F.trim(raw, F.lit(" \t\r\x0b\x0c"))
 
 
-def segment_keys(line: str, threshold: int) -> Column:
-    """array<struct<bucket, indexed>>: the keys that a line is filed under and those it looks up."""
-    n, parts = F.char_length(line), threshold + 1
-    keys = []
-    for shorter in range(parts):
-        size = n - shorter
-        short, longer = F.floor(size / parts).cast("int"), (size % parts).cast("int")
-        for i in range(1, parts + 1):
-            start = 1 + (i - 1) * short + F.greatest(F.lit(0), F.lit(i - 1) - (parts - longer))
-            length = short + F.when(F.lit(i) > parts - longer, 1).otherwise(0)
-            low, high = max(1 - i, shorter - (parts - i)), min(i - 1, shorter + (parts - i))
-            for shift in range(low, high + 1):
-                own = shorter == 0 and shift == 0
-                keys.append(F.struct(F.xxhash64(size, F.lit(i), F.substring(F.col(line), start + shift, length)).alias("bucket"), F.lit(int(own)).alias("indexed")))
-    return F.array(*keys)
+def segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """(bucket, h, indexed): the keys that a line is filed under (indexed = 1) and those it looks up.
+
+    For an indexed line that is `shorter` than the one at hand, segment i can start `shift` places from
+    where the even partition puts it; the shifts follow from the edits left on either side.
+    """
+    parts = threshold + 1
+    probes = [(shorter, i, shift, int(shorter == 0 and shift == 0)) for shorter in range(parts) for i in range(1, parts + 1) for shift in range(max(1 - i, shorter - (parts - i)), min(i - 1, shorter + (parts - i)) + 1)]
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(p, ("shorter", "i", "shift", "indexed"))]) for p in probes])
+    rows = lines.select("h", "line", F.explode(table).alias("p")).select("h", "line", "p.i", "p.shift", "p.indexed", (F.char_length("line") - F.col("p.shorter")).alias("size"))
+    short, before = F.expr(f"size div {parts}").cast("int"), F.lit(parts) - F.col("size") % parts  # segments before the longer ones
+    start = F.lit(1) + (F.col("i") - 1) * short + F.greatest(F.lit(0), F.col("i") - 1 - before)
+    length = short + F.when(F.col("i") > before, 1).otherwise(0)
+    return rows.select(F.xxhash64("size", "i", F.substring(F.col("line"), start + F.col("shift"), length)).alias("bucket"), "h", "indexed")
 
 
 def line_components(spark: SparkSession, lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(id, component) of line hashes that have a different line within the threshold."""
-    keyed = lines.select("h", F.explode(segment_keys("line", threshold)).alias("k")).select("h", "k.bucket", "k.indexed")
+    keyed = segment_keys(lines, threshold)
     shared = keyed.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("indexed").alias("indexed")).where("lo <> hi and indexed = 1").select("bucket")
     members = materialise(spark, keyed.select("bucket", F.col("h").alias("id")).join(shared, "bucket").distinct(), "line-members", few=True)
     texts = materialise(spark, candidate_lines(lines, members.select("id").distinct()), "line-texts")
