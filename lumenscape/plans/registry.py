@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenscape.functions.filters import Scope
 from lumenscape.functions.geometry import epoch_ms
-from lumenscape.operators import correlate, derived, meshes, performance, spatial, volume
+from lumenscape.operators import capture, correlate, derived, meshes, performance, spatial, volume
 from lumenscape.operators.meshes import Step
+from lumenscape.sources import ingest
+from lumenscape.streaming import jobs
 from lumenscape.plans.scene_view import PROJECT, scene_events, scene_sql
 
 ALL = Scope(PROJECT)
@@ -113,6 +115,39 @@ _FUNNEL = [
 _STEPS = f"WITH {', '.join(_FUNNEL)} " + " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS step, {N} AS sessions FROM s{i}" for i in range(4))
 _DAILY = f"SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, {{}} FROM e {{}} GROUP BY ALL"
 
+_BOX_SQL = "SELECT mesh AS name, min(hit_point[1]) AS x0, min(hit_point[2]) AS y0, min(hit_point[3]) AS z0, max(hit_point[1]) AS x1, max(hit_point[2]) AS y1, max(hit_point[3]) AS z1 FROM e WHERE mesh <> '' AND len(hit_point) = 3 AND hit_point[1] BETWEEN -3 AND 3 AND hit_point[3] BETWEEN -3 AND 3 GROUP BY mesh"
+_LANE_CASE = "CASE " + " ".join(f"WHEN event_type = '{t}' THEN '{lane}'" for lane, types in derived.LANES.items() for t in types.split()) + " END"
+_MS = "(epoch_us(ts) // 1000)"
+
+
+def _mesh_boxes(e: DataFrame) -> DataFrame:
+    """Boxes of the hits near the centre: a stand-in for scanned proxies."""
+    hit = [F.get("hit_point", i) for i in range(3)]
+    rows = e.where((F.col("mesh") != "") & (F.size("hit_point") == 3) & hit[0].between(-3, 3) & hit[2].between(-3, 3))
+    return rows.groupBy(F.col("mesh").alias("name")).agg(F.array(*[F.min(h) for h in hit], *[F.max(h) for h in hit]).alias("aabb"))
+
+
+def _as_batches(e: DataFrame) -> DataFrame:
+    """The view as it would be sent: one batch a session, rows of JSON."""
+    some = lambda c, n: F.when(F.size(c) == n, F.col(c))
+    word = lambda c: F.when(F.col(c) != "", F.col(c))
+    above = lambda c: F.when(F.col(c) > 0, F.col(c))
+    wire = F.struct(
+        F.col("event_type").alias("type"), F.col("project_id").alias("projectId"), F.col("session_id").alias("sessionId"), epoch_ms(F.col("ts")).alias("ts"), F.col("sdk_version").alias("sdkVersion"), F.col("scene_id").alias("sceneId"), F.col("source"),
+        some("position", 3).alias("position"), some("direction", 3).alias("direction"), some("hit_point", 3).alias("hitPoint"), some("screen", 2).alias("screen"), F.coalesce(word("mesh"), F.lit("floor")).alias("mesh"), F.coalesce(word("name"), F.lit("orbit")).alias("kind"), F.coalesce(word("name"), F.lit("none")).alias("action"),
+        F.col("fps"), above("fov").alias("fov"), above("aspect").alias("aspect"), above("near").alias("near"), F.col("visible_ms").alias("visibleMs"), F.col("visible_ms").alias("dwellMs"), F.col("visible_ms").alias("durationMs"), F.lit("warning").alias("severity"), F.lit("validation").alias("category"), F.lit("text").alias("message"),
+    )
+    body = F.concat(F.lit('{"schemaVersion":"1.0","events":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.to_json(wire).alias("j")))), lambda x: x["j"]), ","), F.lit("]}"))
+    per = e.groupBy("session_id").agg(body.alias("body"))
+    return per.select(F.col("session_id").alias("batch_id"), "body", F.lit("2024-02-01").cast("timestamp").alias("received_at"), F.lit("ip").alias("ip"), F.lit("Chrome/1.0 Linux").alias("user_agent"))
+
+
+def _ingested(e: DataFrame) -> DataFrame:
+    projects = e.sparkSession.createDataFrame([(PROJECT,)], "project_id string")
+    wide, _, _ = ingest.ingest(_as_batches(e), projects, "secret")
+    return wide
+
+
 CATALOGUE: dict[str, Query] = {
     # sessions, scenes, volume
     "list_sessions": Query(lambda e: volume.list_sessions(e, ALL), f"SELECT session_id, min(visitor_id) AS visitor_id, {N} AS events, min(ts) AS started_at, max(ts) AS ended_at FROM e GROUP BY session_id ORDER BY started_at DESC, session_id LIMIT 100", times="started_at ended_at"),
@@ -219,6 +254,30 @@ CATALOGUE: dict[str, Query] = {
         lambda e: derived.part_popularity(meshes.meshes_by_source(e, ALL), meshes.mesh_trend(e, ALL, 86400, 20_000)).select("mesh", "total", "delta", F.size("buckets").cast("long").alias("n_buckets")),
         f"SELECT mesh, total, delta, n_buckets FROM (SELECT mesh, CAST(sum(count) AS BIGINT) AS total FROM (SELECT mesh, source, {N} AS count {_ACTIVE} GROUP BY ALL) GROUP BY mesh) JOIN (SELECT mesh, CAST(sum(CASE WHEN rn > n // 2 THEN count ELSE -count END) AS BIGINT) AS delta, CAST(max(n) AS BIGINT) AS n_buckets FROM (SELECT *, row_number() OVER (PARTITION BY mesh ORDER BY bucket) AS rn, count(*) OVER (PARTITION BY mesh) AS n FROM (SELECT mesh, {_BUCKET(86400)}, {N} AS count {_ACTIVE} GROUP BY ALL)) GROUP BY mesh) USING (mesh) ORDER BY total DESC, mesh LIMIT 12",
     ),
+    # sources, capture and streams on the same events
+    "ingest_event_counts": Query(lambda e: _ingested(e).groupBy("event_type", "scene_id").agg(F.count(F.lit(1)).alias("count"), F.sum(F.size("hit_point")).alias("coordinates")), f"SELECT event_type, scene_id, {N} AS count, CAST(sum(len(hit_point)) AS BIGINT) AS coordinates FROM e WHERE session_id NOT IN (SELECT session_id FROM e WHERE event_type = 'compile_stall' AND name NOT IN ('shader', 'pipeline') OR event_type = 'runtime_error' AND name <> 'error' OR event_type = 'camera_gesture' AND name NOT IN ('orbit', 'pan', 'zoom', 'dolly')) GROUP BY ALL"),
+    "session_meta": Query(lambda e: ingest.session_meta(e).select("session_id", "started_at", "scene", "device"), "SELECT session_id, min(ts) AS started_at, min(CAST(json_extract(payload, '$.scene') AS VARCHAR)) AS scene, min(CAST(json_extract(payload, '$.device') AS VARCHAR)) AS device FROM e WHERE event_type = 'session_start' GROUP BY session_id", times="started_at"),
+    "frame_windows": Query(lambda e: capture.frame_windows(e.where("event_type = 'frame_perf'").select("session_id", F.lit(0).alias("window"), F.col("frame_time_ms").alias("frame_ms")), 30.0).drop("window"), f"SELECT session_id, quantile_disc(frame_time_ms, 0.95) AS frame_time_p95_ms, quantile_disc(frame_time_ms, 0.99) AS frame_time_p99_ms, CAST(count(*) FILTER (frame_time_ms > 30) AS BIGINT) AS long_frames {_PERF} GROUP BY session_id", "frame_time_p95_ms frame_time_p99_ms"),
+    "thin_by_grid": Query(lambda e: capture.thin_by_grid(e.where("event_type = 'pointer_move'"), 86_400_000, ["session_id"]).select("session_id", "event_id"), f"SELECT session_id, event_id FROM e WHERE event_type = 'pointer_move' QUALIFY row_number() OVER (PARTITION BY session_id, floor({_MS} / 86400000e0) ORDER BY ts) = 1"),
+    "hover_episodes": Query(
+        lambda e: capture.hover_episodes(e.select("session_id", "ts", F.nullif("mesh", F.lit("")).alias("mesh")), 3_600_000.0).select("session_id", "mesh", "dwell_ms"),
+        f"SELECT session_id, mesh, CAST(max(until) - min(ms) AS DOUBLE) AS dwell_ms FROM (SELECT *, sum(CASE WHEN before IS NOT DISTINCT FROM mesh THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY ts) AS turn, coalesce(lead(ms) OVER (PARTITION BY session_id ORDER BY ts), ms) AS until FROM (SELECT session_id, ts, {_MS} AS ms, nullif(mesh, '') AS mesh, lag(nullif(mesh, '')) OVER (PARTITION BY session_id ORDER BY ts) AS before FROM e)) GROUP BY session_id, turn, mesh HAVING mesh IS NOT NULL AND max(until) - min(ms) >= 3600000",
+        "dwell_ms",
+    ),
+    "suppress_idle_fps": Query(lambda e: capture.suppress_idle_fps(e.where("event_type = 'frame_perf'").select("session_id", "ts", "event_id", "fps"), 5.0).select("session_id", "event_id", "fps"), None, "fps"),
+    "session_backfill": Query(lambda e: jobs.backfill(e.withColumn("received_at", F.col("ts")), 5).select("session_id", "event_id"), "SELECT session_id, event_id FROM e QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= 5"),
+    "session_lanes": Query(lambda e: derived.session_lanes(e), f"SELECT DISTINCT session_id, lane, CAST(floor((ms - t0) * 600 / greatest(t1 - t0, 1) + 0.5e0) AS BIGINT) AS slot FROM (SELECT session_id, {_LANE_CASE} AS lane, {_MS} AS ms, min({_MS}) OVER (PARTITION BY session_id) AS t0, max({_MS}) OVER (PARTITION BY session_id) AS t1 FROM e) WHERE lane IS NOT NULL"),
+    "dead_zones": Query(
+        lambda e: derived.dead_zones(spatial.scene_coverage(e, ALL), _mesh_boxes(e), 1.0),
+        f"SELECT name, CAST(coalesce(sum(count), 0) AS BIGINT) AS visits, coalesce(sum(count), 0) = 0 AS dead FROM ({_BOX_SQL}) b LEFT JOIN ({_COVER}) c ON vx + 0.5e0 BETWEEN x0 - 1 AND x1 + 1 AND vy + 0.5e0 BETWEEN y0 - 1 AND y1 + 1 AND vz + 0.5e0 BETWEEN z0 - 1 AND z1 + 1 GROUP BY name",
+    ),
+    "gaze_dome": Query(
+        lambda e: derived.gaze_dome(spatial.view_direction_heatmap(e, ALL), 36, 2.0).select("azimuth_bin", "elevation_bin", "count", "x", "y", "z"),
+        f"SELECT azimuth_bin, elevation_bin, count, 2 * cos(el) * cos(az) AS x, 2 * sin(el) AS y, 2 * cos(el) * sin(az) AS z FROM (SELECT *, (azimuth_bin + 0.5e0) / 36 * 2 * pi() - pi() AS az, (elevation_bin + 0.5e0) / 36 * pi() - pi() / 2 AS el FROM (SELECT {_bins('direction[1]', 'direction[2]', 'direction[3]', 36)}, {N} AS count FROM e WHERE event_type = 'camera_sample' AND len(direction) = 3 GROUP BY ALL))",
+        "x y z",
+    ),
+    "flow_graph": Query(lambda e: derived.flow_graph(correlate.flow_by_standpoint(e, ALL, cell_size=2.0)), None),
+    "desire_edges": Query(lambda e: derived.desire_edges(derived.desire_lines(spatial.trajectories(e, ALL, 4.0))), None),
 }
 
 
