@@ -20,8 +20,10 @@ def explode_batches(batches: DataFrame) -> DataFrame:
     """Every event of every batch: batch columns, seq, n_events, raw (its JSON) and e (its fields)."""
     parsed = batches.withColumn("raws", F.from_json(F.get_json_object("body", "$.events"), "array<string>"))
     sized = parsed.withColumn("n_events", F.coalesce(F.size("raws"), F.lit(0)))
-    rows = sized.select("batch_id", "received_at", "ip", "user_agent", "n_events", F.posexplode_outer("raws").alias("seq", "raw"))
-    return rows.withColumn("e", F.from_json("raw", S.WIRE_EVENT))
+    # parsed as it is exploded: what follows reads fields of one parsed event instead of parsing for each field
+    both = F.transform("raws", lambda raw: F.struct(raw.alias("raw"), F.from_json(raw, S.WIRE_EVENT).alias("e")))
+    rows = sized.select("batch_id", "received_at", "ip", "user_agent", "n_events", F.posexplode_outer(both).alias("seq", "x"))
+    return rows.select("batch_id", "received_at", "ip", "user_agent", "n_events", "seq", F.col("x.raw").alias("raw"), F.col("x.e").alias("e"))
 
 
 def _text(name: str, most: int, least: int = 1) -> str:
