@@ -197,11 +197,12 @@ def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[Data
     return comp
 
 
-def prefix_pairs(spark: SparkSession, rows: DataFrame, sets: DataFrame, least: Callable[[Column], Column], reach: Callable[[Column, Column, Column], Column]) -> DataFrame:
+def prefix_pairs(spark: SparkSession, rows: DataFrame, sets: DataFrame, least: Callable[[Column], Column], reach: Callable[[Column, Column, Column], Column], alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(x, y) of different components whose sets can be near enough, by exact prefix and position filters.
 
     rows: (id, component); sets: (id, s). least(n): members that a set of n has to share. reach(left,
-    n, m): whether sets of n and m can be near if they share at most `left`. Members are ranked rarest
+    n, m): whether sets of n and m can be near if they share at most `left`. alike(a, b): whether sets
+    with these values of a column `sketch` can be near, checked within the join. Members are ranked rarest
     first; near sets share a member of their prefixes, and enough of what follows it. Sets with many
     members of their own drop out here, so the edges of a large group are not compared with all of it.
     """
@@ -213,7 +214,14 @@ def prefix_pairs(spark: SparkSession, rows: DataFrame, sets: DataFrame, least: C
     cut = F.slice("t", F.lit(1), F.greatest(F.lit(0), (F.col("n") - least(F.col("n")) + 1 - own).cast("int")))
     prefixes = ranked.select("id", "component", "n", own.alias("own"), F.posexplode(cut).alias("i", "t"))
     prefixes = materialise(spark, prefixes.select("id", "component", "n", (F.col("own") + F.col("i")).alias("at"), F.col("t.token").alias("token")), "prefixes")
+    sketch: list[str] = []
+    if alike is not None:
+        sketch = ["sketch"]
+        prefixes = prefixes.join(sets.select("id", "sketch"), "id")
     first = prefixes.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token", "c0")
-    other = prefixes.join(first, "token").where("component <> c0").select(F.col("token").alias("t2"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    other = prefixes.join(first, "token").where("component <> c0").select(F.col("token").alias("t2"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), *[F.col(c).alias("sx") for c in sketch])
     left = F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax"))
-    return other.join(prefixes, (F.col("t2") == F.col("token")) & (F.col("component") != F.col("cx")) & reach(left, F.col("n"), F.col("nx"))).select("x", F.col("id").alias("y"))
+    near = (F.col("component") != F.col("cx")) & reach(left, F.col("n"), F.col("nx"))
+    if alike is not None:
+        near &= alike(F.col("sx"), F.col("sketch"))
+    return other.join(prefixes, (F.col("t2") == F.col("token")) & near).select("x", F.col("id").alias("y"))

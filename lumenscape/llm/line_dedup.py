@@ -22,6 +22,8 @@ from lumenscape.llm.common import link_buckets, materialise, prefix_pairs, utf8
 MIN_CHARS, THRESHOLD = 40, 2
 #: Letters of the grams that tell candidates of a crowded key apart.
 GRAM = 4
+#: Longs of a line's sketch: one bit for each gram that it has.
+_SKETCH = 4
 #: Bits of the filter that picks candidate lines on the way: 2 MB, whatever the input.
 _WORD_BITS = 18
 
@@ -112,7 +114,10 @@ def line_components(spark: SparkSession, lines: DataFrame, threshold: int = THRE
     def rest(open_: DataFrame) -> DataFrame:
         lost = GRAM * threshold  # grams that the threshold's edits can change
         near = lambda n, m: F.greatest(n, m) - lost
-        return prefix_pairs(spark, open_, gram_sets(texts), lambda n: n - lost, lambda left, n, m: (left >= near(n, m)) & (F.abs(n - m) <= threshold))
+        # an edit takes away and brings at most GRAM grams, and so as many bits of the sketch
+        alike = lambda a, b: sum(F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(_SKETCH)) <= 2 * lost
+        sets = materialise(spark, gram_sets(texts.join(open_.select("id").distinct(), "id", "left_semi")), "grams")
+        return prefix_pairs(spark, open_, sets, lambda n: n - lost, lambda left, n, m: (left >= near(n, m)) & (F.abs(n - m) <= threshold), alike)
 
     return link_buckets(spark, members, verify, rest)
 
@@ -128,22 +133,27 @@ def candidate_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def gram_sets(texts: DataFrame) -> DataFrame:
-    """(id, s): hashes of every gram with its occurrence number."""
+    """(id, s, sketch): hashes of every gram with its occurrence number, and the bits of its grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
+            sets, sketches = [], []
             for line in batch.column(1).to_pylist():
                 seen: Counter = Counter()
-                out = []
+                out, bits = [], 0
                 for i in range(len(line) - GRAM + 1):
-                    g = line[i : i + GRAM]
+                    g = utf8(line[i : i + GRAM])
                     seen[g] += 1
-                    out.append(xxhash.xxh3_64_intdigest(utf8(g), seed=seen[g]) - (1 << 63))
+                    h = xxhash.xxh3_64_intdigest(g, seed=seen[g])
+                    if seen[g] == 1:
+                        bits |= 1 << (h % (64 * _SKETCH))
+                    out.append(h - (1 << 63))
                 sets.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+                sketches.append([(bits >> (64 * i) & (1 << 64) - 1) - (1 << 63) for i in range(_SKETCH)])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, longs), pa.array(sketches, longs)], names=["id", "s", "sketch"])
 
-    return texts.mapInArrow(run, "id long, s array<long>")
+    return texts.mapInArrow(run, "id long, s array<long>, sketch array<long>")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, threshold: int = THRESHOLD) -> DataFrame:
