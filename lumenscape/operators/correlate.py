@@ -14,7 +14,7 @@ def _struct3(column: str, vector: str) -> tuple[Column, Column, Column]:
     return tuple(F.get(F.col(f"{column}.{vector}"), i) for i in range(3))  # type: ignore[return-value]
 
 
-def click_rays(events: DataFrame, scope: Scope, cell_size: float = 0.5, limit: int = 500) -> DataFrame:
+def click_rays(events: DataFrame, scope: Scope, cell_size: float = 0.5, limit: int | None = 500) -> DataFrame:
     """Where clicks came from and went: own ray, else the point on the near plane, else the camera; else dropped."""
     check_options(cell_size=cell_size)
     clicks = of_type(in_scope(events, scope, "RSXN"), "pointer_click").where(F.size("hit_point") == 3).select("session_id", "ts", "event_id", "hit_point", "mesh", "ray_origin", "screen")
@@ -49,7 +49,7 @@ def flow(events: DataFrame, scope: Scope, bins: int = 24, limit: int = 150) -> D
     return top(_flow_rows(events, scope, bins, False).groupBy(*FLOW).agg(count().alias("count")), limit, F.desc("count"), *FLOW)
 
 
-def flow_by_standpoint(events: DataFrame, scope: Scope, bins: int = 24, cell_size: float = 0.5, limit: int = 150, origin_voxel: tuple[int, int, int] | None = None) -> DataFrame:
+def flow_by_standpoint(events: DataFrame, scope: Scope, bins: int = 24, cell_size: float = 0.5, limit: int | None = 150, origin_voxel: tuple[int, int, int] | None = None) -> DataFrame:
     """flow() by the voxel stood in; a click's own ray origin comes before the camera position."""
     check_options(cell_size=cell_size)
     rows = _flow_rows(events, scope, bins, True)
@@ -67,7 +67,7 @@ def _samples(events: DataFrame, scope: Scope, vector: str) -> DataFrame:
     return of_type(in_scope(events, scope, "RSN"), "camera_sample").where(F.size(vector) == 3).select("session_id", "ts", "event_id", vector)
 
 
-def navigation_effort(events: DataFrame, scope: Scope, threshold: float = 0.05, limit: int = 500) -> DataFrame:
+def navigation_effort(events: DataFrame, scope: Scope, threshold: float = 0.05, limit: int | None = 500) -> DataFrame:
     """Distance between successive camera samples, by session."""
     pairs = with_previous(_samples(events, scope, "position"), ["position"])
     dist = g.norm(*(a - b for a, b in zip(_struct3("cur", "position"), _struct3("prev", "position"))))

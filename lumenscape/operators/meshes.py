@@ -20,11 +20,11 @@ def _active(events: DataFrame, scope: Scope) -> DataFrame:
     return of_type(in_scope(events, scope, "RSXN"), "mesh_interaction", "pointer_click").where("mesh <> ''")
 
 
-def meshes_by_source(events: DataFrame, scope: Scope, limit: int = 200) -> DataFrame:
+def meshes_by_source(events: DataFrame, scope: Scope, limit: int | None = 200) -> DataFrame:
     return top(_active(events, scope).groupBy("mesh", "source").agg(count().alias("count")), limit, F.desc("count"), "mesh", "source")
 
 
-def mesh_trend(events: DataFrame, scope: Scope, interval: int = 3600, limit: int = 2000) -> DataFrame:
+def mesh_trend(events: DataFrame, scope: Scope, interval: int = 3600, limit: int | None = 2000) -> DataFrame:
     check_options(interval=interval)
     out = _active(events, scope).groupBy("mesh", g.time_bucket(F.col("ts"), interval).alias("bucket")).agg(count().alias("count"))
     return top(out, limit, "bucket", "mesh")
@@ -36,7 +36,7 @@ def mesh_dwell(events: DataFrame, scope: Scope, limit: int = 25) -> DataFrame:
     return top(out, limit, F.desc("visible_ms"), "mesh")
 
 
-def interaction_kinds(events: DataFrame, scope: Scope, limit: int = 100) -> DataFrame:
+def interaction_kinds(events: DataFrame, scope: Scope, limit: int | None = 100) -> DataFrame:
     rows = of_type(in_scope(events, scope, "RSXN"), "mesh_interaction").where("mesh <> ''")
     return top(rows.groupBy("mesh", F.col("name").alias("kind")).agg(count().alias("count")), limit, F.desc("count"), "mesh", "kind")
 
@@ -61,7 +61,7 @@ def hover_dwell(events: DataFrame, scope: Scope, limit: int = 25) -> DataFrame:
     return top(out, limit, F.desc("dwell_ms"), "mesh")
 
 
-def interactions_by_source(events: DataFrame, scope: Scope, limit: int = 100) -> DataFrame:
+def interactions_by_source(events: DataFrame, scope: Scope, limit: int | None = 100) -> DataFrame:
     rows = of_type(in_scope(events, scope, "RSXN"), *INPUT_EVENTS)
     out = rows.groupBy("event_type", "source").agg(count().alias("count"), F.countDistinct("session_id").alias("sessions"))
     return top(out, limit, F.desc("count"), "event_type", "source")
@@ -76,7 +76,7 @@ def _durations(rows: DataFrame, key: str, n: str) -> DataFrame:
     return rows.groupBy(F.col("name").alias(key)).agg(count().alias(n), F.sum("visible_ms").alias("total_ms"), F.avg("visible_ms").alias("avg_ms"), F.max("visible_ms").alias("max_ms"))
 
 
-def camera_gestures(events: DataFrame, scope: Scope, limit: int = 25) -> DataFrame:
+def camera_gestures(events: DataFrame, scope: Scope, limit: int | None = 25) -> DataFrame:
     return top(_durations(of_type(in_scope(events, scope, "RSXN"), "camera_gesture"), "kind", "gestures"), limit, F.desc("gestures"), "kind")
 
 

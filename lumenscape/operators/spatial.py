@@ -36,7 +36,7 @@ def pointer_heatmap(events: DataFrame, scope: Scope, bins: int = 50) -> DataFram
     return top(out, None, F.desc("count"), "gx", "gy")
 
 
-def world_heatmap(events: DataFrame, scope: Scope, cell_size: float = 0.5, limit: int = 1000) -> DataFrame:
+def world_heatmap(events: DataFrame, scope: Scope, cell_size: float = 0.5, limit: int | None = 1000) -> DataFrame:
     return top(_voxels(_hits(events, scope), "hit_point", cell_size), limit, F.desc("count"), *VOXEL)
 
 
@@ -44,7 +44,7 @@ def world_heatmap_totals(events: DataFrame, scope: Scope, cell_size: float = 0.5
     return _totals(_voxels(_hits(events, scope), "hit_point", cell_size))
 
 
-def gaze_heatmap(events: DataFrame, scope: Scope, cell_size: float = 0.5, limit: int = 1000) -> DataFrame:
+def gaze_heatmap(events: DataFrame, scope: Scope, cell_size: float = 0.5, limit: int | None = 1000) -> DataFrame:
     return top(_voxels(_gaze(events, scope), "hit_point", cell_size), limit, F.desc("count"), *VOXEL)
 
 
@@ -76,14 +76,14 @@ def session_trajectory(events: DataFrame, scope: Scope, limit: int = 5000) -> Da
     return top(rows.select(g.epoch_ms(F.col("ts")).alias("ts"), x.alias("x"), y.alias("y"), z.alias("z")), limit, "ts", "x", "y", "z")
 
 
-def trajectories(events: DataFrame, scope: Scope, cell_size: float = 1.0, limit: int = 20_000) -> DataFrame:
+def trajectories(events: DataFrame, scope: Scope, cell_size: float = 1.0, limit: int | None = 20_000) -> DataFrame:
     check_options(cell_size=cell_size)
     x, _, z = g.xyz("position")
     rows = _gaze(events, scope, "RSC").where(F.size("position") == 3)
     return top(rows.select("session_id", g.epoch_ms(F.col("ts")).alias("ts"), g.voxel(x, cell_size).alias("gx"), g.voxel(z, cell_size).alias("gz")), limit, "session_id", "ts", "gx", "gz")
 
 
-def scene_coverage(events: DataFrame, scope: Scope, cell_size: float = 1.0, limit: int = 5000) -> DataFrame:
+def scene_coverage(events: DataFrame, scope: Scope, cell_size: float = 1.0, limit: int | None = 5000) -> DataFrame:
     return top(_voxels(_gaze(events, scope, "RSN"), "position", cell_size), limit, F.desc("count"), *VOXEL)
 
 

@@ -215,19 +215,19 @@ CATALOGUE: dict[str, Query] = {
     "capability_changes": Query(lambda e: performance.capability_changes(e, ALL), f"SELECT name AS kind, cap_from AS \"from\", cap_to AS \"to\", {N} AS changes FROM e WHERE event_type = 'capability_change' GROUP BY ALL"),
     # derived tables
     "gaze_click_divergence": Query(
-        lambda e: derived.gaze_click_divergence(spatial.gaze_heatmap(e, ALL), spatial.world_heatmap(e, ALL)),
+        lambda e: derived.gaze_click_divergence(spatial.gaze_heatmap(e, ALL, limit=None), spatial.world_heatmap(e, ALL, limit=None)),
         f"SELECT *, CASE WHEN divergence > 0 THEN 'click' WHEN divergence < 0 THEN 'gaze' ELSE 'even' END AS side FROM (SELECT vx, vy, vz, coalesce(g.count, 0) AS gaze, coalesce(c.count, 0) AS clicks, coalesce(c.count, 0) / (SELECT greatest(max(count), 1) FROM ({_HITS}{_TOP})) - coalesce(g.count, 0) / (SELECT greatest(max(count), 1) FROM ({_GAZE}{_TOP})) AS divergence FROM ({_GAZE}{_TOP}) g FULL JOIN ({_HITS}{_TOP}) c USING (vx, vy, vz))",
         "divergence",
     ),
-    "desire_lines": Query(lambda e: derived.desire_lines(spatial.trajectories(e, ALL, 4.0)), "SELECT session_id, ts, gx, gz FROM (SELECT *, lag(gx) OVER w AS bx, lag(gz) OVER w AS bz FROM (" + _PATHS.replace("1e0", "4e0") + " ORDER BY session_id, ts, gx, gz LIMIT 20000) WINDOW w AS (PARTITION BY session_id ORDER BY ts, gx, gz)) WHERE bx IS NULL OR bx <> gx OR bz <> gz"),
-    "standpoints": Query(lambda e: derived.standpoints(correlate.flow_by_standpoint(e, ALL, cell_size=2.0)), f"SELECT origin_vx, origin_vy, origin_vz, CAST(sum(count) AS BIGINT) AS count, {', '.join(f'sum(origin_{a} * count) / sum(count) AS origin_{a}' for a in 'xyz')} FROM ({_STANDING}) GROUP BY origin_vx, origin_vy, origin_vz", "origin_x origin_y origin_z"),
-    "collapse_flow": Query(lambda e: derived.collapse_flow(correlate.flow_by_standpoint(e, ALL, cell_size=2.0)), f"SELECT azimuth_bin, elevation_bin, mesh, CAST(sum(count) AS BIGINT) AS count FROM ({_STANDING}) GROUP BY ALL"),
-    "rays_by_camera": Query(lambda e: derived.rays_by_camera(correlate.click_rays(e, ALL)), f"SELECT cam_vx, cam_vy, cam_vz, CAST(sum(count) AS BIGINT) AS count FROM ({_RAYS}) GROUP BY ALL"),
-    "rays_by_mesh": Query(lambda e: derived.rays_by_mesh(correlate.click_rays(e, ALL)), f"SELECT mesh, CAST(sum(count) AS BIGINT) AS count FROM ({_RAYS}) GROUP BY ALL"),
-    "modality_split": Query(lambda e: derived.modality_split(meshes.interactions_by_source(e, ALL)), f"SELECT source, CAST(sum(count) AS BIGINT) AS count, sum(count) / (SELECT sum(count) FROM ({_BYSRC})) AS share FROM ({_BYSRC}) GROUP BY source", "share"),
-    "source_breakdown": Query(lambda e: derived.source_breakdown(meshes.interactions_by_source(e, ALL)), f"SELECT source, CAST(sum(count) AS BIGINT) AS total, max(sessions) AS sessions, string_agg(event_type, ',' ORDER BY event_type) AS types FROM ({_BYSRC}) GROUP BY source"),
-    "kinds_per_mesh": Query(lambda e: derived.kinds_per_mesh(meshes.interaction_kinds(e, ALL)), f"SELECT mesh, CAST(sum(count) AS BIGINT) AS total, string_agg(kind || ':' || count, ',' ORDER BY count DESC, kind) AS kinds FROM ({_KINDS}) GROUP BY mesh ORDER BY total DESC, mesh LIMIT 10"),
-    "navigation_mix": Query(lambda e: derived.navigation_mix(meshes.camera_gestures(e, ALL)), f"SELECT kind, gestures, gestures / (SELECT sum(gestures) FROM ({_GEST})) AS share FROM ({_GEST})", "share"),
+    "desire_lines": Query(lambda e: derived.desire_lines(spatial.trajectories(e, ALL, 4.0, None)), "SELECT session_id, ts, gx, gz FROM (SELECT *, lag(gx) OVER w AS bx, lag(gz) OVER w AS bz FROM (" + _PATHS.replace("1e0", "4e0") + " ORDER BY session_id, ts, gx, gz LIMIT 20000) WINDOW w AS (PARTITION BY session_id ORDER BY ts, gx, gz)) WHERE bx IS NULL OR bx <> gx OR bz <> gz"),
+    "standpoints": Query(lambda e: derived.standpoints(correlate.flow_by_standpoint(e, ALL, cell_size=2.0, limit=None)), f"SELECT origin_vx, origin_vy, origin_vz, CAST(sum(count) AS BIGINT) AS count, {', '.join(f'sum(origin_{a} * count) / sum(count) AS origin_{a}' for a in 'xyz')} FROM ({_STANDING}) GROUP BY origin_vx, origin_vy, origin_vz", "origin_x origin_y origin_z"),
+    "collapse_flow": Query(lambda e: derived.collapse_flow(correlate.flow_by_standpoint(e, ALL, cell_size=2.0, limit=None)), f"SELECT azimuth_bin, elevation_bin, mesh, CAST(sum(count) AS BIGINT) AS count FROM ({_STANDING}) GROUP BY ALL"),
+    "rays_by_camera": Query(lambda e: derived.rays_by_camera(correlate.click_rays(e, ALL, limit=None)), f"SELECT cam_vx, cam_vy, cam_vz, CAST(sum(count) AS BIGINT) AS count FROM ({_RAYS}) GROUP BY ALL"),
+    "rays_by_mesh": Query(lambda e: derived.rays_by_mesh(correlate.click_rays(e, ALL, limit=None)), f"SELECT mesh, CAST(sum(count) AS BIGINT) AS count FROM ({_RAYS}) GROUP BY ALL"),
+    "modality_split": Query(lambda e: derived.modality_split(meshes.interactions_by_source(e, ALL, None)), f"SELECT source, CAST(sum(count) AS BIGINT) AS count, sum(count) / (SELECT sum(count) FROM ({_BYSRC})) AS share FROM ({_BYSRC}) GROUP BY source", "share"),
+    "source_breakdown": Query(lambda e: derived.source_breakdown(meshes.interactions_by_source(e, ALL, None)), f"SELECT source, CAST(sum(count) AS BIGINT) AS total, max(sessions) AS sessions, string_agg(event_type, ',' ORDER BY event_type) AS types FROM ({_BYSRC}) GROUP BY source"),
+    "kinds_per_mesh": Query(lambda e: derived.kinds_per_mesh(meshes.interaction_kinds(e, ALL, None)), f"SELECT mesh, CAST(sum(count) AS BIGINT) AS total, string_agg(kind || ':' || count, ',' ORDER BY count DESC, kind) AS kinds FROM ({_KINDS}) GROUP BY mesh ORDER BY total DESC, mesh LIMIT 10"),
+    "navigation_mix": Query(lambda e: derived.navigation_mix(meshes.camera_gestures(e, ALL, None)), f"SELECT kind, gestures, gestures / (SELECT sum(gestures) FROM ({_GEST})) AS share FROM ({_GEST})", "share"),
     "diagnostic_folds": Query(
         lambda e: derived.diagnostic_folds(performance.graphics_diagnostics(e, ALL)).drop("severity_rank"),
         f"SELECT facet, value, CAST(sum(incidents) AS BIGINT) AS incidents FROM (SELECT unnest(['severity', 'category', 'backend', 'total']) AS facet, unnest([severity, category, CASE backend WHEN '' THEN 'unknown' ELSE backend END, '']) AS value, incidents FROM ({_DIAG}) WHERE incidents > 0) GROUP BY ALL",
@@ -239,11 +239,11 @@ CATALOGUE: dict[str, Query] = {
         "errors_per_session",
     ),
     "scene_metrics": Query(
-        lambda e: derived.scene_metrics(spatial.scene_coverage(e, ALL), correlate.navigation_effort(e, ALL)),
+        lambda e: derived.scene_metrics(spatial.scene_coverage(e, ALL, limit=None), correlate.navigation_effort(e, ALL, limit=None)),
         f"SELECT * FROM (SELECT {N} AS occupied_cells, CAST(coalesce(sum(count), 0) AS BIGINT) AS samples FROM ({_COVER})), (SELECT coalesce(avg(total_distance), 0) AS avg_travel, coalesce(sum(active_segments) / nullif(sum(segments), 0), 0) AS active_share FROM ({_NAV}))",
         "avg_travel active_share",
     ),
-    "robust_intensity": Query(lambda e: derived.robust_intensity(spatial.world_heatmap(e, ALL)), f"SELECT *, least(1, greatest(0, count / scale)) AS t FROM ({_HITS}{_TOP}), (SELECT greatest(1, {_Q('count', 0.95)}) AS scale FROM ({_HITS}{_TOP}))", "scale t"),
+    "robust_intensity": Query(lambda e: derived.robust_intensity(spatial.world_heatmap(e, ALL, limit=None)), f"SELECT *, least(1, greatest(0, count / scale)) AS t FROM ({_HITS}{_TOP}), (SELECT greatest(1, {_Q('count', 0.95)}) AS scale FROM ({_HITS}{_TOP}))", "scale t"),
     "heatmap_instances": Query(
         lambda e: derived.heatmap_instances(spatial.world_heatmap(e, ALL), 0.5).drop("r", "g", "b"),
         f"SELECT vx, vy, vz, count, t, (vx + 0.5) * 0.5 AS x, (vy + 0.5) * 0.5 AS y, (vz + 0.5) * 0.5 AS z, 0.45e0 * (0.35e0 + 0.65e0 * t) AS edge FROM (SELECT *, count / (SELECT max(count) FROM ({_HITS}{_TOP})) AS t FROM ({_HITS}{_TOP}))",
@@ -251,7 +251,7 @@ CATALOGUE: dict[str, Query] = {
     ),
     "session_duration": Query(lambda e: derived.session_duration(e), "SELECT session_id, (epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000) AS duration_ms FROM e GROUP BY session_id"),
     "part_popularity": Query(
-        lambda e: derived.part_popularity(meshes.meshes_by_source(e, ALL), meshes.mesh_trend(e, ALL, 86400, 20_000)).select("mesh", "total", "delta", F.size("buckets").cast("long").alias("n_buckets")),
+        lambda e: derived.part_popularity(meshes.meshes_by_source(e, ALL, None), meshes.mesh_trend(e, ALL, 86400, None)).select("mesh", "total", "delta", F.size("buckets").cast("long").alias("n_buckets")),
         f"SELECT mesh, total, delta, n_buckets FROM (SELECT mesh, CAST(sum(count) AS BIGINT) AS total FROM (SELECT mesh, source, {N} AS count {_ACTIVE} GROUP BY ALL) GROUP BY mesh) JOIN (SELECT mesh, CAST(sum(CASE WHEN rn > n // 2 THEN count ELSE -count END) AS BIGINT) AS delta, CAST(max(n) AS BIGINT) AS n_buckets FROM (SELECT *, row_number() OVER (PARTITION BY mesh ORDER BY bucket) AS rn, count(*) OVER (PARTITION BY mesh) AS n FROM (SELECT mesh, {_BUCKET(86400)}, {N} AS count {_ACTIVE} GROUP BY ALL)) GROUP BY mesh) USING (mesh) ORDER BY total DESC, mesh LIMIT 12",
     ),
     # sources, capture and streams on the same events
@@ -268,7 +268,7 @@ CATALOGUE: dict[str, Query] = {
     "session_backfill": Query(lambda e: jobs.backfill(e.withColumn("received_at", F.col("ts")), 5).select("session_id", "event_id"), "SELECT session_id, event_id FROM e QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= 5"),
     "session_lanes": Query(lambda e: derived.session_lanes(e), f"SELECT DISTINCT session_id, lane, CAST(floor((ms - t0) * 600 / greatest(t1 - t0, 1) + 0.5e0) AS BIGINT) AS slot FROM (SELECT session_id, {_LANE_CASE} AS lane, {_MS} AS ms, min({_MS}) OVER (PARTITION BY session_id) AS t0, max({_MS}) OVER (PARTITION BY session_id) AS t1 FROM e) WHERE lane IS NOT NULL"),
     "dead_zones": Query(
-        lambda e: derived.dead_zones(spatial.scene_coverage(e, ALL), _mesh_boxes(e), 1.0),
+        lambda e: derived.dead_zones(spatial.scene_coverage(e, ALL, limit=None), _mesh_boxes(e), 1.0),
         f"SELECT name, CAST(coalesce(sum(count), 0) AS BIGINT) AS visits, coalesce(sum(count), 0) = 0 AS dead FROM ({_BOX_SQL}) b LEFT JOIN ({_COVER}) c ON vx + 0.5e0 BETWEEN x0 - 1 AND x1 + 1 AND vy + 0.5e0 BETWEEN y0 - 1 AND y1 + 1 AND vz + 0.5e0 BETWEEN z0 - 1 AND z1 + 1 GROUP BY name",
     ),
     "gaze_dome": Query(
@@ -276,8 +276,8 @@ CATALOGUE: dict[str, Query] = {
         f"SELECT azimuth_bin, elevation_bin, count, 2 * cos(el) * cos(az) AS x, 2 * sin(el) AS y, 2 * cos(el) * sin(az) AS z FROM (SELECT *, (azimuth_bin + 0.5e0) / 36 * 2 * pi() - pi() AS az, (elevation_bin + 0.5e0) / 36 * pi() - pi() / 2 AS el FROM (SELECT {_bins('direction[1]', 'direction[2]', 'direction[3]', 36)}, {N} AS count FROM e WHERE event_type = 'camera_sample' AND len(direction) = 3 GROUP BY ALL))",
         "x y z",
     ),
-    "flow_graph": Query(lambda e: derived.flow_graph(correlate.flow_by_standpoint(e, ALL, cell_size=2.0)), None),
-    "desire_edges": Query(lambda e: derived.desire_edges(derived.desire_lines(spatial.trajectories(e, ALL, 4.0))), None),
+    "flow_graph": Query(lambda e: derived.flow_graph(correlate.flow_by_standpoint(e, ALL, cell_size=2.0, limit=None)), None),
+    "desire_edges": Query(lambda e: derived.desire_edges(derived.desire_lines(spatial.trajectories(e, ALL, 4.0, None))), None),
 }
 
 
