@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lumenscape.functions.filters import Scope
 from lumenscape.functions.geometry import epoch_ms
@@ -15,6 +15,7 @@ from lumenscape.operators.meshes import Step
 from lumenscape.sources import ingest
 from lumenscape.streaming import jobs
 from lumenscape.plans.scene_view import PROJECT, scene_events, scene_sql
+from lumenscape.schema import MAX_BATCH
 
 ALL = Scope(PROJECT)
 #: Half of the month, one scene.
@@ -128,7 +129,7 @@ def _mesh_boxes(e: DataFrame) -> DataFrame:
 
 
 def _as_batches(e: DataFrame) -> DataFrame:
-    """The view as it would be sent: one batch a session, rows of JSON."""
+    """The view as it would be sent: a session's events in batches of the wire limit at most, rows of JSON."""
     some = lambda c, n: F.when(F.size(c) == n, F.col(c))
     word = lambda c: F.when(F.col(c) != "", F.col(c))
     above = lambda c: F.when(F.col(c) > 0, F.col(c))
@@ -138,8 +139,9 @@ def _as_batches(e: DataFrame) -> DataFrame:
         F.col("fps"), above("fov").alias("fov"), above("aspect").alias("aspect"), above("near").alias("near"), F.col("visible_ms").alias("visibleMs"), F.col("visible_ms").alias("dwellMs"), F.col("visible_ms").alias("durationMs"), F.lit("warning").alias("severity"), F.lit("validation").alias("category"), F.lit("text").alias("message"),
     )
     body = F.concat(F.lit('{"schemaVersion":"1.0","events":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.to_json(wire).alias("j")))), lambda x: x["j"]), ","), F.lit("]}"))
-    per = e.groupBy("session_id").agg(body.alias("body"))
-    return per.select(F.col("session_id").alias("batch_id"), "body", F.lit("2024-02-01").cast("timestamp").alias("received_at"), F.lit("ip").alias("ip"), F.lit("Chrome/1.0 Linux").alias("user_agent"))
+    part = F.floor((F.row_number().over(Window.partitionBy("session_id").orderBy("event_id")) - 1) / MAX_BATCH)
+    per = e.withColumn("part", part).groupBy("session_id", "part").agg(body.alias("body"))
+    return per.select(F.concat_ws("#", "session_id", "part").alias("batch_id"), "body", F.lit("2024-02-01").cast("timestamp").alias("received_at"), F.lit("ip").alias("ip"), F.lit("Chrome/1.0 Linux").alias("user_agent"))
 
 
 def _ingested(e: DataFrame) -> DataFrame:
