@@ -1,7 +1,9 @@
 """Order MinHash fingerprints with built-in functions only.
 
-A text is cut into short units (runs of up to eight non-space characters, so a word gives one or
-more and a text without spaces still gives many). Every run of `k` units is a k-mer; a k-mer that
+A text is cut into short units (runs of up to four non-space characters, so a word gives one or
+more). Where more than 16 non-space characters are ahead without a space, units overlap, one from each
+character, so an insertion into a text without spaces changes only the units around it and those of the
+last 16 characters. Every run of `k` units is a k-mer; a k-mer that
 comes again gets the next occurrence number, so repeats count. One hash of (k-mer, occurrence) deals
 the k-mers into 64 slots and orders them there; the two smallest of a slot, put back in text order,
 are hashed together. Equal slots need the same k-mers in the same order, so a fingerprint follows
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-K = 3
+K = 4
 _POS_BITS = 26  # units of a text that positions can hold: 67 million
 _POS = (1 << _POS_BITS) - 1
 _PRIO = 0xFFFFFFFF
@@ -21,7 +23,7 @@ _SLOT_SHIFT = 58  # 64 slots
 
 
 def units(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,8}"), F.lit(0)), lambda x: F.xxhash64(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?=(\S{1,4}))(?:\S(?=\S{16})|\S{1,4})"), F.lit(1)), lambda x: F.xxhash64(x))
 
 
 def _hashed_kmers(u: Column, k: int) -> Column:

@@ -41,6 +41,17 @@ def test_order_minhash_follows_order(spark):
     assert r[3].near_next == 0
 
 
+def test_order_minhash_without_spaces(spark):
+    """One character put before a long text without spaces changes little; units overlap only in long runs."""
+    text = hashlib.shake_256(b"text").hexdigest(300)
+    short = "a cat sat on the mat by a door"
+    df = table(spark, [(1, text, "en", "s", 1), (2, "+" + text, "en", "s", 1), (3, "日" * 3 + text[:300], "en", "s", 1)])
+    r = {x.doc_id: x for x in order_minhash.order_minhash(df).collect()}
+    assert r[1].near_next > 0.8 and r[2].near_next < r[1].near_next
+    units = spark.createDataFrame([(short,), ("abcdefghijklmnopq",)], "t string").select(F.size(order_minhash.units(F.col("t"))).alias("n")).collect()
+    assert [x.n for x in units] == [len(short.split()), 5]  # one from the first of 17 characters, four from the other 16
+
+
 def test_occurrences_are_numbered(spark):
     rep = [1, 2, 3, 7, 8, 20, 21, 22, 23]
     got = spark.createDataFrame([(rep,)], "r array<int>").select(order_minhash._occurrences(F.col("r")).alias("o")).first().o
