@@ -40,9 +40,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by target weights; the one at which a leaf's quota ends is cut to its token prefix."""
-    read = mix(spark, document_items(docs), MIX).groupBy(F.col("id").alias("__id")).agg(F.max("take_tokens").alias("__take"), F.max("n_tokens").alias("__n"))
-    out = docs.join(read, F.col("doc_id").cast("long") == F.col("__id"))
+    """Documents by target weights; the one at which a leaf's quota ends is cut to its token prefix.
+
+    Every row that the mix reads comes out once with its own tokens: null and repeated ids too. Rows are
+    told apart by a hash of all columns; equal rows come out as often as they are read.
+    """
+    keyed = docs.withColumn("__key", F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    read = mix(spark, document_items(keyed, ("__key",)), MIX, ("__key",)).select("__key", F.col("take_tokens").alias("__take"), F.col("n_tokens").alias("__n"))
+    out = keyed.dropDuplicates(["__key"]).join(read, "__key")
     cut = F.col("__take") < F.col("__n")
     words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     prefix = F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), "")

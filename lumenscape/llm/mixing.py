@@ -79,14 +79,15 @@ def quotas(leaves: DataFrame, plan: Plan) -> DataFrame:
     return leaves.join(given, LEVELS).select(*LEVELS, "tokens", F.col("b").alias("quota"))
 
 
-def mix(spark: SparkSession, items: DataFrame, plan: Plan = PLAN) -> DataFrame:
+def mix(spark: SparkSession, items: DataFrame, plan: Plan = PLAN, keep: tuple[str, ...] = ()) -> DataFrame:
     """items: id, domain, lang, source, n_tokens -> id, levels, epoch, n_tokens, take_tokens of what is read.
 
     take_tokens is below n_tokens only for the item at which a leaf's quota ends. Defined cases: null
     levels are the empty name; items with null or no tokens are never read; a null id is ordered as
-    the empty text; repeated rows are read once each; an empty table gives an empty result.
+    the empty text; repeated rows are read once each; an empty table gives an empty result. Columns of
+    `keep` are carried along.
     """
-    clean = items.select("id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS], F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
+    clean = items.select("id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS], F.col("n_tokens").cast("long").alias("n_tokens"), *keep).where("n_tokens > 0")
     clean = materialise(spark, clean, "items")
     leaves = materialise(spark, quotas(clean.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), plan), "quotas", few=True)
     read = leaves.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.expr("(quota - 1) div tokens")))))
@@ -101,17 +102,17 @@ def mix(spark: SparkSession, items: DataFrame, plan: Plan = PLAN) -> DataFrame:
     sums = sums.withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0)))
     placed = part.join(sums, [*LEVELS, "epoch", "range"]).where("ahead < wanted")
     inside = placed.where("ahead + held <= wanted").withColumn("take_tokens", F.col("n_tokens"))
-    within = Window.partitionBy(*LEVELS, "epoch", "range").orderBy("k", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*LEVELS, "epoch", "range").orderBy("k", "id", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where("ahead + held > wanted").withColumn("cum", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     edge = edge.where("cum < wanted").withColumn("take_tokens", F.least("n_tokens", F.col("wanted") - F.col("cum")))
-    out = ["id", *LEVELS, "epoch", "n_tokens", "take_tokens"]
+    out = ["id", *LEVELS, "epoch", "n_tokens", "take_tokens", *keep]
     return whole.select(out).union(inside.select(out)).union(edge.select(out))
 
 
-def document_items(docs: DataFrame) -> DataFrame:
-    """Items of a table of documents; tokens are words between ASCII white space."""
+def document_items(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items of a table of documents, with the columns of `keep`; tokens are words between ASCII white space."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("id"), domain_of(source).alias("domain"), "lang", source.alias("source"), F.coalesce(count_matches(F.col("text"), WORDS), F.lit(0)).alias("n_tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), domain_of(source).alias("domain"), "lang", source.alias("source"), F.coalesce(count_matches(F.col("text"), WORDS), F.lit(0)).alias("n_tokens"), *keep)
 
 
 def _level_sql(n: int, plan: Plan) -> str:
