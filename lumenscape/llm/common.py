@@ -20,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share. Only a local session, as in tests, may leave it unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="lumenscape-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return f"{configured.rstrip('/')}/lumenscape-{spark.sparkContext.applicationId}"
@@ -32,13 +34,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str, few: bool = False) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
-    few: rows are narrow (ids), so the last stage uses at most four tasks a core and leaves as many files.
-    """
+
+def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_folder(spark, name)
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -121,7 +128,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     per component. Hubs are split by adaptive skew joins; nothing is collected.
     """
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    e = materialise(spark, pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges", few=True)
+    e = materialise(spark, pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
 
     def stars(df: DataFrame) -> bool:
         """Every node hangs on one centre, and no centre hangs on another."""
@@ -134,10 +141,10 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = materialise(spark, large, "cc-large", few=True)
+        large = materialise(spark, large, "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = materialise(spark, small, "cc-edges", few=True)
+        new = materialise(spark, small, "cc-edges")
         forget(spark, e)
         forget(spark, large)
         e = new
@@ -160,14 +167,14 @@ def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[Data
     """
     sizes = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = members.join(sizes, "bucket").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    tested = materialise(spark, pairs, "tested", few=True)
-    links = materialise(spark, verify(tested), "links", few=True)
+    tested = materialise(spark, pairs, "tested")
+    links = materialise(spark, verify(tested), "links")
     comp = connected_components(spark, links)
     star, round_no = rest is None, 0
     while True:
         known = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         spread = known.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        open_ = materialise(spark, known.join(spread.select("bucket", "c0"), "bucket"), "open", few=True)
+        open_ = materialise(spark, known.join(spread.select("bucket", "c0"), "bucket"), "open")
         if open_.isEmpty():
             break
         round_no += 1
@@ -180,7 +187,7 @@ def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[Data
         else:
             cross = rest(open_)
         pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialise(spark, pairs, "tested", few=True)
+        fresh = materialise(spark, pairs, "tested")
         forget(spark, open_)
         if fresh.isEmpty():
             if not star:
@@ -188,7 +195,7 @@ def link_buckets(spark: SparkSession, members: DataFrame, verify: Callable[[Data
             star = False
             continue
         tested = tested.union(fresh)
-        found = materialise(spark, verify(fresh), "links", few=True)
+        found = materialise(spark, verify(fresh), "links")
         if not found.isEmpty():
             links = links.union(found)
             comp = connected_components(spark, links)

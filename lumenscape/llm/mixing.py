@@ -89,7 +89,7 @@ def mix(spark: SparkSession, items: DataFrame, plan: Plan = PLAN, keep: tuple[st
     """
     clean = items.select("id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS], F.col("n_tokens").cast("long").alias("n_tokens"), *keep).where("n_tokens > 0")
     clean = materialise(spark, clean, "items")
-    leaves = materialise(spark, quotas(clean.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), plan), "quotas", few=True)
+    leaves = materialise(spark, quotas(clean.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), plan), "quotas")
     read = leaves.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.expr("(quota - 1) div tokens")))))
     read = read.where("quota > 0").select(*LEVELS, "epoch", F.least("tokens", F.col("quota") - F.col("epoch") * F.col("tokens")).alias("wanted"), "tokens")
     # leaves and epochs are few; AQE broadcasts or splits this join, a hot source stays spread
