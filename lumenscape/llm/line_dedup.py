@@ -29,8 +29,8 @@ MIN_CHARS, THRESHOLD = 40, 2
 GRAM = 3
 #: Longs of the sketch of a line's grams.
 SKETCH = 4
-#: Lines of a key that are tried with each other without dividing the key.
-FEW = 32
+#: Up to so many lines of a key have their sketches compared at once; dividing the key costs a line as much as some thousand comparisons.
+FEW = 1000
 #: Bits of the filters that pick rows on the way: 2 MB, whatever the input.
 _WORD_BITS = 18
 #: Fixed value: the seed that Spark's own 64-bit hash function starts from.
@@ -269,7 +269,7 @@ def divided(spark: SparkSession, rest: DataFrame, texts: DataFrame, threshold: i
         for batch in (b for b in batches if b.num_rows):
             known: dict[str, np.ndarray] = {}
             keys, places, numbers, counts = [], [], [], []
-            for bucket, line, pivot in zip(*(c.to_pylist() for c in batch.columns[2:])):
+            for bucket, line, pivot in zip(*(c.to_pylist() for c in batch.columns[3:])):
                 if len(known) > 2_000:
                     known.clear()
                 for text in (line, pivot):
@@ -285,19 +285,20 @@ def divided(spark: SparkSession, rest: DataFrame, texts: DataFrame, threshold: i
                 places.append(np.append(np.arange(len(first)), np.full(len(sizes), -1)))
                 counts.append(len(both))
                 numbers.append(n)
-            repeat = lambda column: np.repeat(np.asarray(column, np.int64), counts)
-            columns = [np.concatenate(keys), repeat(batch.column(0)), repeat(batch.column(1)), repeat(numbers), np.concatenate(places)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "component", "n", "at"])
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            copied = [c.take(pa.array(row)) for c in batch.columns[:3]]
+            made = [pa.array(c) for c in (np.concatenate(keys), np.array(numbers, np.int64)[row], np.concatenate(places))]
+            yield pa.RecordBatch.from_arrays([*copied, *made], names=["id", "component", "sketch", "key", "n", "at"])
 
     sized = rest.join(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
-    lines = texts.select("id", "line")
-    both = sized.where(F.col("size") > FEW).join(lines, "id").join(lines.select(F.col("id").alias("lo"), F.col("line").alias("pivot")), "lo")
-    keyed = both.select("id", "component", "bucket", "line", "pivot").mapInArrow(run, "key long, id long, component long, n long, at long")
-    small = sized.where(F.col("size") <= FEW).select(F.col("bucket").alias("key"), "id", "component", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+    both = sized.where(F.col("size") > FEW).join(texts, "id").join(texts.select(F.col("id").alias("lo"), F.col("line").alias("pivot")), "lo")
+    keyed = both.select("id", "component", "sketch", "bucket", "line", "pivot").mapInArrow(run, "id long, component long, sketch array<long>, key long, n long, at long")
+    zero = F.lit(0).cast("long")
+    small = sized.where(F.col("size") <= FEW).join(texts.select("id", "sketch"), "id").select("id", "component", "sketch", F.col("bucket").alias("key"), zero.alias("n"), zero.alias("at"))
     keyed = materialise(spark, keyed.union(small), "line-differences")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("at").alias("first"))
     mixed = mixed.where(f"c0 <> c1 and first <= {most // 2}").select("key")
-    left = keyed.join(mixed, "key").join(texts.select("id", "sketch"), "id")
+    left = keyed.join(mixed, "key")
     right = left.select(F.col("key").alias("key2"), *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "at", "sketch")])
     shared = 2 * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= F.col("n") + F.col("n2") - most
     near = (F.col("component") < F.col("component2")) & shared & (unlike("sketch", "sketch2") <= most)
