@@ -26,59 +26,60 @@ GROUP = 512
 
 @dataclass(frozen=True)
 class Limits:
+    """What a sequence holds at most: tokens, pieces, and tokens that bear loss."""
+
     tokens: int = 2048
     segments: int = 64
-    loss: int = 2048
+    loss: int = 1920
 
 
 def pack_group(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (example, start, length).
 
-    cut: examples may be cut anywhere; each piece bears loss like its share of the example's last
-    tokens. Without cut an example must fit the limits whole.
+    The last `loss` tokens of an example bear loss, those in front (its context) do not. A sequence takes the example
+    that fits whole and whose demand has the largest dot product with the room left, both as shares of the limits.
+    cut: where none fits, the one of which most can be placed is cut; the context and the rest of an example over
+    the limits are placed apart. Without cut an example must fit the limits whole.
     """
-    left, begun = tokens.astype(np.int64).copy(), np.zeros(len(tokens), np.int64)
-    prompt = tokens - loss  # tokens in front that bear no loss
+    over = (tokens > limits.tokens) | (loss > limits.loss)
+    if over.any() and not cut:
+        raise ValueError("an example exceeds the limits; allow cuts")
+    context = tokens - loss
+    # parts to place: example, next token, tokens left, and how many of these bear no loss
+    owner = np.concatenate([np.arange(len(tokens)), np.flatnonzero(over)])
+    start = np.concatenate([np.zeros(len(tokens), np.int64), context[over]])
+    left = np.concatenate([np.where(over, context, tokens), loss[over]]).astype(np.int64)
+    bare = np.concatenate([context, np.zeros(over.sum(), np.int64)])
     cap = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.float64)
-
-    def loss_of(i: int, start: int, length: int) -> int:
-        return int(max(0, start + length - max(start, prompt[i])))
-
     sequences: list[list[tuple[int, int, int]]] = []
-    if cut:
-        for i in np.flatnonzero(left >= limits.tokens):
-            while left[i] >= limits.tokens and loss_of(i, begun[i], limits.tokens) <= limits.loss:
-                sequences.append([(int(i), int(begun[i]), limits.tokens)])
-                begun[i] += limits.tokens
-                left[i] -= limits.tokens
-    elif ((tokens > limits.tokens) | (loss > limits.loss)).any():
-        raise ValueError("an example exceeds the limits; allow cuts")
-    while (open_ := np.flatnonzero(left > 0)).size:
+    open_ = np.flatnonzero(left > 0)
+    while open_.size:
         room, pieces = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.int64), []
         while open_.size and room[0] > 0 and room[1] > 0:
-            need_loss = np.maximum(0, begun[open_] + left[open_] - np.maximum(begun[open_], prompt[open_]))
-            fits = (left[open_] <= room[0]) & (need_loss <= room[2])
-            if cut and room[1] == 1:  # the last segment is kept for an example that fills the sequence
-                fits &= left[open_] == room[0]
+            need, need_loss = left[open_], left[open_] - bare[open_]
+            fits = (need <= room[0]) & (need_loss <= room[2])
+            if cut and room[1] == 1:  # the last piece has to fill the sequence
+                fits &= need == room[0]
             if fits.any():
-                some = open_[fits]
-                gain = (left[some] / cap[0]) * (room[0] / cap[0]) + (1 / cap[1]) * (room[1] / cap[1]) + (need_loss[fits] / cap[2]) * (room[2] / cap[2])
-                i = int(some[np.argmax(gain)])
-                length = int(left[i])
+                gain = need[fits] * (room[0] / cap[0] ** 2) + need_loss[fits] * (room[2] / cap[2] ** 2)  # every piece takes one segment
+                at = np.flatnonzero(fits)[np.argmax(gain)]
+                length = int(need[at])
             elif cut:
-                i = int(open_[np.argmax(left[open_])])
-                length = int(min(left[i], room[0]))
-                while length and loss_of(i, int(begun[i]), length) > room[2]:
-                    length -= loss_of(i, int(begun[i]), length) - int(room[2])
+                most = np.minimum(np.minimum(need, room[0]), bare[open_] + room[2])
+                at = int(np.argmax(most))
+                length = int(most[at])
                 if length <= 0:
                     break
             else:
                 break
-            pieces.append((i, int(begun[i]), length))
-            room -= (length, 1, loss_of(i, int(begun[i]), length))
-            begun[i] += length
+            i = open_[at]
+            pieces.append((int(owner[i]), int(start[i]), length))
+            room -= (length, 1, max(0, length - bare[i]))
+            bare[i] -= min(bare[i], length)
+            start[i] += length
             left[i] -= length
-            open_ = np.flatnonzero(left > 0)
+            if left[i] == 0:
+                open_ = np.delete(open_, at)
         sequences.append(pieces)
     return sequences
 
@@ -104,14 +105,20 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack_documents(docs: DataFrame, limits: Limits = Limits(), tokenizer: str | None = None, group: int = GROUP, with_ids: bool = False) -> DataFrame:
+#: Documents have no roles: this part of their tokens, in front, counts as context that bears no loss.
+CONTEXT_SHARE = 8
+
+
+def pack_documents(docs: DataFrame, limits: Limits = Limits(), tokenizer: str | None = None, group: int = GROUP, with_ids: bool = False, context_share: int = CONTEXT_SHARE) -> DataFrame:
     """Tokenise whole texts, end each with END_ID, cut freely and pack; one row per piece.
 
-    A sequence below limits.tokens is cut on into powers of two, so none needs padding. sequence_id
-    is the task's partition over a running number: the same again if a lost task is repeated. All
-    tokens bear loss. Defined cases: a null or empty text is the single token END_ID; repeated rows are packed
-    once each; a null doc_id stays null; an empty table gives an empty result; other columns are
-    ignored. with_ids adds the piece's ids.
+    A sequence below limits.tokens (no part fits its limits, or it is a task's last) is cut on into powers of two,
+    so none needs padding. sequence_id is the task's partition over a running number: the same again if a lost task
+    is repeated. loss_tokens: those of the piece that bear loss, all but the first n // context_share of a document.
+    Defined cases: a null or empty text is the single token END_ID; a very long text is cut into as many sequences as
+    it takes; of documents that tie in the dot product the first read goes first; repeated rows are packed once
+    each; a null doc_id stays null; an empty table gives an empty result; other columns are ignored. with_ids
+    adds the piece's ids.
     """
     path = tokenizer or default_path()
 
@@ -122,7 +129,8 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), tokenizer: str |
             nonlocal count
             n = np.array([len(x) for x in ids], dtype=np.int64)
             rows, kept = [], []
-            for pieces in pack_group(n, n, limits, cut=True):
+            prompt = n // context_share
+            for pieces in pack_group(n, n - prompt, limits, cut=True):
                 whole = sum(p[2] for p in pieces) == limits.tokens
                 if not whole and not last and all(start == 0 and length == n[i] for i, start, length in pieces):
                     kept += [(keys[i], ids[i]) for i, _, _ in pieces]  # not full yet: goes on into the next group
@@ -131,7 +139,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), tokenizer: str |
                     offset = 0
                     for i, start, length in part:
                         piece = ids[i][start : start + length]
-                        rows.append((keys[i], start, length, zlib.crc32(piece.astype("<u4").tobytes()), int(n[i]), base + count, offset, length, *([piece] if with_ids else [])))
+                        rows.append((keys[i], start, length, zlib.crc32(piece.astype("<u4").tobytes()), int(n[i]), base + count, offset, max(0, start + length - max(start, int(prompt[i]))), *([piece] if with_ids else [])))
                         offset += length
                     count += 1
             return table(rows), kept
@@ -169,7 +177,9 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), tokenizer: str |
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits(), group: int = GROUP) -> DataFrame:
     """Whole examples (never cut) with known counts -> (id, tokens, loss, sequence_id, offset).
 
-    Null counts are 0; an example over a limit raises ValueError.
+    Defined cases: null counts are 0; examples without tokens share one sequence of their group; an example over a
+    limit raises ValueError; of ties the first read goes first; repeated rows are packed once each, null ids too;
+    an empty table gives an empty result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
