@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenscape.llm.common import id_crc32, utf8
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 256
-#: Bounds of the fit: languages, documents of each, their length and windows of each document.
-TRAIN_LANGS, TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS = 200, 400, 20_000, 6
+#: Bounds of the fit: documents of each language, of all together (each language has one at least), and windows of each.
+TRAIN_DOCS, TRAIN_ALL, TRAIN_WINDOWS = 400, 100_000, 6
 UNKNOWN = "und"
 
 
@@ -117,22 +117,34 @@ class Predictor:
 
 
 def fit_on_documents(docs: DataFrame, eligible: Column) -> Network | None:
-    """Fit on at most TRAIN_DOCS documents of each of the TRAIN_LANGS most frequent languages."""
+    """Fit on windows of at most TRAIN_DOCS documents of every language, picked by a hash of their ids.
+
+    A language's documents are thinned by its count to little more than what is wanted, in every task alike, so no task
+    and no driver holds more of a frequent language. Windows are cut where the texts are.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = []
+            for text in batch.column(3).to_pylist():
+                w = windows_of(text) if any(map(str.isalpha, text)) else np.empty((0, WINDOW), np.uint8)
+                windows.append(w[np.unique(np.linspace(0, len(w) - 1, min(TRAIN_WINDOWS, len(w))).astype(int))].tobytes() if len(w) else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(windows, pa.binary())], names=["lang", "r", "doc_id", "windows"])
+
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & eligible & F.col("text").isNotNull())
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS)
-    names = sorted(row["lang"] for row in langs.collect())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id"))
-    short = known.where((F.char_length("text") <= TRAIN_CHARS) & (F.col("lang").isin(names) if names else F.lit(False)))
-    chosen = short.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= TRAIN_DOCS)
-    got = docs.select("doc_id", "text", F.col("lang").alias("l")).join(F.broadcast(chosen.select("doc_id", "lang", "r")), "doc_id").where("l = lang").select("lang", "r", "doc_id", "text").collect()
-    xs, ys = [], []
-    for row in sorted(got, key=lambda row: (row["lang"], row["r"], row["doc_id"])):
-        if any(map(str.isalpha, row["text"])):
-            w = windows_of(row["text"])
-            w = w[np.unique(np.linspace(0, len(w) - 1, min(TRAIN_WINDOWS, len(w))).astype(int))]
-            xs.append(w)
-            ys += [names.index(row["lang"])] * len(w)
-    return fit_network(np.concatenate(xs), np.array(ys), names) if xs else None
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    names = sorted(row["lang"] for row in counts.select("lang").collect())
+    each = max(1, min(TRAIN_DOCS, TRAIN_ALL // max(1, len(names))))
+    share = (each + 6 * each**0.5 + 8) / F.col("n")  # six deviations more than wanted
+    thinned = known.join(F.broadcast(counts.select(F.col("lang").alias("l"), share.alias("share"))), F.col("lang") == F.col("l"))
+    thinned = thinned.withColumn("r", F.xxhash64("doc_id", F.lit(6))).where((F.col("r").cast("double") + 2.0**63) / 2.0**64 < F.col("share"))
+    rows: dict[str, list] = {}
+    for row in thinned.select("lang", "r", "doc_id", "text").mapInArrow(cut, "lang string, r long, doc_id long, windows binary").collect():
+        rows.setdefault(row["lang"], []).append((row["r"], row["doc_id"], bytes(row["windows"])))
+    xs = [(names.index(lang), np.frombuffer(w, np.uint8).reshape(-1, WINDOW)) for lang in sorted(rows) for _, _, w in sorted(set(rows[lang]))[:each] if w]
+    if not xs:
+        return None
+    return fit_network(np.concatenate([w for _, w in xs]), np.concatenate([np.full(len(w), lang) for lang, w in xs]), names)
 
 
 def predict(spark: SparkSession, docs: DataFrame, net: Network | None) -> DataFrame:
@@ -170,8 +182,9 @@ def languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Learns only from text and non-null lang of rows whose crc32(doc_id) mod 4 is not 2. Defined cases:
     a text that is null or has no letter, and every text if there is nothing to learn from: `und` with
-    score 0; a null doc_id is never learnt from and not held out; repeated rows come out once each; an
-    empty table gives an empty result; other columns are ignored.
+    score 0; of languages that tie the first by name; a very long text is read whole, window by window; a null doc_id is
+    never learnt from and not held out; repeated rows come out once each; an empty table gives an empty result; other
+    columns are ignored.
     """
     fold = F.coalesce(id_crc32("doc_id") % 4, F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
