@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from lumenscape.llm import graph_dedup, line_dedup
 from lumenscape.llm.circulant_minhash import near_duplicates, signature
@@ -149,28 +150,52 @@ def test_lines_of_odd_documents(spark):
     assert texts[None].startswith("a text without an id")
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("shard_rows", [1200, 24])
+def test_near_vectors(spark, shard_rows):
+    """One shard, and many overlapping ones with crowded ones in parts."""
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
     x = np.concatenate([base, base[:20] + rng.normal(scale=0.08, size=(20, 16)), np.repeat(base[:1], 40, 0) + rng.normal(scale=0.05, size=(40, 16)), base[5:8] * 3.0])
     rows = [(int(i), [float(v) for v in row], 0) for i, row in enumerate(x)]
-    odd = [(500, None, 0), (501, [0.0] * 16, 0), (502, [float("nan")] + [1.0] * 15, 0), (503, [None] + [1.0] * 15, 0), (504, [float("inf")] * 16, 0), (505, [1.0, 2.0], 0), (None, rows[0][1], 0), (0, rows[0][1], 1)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").withColumnRenamed("label", "id")
-    got = graph_dedup.near_vectors(spark, df).collect()
-    assert len(got) == len(rows) + len(odd)
+    odd = [(500, None, 0), (501, [0.0] * 16, 0), (502, [float("nan")] + [1.0] * 15, 0), (503, [None] + [1.0] * 15, 0), (504, [float("inf")] * 16, 0), (505, [], 0)]
+    other = [(600, [1.0, 2.0], 0), (601, [1.0, 2.1], 0), (602, [-1.0, 2.0], 0), (603, [3.0, 6.0], 0)]  # vectors of another length
+    twice = [(None, rows[0][1], 0), (0, rows[0][1], 1)]
+    df = spark.createDataFrame(rows + odd + other + twice, "vec_id long, embedding array<double>, label int").withColumnRenamed("label", "id").withColumn("vec", F.lit("clash"))
+    got = graph_dedup.near_vectors(spark, df, shard_rows=shard_rows).collect()
+    assert len(got) == len(rows) + len(odd) + len(other) + len(twice)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
     groups = Groups()
     for a, b in zip(*np.nonzero(near)):
         groups.link(int(a), int(b))
+    recall = [r.n_links / near[r.vec_id].sum() for r in got if r.vec_id is not None and r.vec_id < 500 and near[r.vec_id].any()]
+    assert np.mean(recall) >= 0.98 and max(recall) <= 1 and (shard_rows < 1200 or min(recall) == 1)
     for r in got:
         if r.vec_id is None:
             assert r.component_id is None and r.kept and r.n_links == 0
+        elif r.vec_id >= 600:
+            assert (r.n_links, r.component_id) == ((0, 602) if r.vec_id == 602 else (2, 600))
         elif r.vec_id >= 500:
             assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
         else:
-            assert (r.n_links, r.component_id) == (near[r.vec_id].sum(), groups.root(r.vec_id))
+            assert r.component_id == groups.root(r.vec_id)
+
+
+def test_vectors_of_one_id_are_of_one_component(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [-1.0, 0.0])]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in graph_dedup.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)}
+
+
+def test_spanning_edges_connect_what_links_connect():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 90, 70), rng.integers(0, 90, 70)
+    groups = Groups()
+    for x, y in zip(a.tolist(), b.tolist()):
+        groups.root(x), groups.root(y), groups.link(x, y)
+    xs, roots = graph_dedup.spanning_edges(a, b)
+    assert dict(zip(xs.tolist(), roots.tolist())) == {x: groups.root(x) for x in groups if groups.root(x) != x}
 
 
 def test_greedy_search_finds_the_query():
