@@ -6,7 +6,7 @@ character, so an insertion into a text without spaces changes only the units aro
 last 16 characters. Every run of `k` units is a k-mer; a k-mer that
 comes again gets the next occurrence number, so repeats count. One hash of (k-mer, occurrence) deals
 the k-mers into 64 slots and orders them there; the two smallest of a slot, put back in text order,
-are hashed together. Equal slots need the same k-mers in the same order, so a fingerprint follows
+are hashed together (a slot with one k-mer takes its second from the next slot). Equal slots need the same k-mers in the same order, so a fingerprint follows
 edit distance rather than set overlap. Everything of one text happens in array expressions of its
 own row: no rows are exploded and nothing is shuffled for a fingerprint.
 """
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 K = 4
 _POS_BITS = 26  # units of a text that positions can hold: 67 million
 _POS = (1 << _POS_BITS) - 1
-_PRIO = 0xFFFFFFFF
 _SLOT_SHIFT = 58  # 64 slots
 
 
@@ -72,13 +71,17 @@ def _slot(x: Column) -> Column:
 
 
 def _tuples(kept: Column) -> Column:
-    """One long per filled slot: the slot over 32 bits of the hash of its two k-mers in text order."""
+    """One long per filled slot: the slot over 32 bits of the hash of two k-mers in text order.
+
+    They are the slot's two smallest; a slot with one k-mer takes the smallest of the next filled slot as the
+    second (the last slot: of the first one), so that short texts keep their order too.
+    """
 
     def prio(x: Column) -> Column:
-        return F.shiftright(x, _POS_BITS).bitwiseAND(_PRIO)
+        return F.shiftright(x, _POS_BITS)
 
     def entry(x: Column, i: Column) -> Column:
-        other = F.when(_slot(F.get(kept, i + 1)) == _slot(x), F.get(kept, i + 1))
+        other = F.when(F.size(kept) > 1, F.coalesce(F.get(kept, i + 1), F.get(kept, F.lit(0))))
         forward = x.bitwiseAND(_POS) < other.bitwiseAND(_POS)
         pair = F.when(other.isNull(), F.xxhash64(prio(x))).when(forward, F.xxhash64(prio(x), prio(other))).otherwise(F.xxhash64(prio(other), prio(x)))
         first = (i == 0) | (_slot(F.get(kept, i - 1)) != _slot(x))
@@ -114,26 +117,35 @@ def as_text(signature: str) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lower(F.hex(x))), ".")
 
 
-def with_next_document(docs: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
+#: Rows of one range of ids, and ranges on each of two levels at most.
+RANGE_ROWS, RANGES = 4_000, 128
+
+
+def with_next_document(docs: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add next_<column> of the following row by ascending doc_id; the last row's next is the first.
 
-    Ids are cut at quantiles into even ranges; the first row of each range is also sent to the range
-    before, so one shuffle by range answers every row. Null ids come first; repeated ids are ordered
-    by the first of `columns`.
+    Ids are cut at quantiles into even ranges, as many as the rows ask for, found on two levels; the first row of
+    each range is also sent to the range before, so one shuffle by range answers every row. Null ids come
+    first; repeated ids are ordered by the first of `columns`. A range may be larger than a task's memory, as
+    its window is sorted on disk and read in order.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     keyed = docs.withColumn("__key", key)
-    probs = [i / buckets for i in range(1, buckets)]
-    lowest, cuts = keyed.agg(F.min("__key"), F.percentile_approx("__key", probs, 100_000)).first()
-    if lowest is None:
+    n_rows, lowest = keyed.agg(F.count(F.lit(1)), F.min("__key")).first()
+    if not n_rows:
         return keyed.select(*docs.columns, *[F.col(c).alias(f"next_{c}") for c in columns])
+    wanted = min(RANGES**2, max(64, -(-n_rows // range_rows)))
+    cuts = keyed.agg(F.percentile_approx("__key", [i / wanted for i in range(1, wanted)], 100_000)).first()[0]
     bounds = sorted({lowest, *cuts})
-    n = len(bounds)
-    literal = F.array(*[F.lit(b).cast("long") for b in bounds])
-    bucket = F.size(F.filter(literal, lambda b: b <= F.col("__key"))) - 1
-    before = F.when(F.col("__key").isin(bounds), (F.col("__own") + n - 1) % n)
-    sent = keyed.withColumn("__own", bucket).withColumn("__b", F.explode(F.array_compact(F.array(F.struct(F.col("__own").alias("b"), F.lit(0).alias("guest")), F.when(before.isNotNull(), F.struct(before.alias("b"), F.lit(1).alias("guest")))))))
-    sent = sent.select("*", "__b.b", "__b.guest").drop("__b", "__own")
+    n, step = len(bounds), -(-len(bounds) // RANGES)
+    longs = lambda values: F.array(*[F.lit(b).cast("long") for b in values])
+    upto = lambda values: F.size(F.filter(values, lambda b: b <= F.col("__key")))
+    top = upto(longs(bounds[::step])) - 1
+    below = F.array(*[longs(bounds[i : i + step]) for i in range(0, n, step)])
+    keyed = keyed.withColumn("__own", top * step + upto(F.get(below, top)) - 1)
+    before = F.when(F.get(F.get(below, F.expr(f"__own div {step}").cast("int")), F.col("__own") % step) == F.col("__key"), (F.col("__own") + n - 1) % n)
+    places = F.array_compact(F.array(F.struct(F.col("__own").alias("b"), F.lit(0).alias("guest")), F.when(before.isNotNull(), F.struct(before.alias("b"), F.lit(1).alias("guest")))))
+    sent = keyed.withColumn("__b", F.explode(places)).select("*", "__b.b", "__b.guest").drop("__b", "__own")
     w = Window.partitionBy("b").orderBy("guest", "__key", columns[0])
     led = sent.select(*docs.columns, "guest", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return led.where("guest = 0").drop("guest")
@@ -144,8 +156,10 @@ def order_minhash(docs: DataFrame, k: int = K) -> DataFrame:
 
     The edited text: the last floor(n_chars/4) code points replaced by the first as many (or all) of
     the next document. Defined cases: null text is the empty text; an empty or white-space text has an
-    empty fingerprint, like only another empty one; a single document is its own next; repeated rows
-    come out once each; an empty table gives an empty result; other columns are ignored.
+    empty fingerprint, like only another empty one; a text of fewer than k units is like only its equals; a very long
+    text is read whole, within one row; a single document is its own next; of rows that tie in doc_id the one with the
+    smaller text comes first; repeated rows come out once each; an empty table gives an empty result; other columns are
+    ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = with_signature(base, "text", "sig", k)

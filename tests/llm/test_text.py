@@ -1,11 +1,14 @@
 """Fingerprints, secrets, tokens, packing, mixing, rollups and classifiers."""
 
 import hashlib
+import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -32,6 +35,66 @@ def test_order_minhash(spark, rows):
             assert r.near_edited == 1 and r.fingerprint == r.edited_fingerprint
 
 
+def h64(seed, *parts):
+    """Chained 64-bit hashes, signed: strings by their bytes, longs by eight bytes, (int,) by four."""
+    for part in parts:
+        raw = part.encode() if isinstance(part, str) else struct.pack("<i", *part) if isinstance(part, tuple) else struct.pack("<q", part)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_signature(text, k=order_minhash.K):
+    space = r" \t\n\x0b\f\r"
+    units = [h64(42, m[1]) for m in re.finditer(rf"(?=([^{space}]{{1,4}}))(?:[^{space}](?=[^{space}]{{16}})|[^{space}]{{1,4}})", text)]
+    low = (1 << 26) - 1
+    kmers = [(h64(42, *units[i : i + k]) & ~low, i) for i in range(len(units) - k + 1)]
+    if units and len(units) < k:
+        kmers = [(h64(42, " ".join(map(str, units))) & ~low, 0)]
+    seen, placed = {}, []
+    for kmer, i in kmers:
+        again = seen[kmer] = seen.get(kmer, -1) + 1
+        placed.append(((h64(42, kmer >> 26, (again,)) & ~low if again else kmer) | i))
+    slots = {}
+    for x in sorted(placed):
+        slots.setdefault(x >> 58, []).append(x)
+    kept = [x for s in sorted(slots) for x in slots[s][:2]]
+    out = {}
+    for i, x in enumerate(kept):
+        if x >> 58 not in out:
+            both = sorted({x, kept[(i + 1) % len(kept)]}, key=lambda y: y & low)
+            out[x >> 58] = h64(42, *[y >> 26 for y in both]) & 0xFFFFFFFF
+    return sorted((s & 63) << 32 | v for s, v in out.items()), out
+
+
+@pytest.mark.parametrize("rows", [corpus(30, 2), [r for r in odd_rows() if r[0] is not None and r[0] != 10]])
+def test_order_minhash_equals_a_plain_twin(spark, rows):
+    rows = rows + [(900, "la " * 50 + "x" * 90, "en", "s", 1), (901, "to be or not to be " * 3, "en", "s", 1)]
+    got = {r.doc_id: r for r in order_minhash.order_minhash(table(spark, rows)).collect()}
+    texts = [(r[0], r[1] or "") for r in sorted(rows)]
+    likeness = lambda a, b: 1.0 if not a and not b else len(a.items() & b.items()) / len(a.keys() | b.keys())
+    for i, (doc, text) in enumerate(texts):
+        after = texts[(i + 1) % len(texts)][1]
+        q = len(text) // 4
+        (mine, a), (edited, b), (_, c) = map(plain_signature, (text, text[: len(text) - q] + after[:q], after))
+        assert sorted(int(x, 16) for x in got[doc].fingerprint.split(".") if x) == mine
+        assert sorted(int(x, 16) for x in got[doc].edited_fingerprint.split(".") if x) == edited
+        assert (got[doc].near_edited, got[doc].near_next) == (likeness(a, b), likeness(a, c))
+
+
+def test_short_texts_keep_their_order_and_long_ones_an_insertion(spark):
+    words = sentence(random.Random(5), 24).split()
+    letters = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=3000))
+    df = table(spark, [(1, " ".join(words), "", "", 1), (2, " ".join(words[12:] + words[:12]), "", "", 1), (3, letters, "", "", 1), (4, "q" + letters, "", "", 1)])
+    r = {x.doc_id: x.near_next for x in order_minhash.order_minhash(df).collect()}
+    assert r[1] < 0.65 and r[3] > 0.9
+
+
+def test_many_ranges_give_the_same_next(spark):
+    docs = spark.range(0, 900, 3).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = {r.doc_id: r.next_text for r in order_minhash.with_next_document(docs, ["text"], range_rows=1).collect()}
+    assert got == {i: str((i + 3) % 900) for i in range(0, 900, 3)}
+
+
 def test_order_minhash_follows_order(spark):
     words = [f"w{i}" for i in range(300)]
     other = words[150:] + words[:150]
@@ -222,8 +285,6 @@ def held_out(spark, n, fold):
 
 
 def test_toxicity(spark):
-    import random
-
     rng = random.Random(7)
     bad = ["vilewort", "rotgrub", "scornling"]
     docs, labels = [], []
@@ -272,8 +333,6 @@ def test_marginals_equal_enumeration():
 
 
 def test_language_id(spark):
-    import random
-
     rng = random.Random(3)
     endings = {"aa": ["ung", "keit", "schaft"], "bb": ["tion", "ness", "ful"], "cc": ["eux", "elle", "ment"]}
     docs = [(i, " ".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice(endings[lang]) for _ in range(rng.randint(15, 120))), lang, "s", 1) for i in range(360) for lang in ["aa bb cc".split()[i % 3]]]
