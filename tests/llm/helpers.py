@@ -2,6 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+CLASHES = (
+    "id", "bucket", "h", "line", "score", "spans", "token", "component", "vec", "blob", "take_tokens", "__score", "__spans", "n_dropped", "dropped", "key", "take", "n",
+    "row_key", "gone", "kept", "units", "words", "r", "toxic", "group", "windows", "b", "guest", "sig", "shard", "epoch", "n_tokens", "domain", "quota",
+)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -43,9 +49,7 @@ def corpus(n: int = 120, seed: int = 1) -> list[tuple]:
 
 def table(spark, rows, clashing: bool = False):
     df = spark.createDataFrame(rows, SCHEMA)
-    for name in ("id", "bucket", "h", "line", "score", "spans", "token", "component", "vec", "blob", "take_tokens", "__score") if clashing else ():
-        from pyspark.sql import functions as F
-
+    for name in CLASHES if clashing else ():
         df = df.withColumn(name, F.lit("clash"))
     return df
 

@@ -13,7 +13,7 @@ from tests.llm.test_dedup import expected_components, expected_lines
 def test_stages(spark, tmp_path):
     rows = corpus(70, 12) + [(5000 + i, *r[1:]) for i, r in enumerate(odd_rows()) if i not in (10, 11)]
     toxic = [(9000 + i, f"vilewort rotgrub scornling number {i} is in this text for the toxicity stage", "en", "src1", 60) for i in range(60)]
-    table(spark, rows + toxic).write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, rows + toxic, clashing=True).write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(r[0], 1, 0) for r in rows] + [(r[0], 1, 1) for r in toxic[:50]]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -41,7 +41,7 @@ def test_stages(spark, tmp_path):
     words = sum(len((r[1] or "").split()) for r in before)
     mixed = after.collect()
     assert all(texts[r.doc_id].startswith(r.text) for r in mixed) and after.columns == columns
-    assert abs(sum(len(r.text.split()) for r in mixed) - words * 0.8) <= 20
+    assert sum(len(r.text.split()) for r in mixed) == words * corpus_pipeline.MIX.percent // 100
     before, after = outs["pack"]
     assert {r.doc_id for r in after.collect()} == {r[0] for r in before}
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
