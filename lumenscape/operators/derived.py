@@ -185,26 +185,26 @@ def robust_intensity(voxels: DataFrame, q: float = 0.95) -> DataFrame:
     return voxels.crossJoin(F.broadcast(scale)).withColumn("t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("count") / F.col("scale"))))
 
 
-def _coloured(df: DataFrame) -> DataFrame:
-    return df.select("*", *[c.alias(n) for c, n in zip(g.ramp(F.col("t"), THERMAL), "rgb")])
+def _coloured(df: DataFrame, stops: list = THERMAL) -> DataFrame:
+    return df.select("*", *[c.alias(n) for c, n in zip(g.ramp(F.col("t"), stops), "rgb")])
 
 
-def _relative(df: DataFrame, limit: int) -> DataFrame:
-    """Top rows by count, with t = count over the largest count."""
+def _relative(df: DataFrame, limit: int, keys: list[str]) -> DataFrame:
+    """Top rows by count (ties by their keys), with t = count over the largest count."""
     some = df.where("count > 0")
-    return some.crossJoin(F.broadcast(some.agg(F.max("count").alias("most")))).withColumn("t", F.col("count") / F.col("most")).drop("most").orderBy(F.desc("count")).limit(limit)
+    return some.crossJoin(F.broadcast(some.agg(F.max("count").alias("most")))).withColumn("t", F.col("count") / F.col("most")).drop("most").orderBy(F.desc("count"), *keys).limit(limit)
 
 
-def heatmap_instances(voxels: DataFrame, cell_size: float, limit: int = 2000) -> DataFrame:
+def heatmap_instances(voxels: DataFrame, cell_size: float, limit: int = 2000, stops: list = THERMAL) -> DataFrame:
     """Boxes to draw: centre, edge and colour of each voxel."""
-    rows = _relative(voxels, limit)
+    rows = _relative(voxels, limit, VOXEL)
     edge = F.lit(cell_size * 0.9) * (F.lit(0.35) + F.col("t") * 0.65)
-    return _coloured(rows.select(*VOXEL, "count", "t", *[g.voxel_centre(F.col(v), cell_size).alias(a) for v, a in zip(VOXEL, "xyz")], edge.alias("edge")))
+    return _coloured(rows.select(*VOXEL, "count", "t", *[g.voxel_centre(F.col(v), cell_size).alias(a) for v, a in zip(VOXEL, "xyz")], edge.alias("edge")), stops)
 
 
 def gaze_dome(directions: DataFrame, bins: int, radius: float, centre: tuple[float, float, float] = (0.0, 0.0, 0.0), limit: int = 1500) -> DataFrame:
     """Points on a sphere, one for each view-direction bin."""
-    rows = _relative(directions, limit)
+    rows = _relative(directions, limit, ["azimuth_bin", "elevation_bin"])
     d = g.bin_direction(F.col("azimuth_bin"), F.col("elevation_bin"), bins)
     size = F.lit(radius * 0.06) * (F.lit(0.35) + F.col("t") * 0.65)
     return _coloured(rows.select("azimuth_bin", "elevation_bin", "count", "t", *[(x * radius + c).alias(a) for x, c, a in zip(d, centre, "xyz")], size.alias("edge")))

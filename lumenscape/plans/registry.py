@@ -52,6 +52,7 @@ def _v(vector: str, names: str = "vx vy vz", size: str = "0.5e0", axes: tuple[in
 N = "CAST(count(*) AS BIGINT)"
 _HITS = f"SELECT {_v('hit_point')}, {N} AS count FROM e WHERE event_type IN ('pointer_move', 'pointer_click') AND len(hit_point) = 3"
 _GAZE = f"SELECT {_v('hit_point')}, {N} AS count FROM e WHERE event_type = 'camera_sample' AND len(hit_point) = 3"
+_HITS_ALL, _GAZE_ALL = f"{_HITS} GROUP BY ALL", f"{_GAZE} GROUP BY ALL"
 _TOP = " GROUP BY ALL ORDER BY count DESC, vx, vy, vz LIMIT 1000"
 _PART = " AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND scene_id = 'lobby'"
 _BOX = " AND hit_point[1] BETWEEN -5 AND 5 AND hit_point[2] BETWEEN -5 AND 5 AND hit_point[3] BETWEEN -5 AND 5"
@@ -73,7 +74,8 @@ def _asof(clicks: str, cameras: str, kind: str = "ASOF JOIN") -> str:
 
 _FLOW = f"SELECT {_bins('d[1]', 'd[2]', 'd[3]', 24)}, mesh, {N} AS count FROM {_asof('''mesh <> '' ''', 'len(direction) = 3')} GROUP BY ALL ORDER BY count DESC, azimuth_bin, elevation_bin, mesh LIMIT 150"
 _ORIGINS = f"SELECT {_bins('d[1]', 'd[2]', 'd[3]', 24)}, mesh, CASE WHEN len(ray_origin) = 3 THEN ray_origin ELSE p END AS o FROM {_asof('''mesh <> '' ''', 'len(direction) = 3 AND len(position) = 3')}"
-_STANDING = f"SELECT azimuth_bin, elevation_bin, {_v('o', 'origin_vx origin_vy origin_vz', '2e0')}, mesh, avg(o[1]) AS origin_x, avg(o[2]) AS origin_y, avg(o[3]) AS origin_z, {N} AS count FROM ({_ORIGINS}) GROUP BY azimuth_bin, elevation_bin, origin_vx, origin_vy, origin_vz, mesh ORDER BY count DESC, azimuth_bin, elevation_bin, mesh, origin_vx, origin_vy, origin_vz LIMIT 150"
+_STANDING = f"SELECT azimuth_bin, elevation_bin, {_v('o', 'origin_vx origin_vy origin_vz', '2e0')}, mesh, avg(o[1]) AS origin_x, avg(o[2]) AS origin_y, avg(o[3]) AS origin_z, {N} AS count FROM ({_ORIGINS}) GROUP BY azimuth_bin, elevation_bin, origin_vx, origin_vy, origin_vz, mesh"
+_STANDING_TOP = f"{_STANDING} ORDER BY count DESC, azimuth_bin, elevation_bin, mesh, origin_vx, origin_vy, origin_vz LIMIT 150"
 _L, _H = "sqrt(d[1]*d[1] + d[2]*d[2] + d[3]*d[3])", "sqrt(d[1]*d[1] + d[3]*d[3])"
 _RIGHT, _UP = "((2 * screen[1] - 1) * n * tan(f / 2) * a)", "((1 - 2 * screen[2]) * n * tan(f / 2))"
 _PLANE = {
@@ -82,7 +84,13 @@ _PLANE = {
     3: f"p[3] + d[3] * n / {_L} - d[1] / {_H} * {_RIGHT} - d[2] * d[3] / ({_L} * {_H}) * {_UP}",
 }
 _RAY_ROWS = "SELECT mesh, hit_point AS h, " + ", ".join(f"CASE WHEN len(ray_origin) = 3 THEN ray_origin[{i}] WHEN len(screen) = 2 AND f > 0 AND a > 0 AND n > 0 AND {_H} > 1e-6 * {_L} THEN {_PLANE[i]} ELSE p[{i}] END AS o{i}" for i in (1, 2, 3)) + f" FROM {_asof('len(hit_point) = 3', 'len(position) = 3', 'ASOF LEFT JOIN')}"
-_RAYS = f"SELECT {', '.join(f'CAST(floor(o{i} / 0.5e0) AS BIGINT) AS cam_v{x}' for i, x in zip((1, 2, 3), 'xyz'))}, {_v('h', 'hit_vx hit_vy hit_vz')}, mesh, {', '.join(f'avg(o{i}) AS origin_{x}, avg(h[{i}]) AS hit_{x}' for i, x in zip((1, 2, 3), 'xyz'))}, {N} AS count FROM ({_RAY_ROWS}) WHERE o1 IS NOT NULL GROUP BY cam_vx, cam_vy, cam_vz, hit_vx, hit_vy, hit_vz, mesh ORDER BY count DESC, cam_vx, cam_vy, cam_vz, hit_vx, hit_vy, hit_vz, mesh LIMIT 500"
+_RAYS = f"SELECT {', '.join(f'CAST(floor(o{i} / 0.5e0) AS BIGINT) AS cam_v{x}' for i, x in zip((1, 2, 3), 'xyz'))}, {_v('h', 'hit_vx hit_vy hit_vz')}, mesh, {', '.join(f'avg(o{i}) AS origin_{x}, avg(h[{i}]) AS hit_{x}' for i, x in zip((1, 2, 3), 'xyz'))}, {N} AS count FROM ({_RAY_ROWS}) WHERE o1 IS NOT NULL GROUP BY cam_vx, cam_vy, cam_vz, hit_vx, hit_vy, hit_vz, mesh"
+_RAYS_TOP = f"{_RAYS} ORDER BY count DESC, cam_vx, cam_vy, cam_vz, hit_vx, hit_vy, hit_vz, mesh LIMIT 500"
+
+
+def _count_types(*types: str) -> str:
+    names = ", ".join(f"'{t}'" for t in types)
+    return f"CAST(count(*) FILTER (event_type IN ({names})) AS BIGINT)"
 
 
 def _pairs(vector: str) -> str:
@@ -91,7 +99,8 @@ def _pairs(vector: str) -> str:
 
 
 _DIST = "sqrt((c.v[1]-m.v[1])*(c.v[1]-m.v[1]) + (c.v[2]-m.v[2])*(c.v[2]-m.v[2]) + (c.v[3]-m.v[3])*(c.v[3]-m.v[3]))"
-_NAV = f"SELECT session_id, {N} AS segments, sum(dist) AS total_distance, CAST(sum(CASE WHEN dist >= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS active_segments, sum(CASE WHEN dist >= 0.05 THEN dist ELSE 0 END) AS active_distance FROM (SELECT c.session_id, {_DIST} AS dist FROM {_pairs('position')}) GROUP BY session_id ORDER BY total_distance DESC, session_id LIMIT 500"
+_NAV = f"SELECT session_id, {N} AS segments, sum(dist) AS total_distance, CAST(sum(CASE WHEN dist >= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS active_segments, sum(CASE WHEN dist >= 0.05 THEN dist ELSE 0 END) AS active_distance FROM (SELECT c.session_id, {_DIST} AS dist FROM {_pairs('position')}) GROUP BY session_id"
+_NAV_TOP = f"{_NAV} ORDER BY total_distance DESC, session_id LIMIT 500"
 _LEN = lambda x: f"sqrt({x}.v[1]*{x}.v[1] + {x}.v[2]*{x}.v[2] + {x}.v[3]*{x}.v[3])"
 _TURN = f"acos(least(1, greatest(-1, (c.v[1]*m.v[1] + c.v[2]*m.v[2] + c.v[3]*m.v[3]) / ({_LEN('c')} * {_LEN('m')}))))"
 _BY_SESSION = lambda cols: f"(SELECT session_id, {N} AS n, {cols} {_PERF} GROUP BY session_id)"
@@ -99,14 +108,19 @@ _Q = lambda x, q=0.5: f"quantile_cont({x}, {q})"
 _DUR = f"{N} AS {{n}}, sum(visible_ms) AS total_ms, avg(visible_ms) AS avg_ms, max(visible_ms) AS max_ms"
 _INPUTS = "event_type IN ('camera_gesture', 'hover_dwell', 'input_action', 'mesh_interaction', 'pointer_click', 'pointer_down', 'pointer_move', 'pointer_up')"
 _XR = "source IN ('xr-controller', 'hand', 'gaze', 'transient')"
-_BYSRC = f"SELECT event_type, source, {N} AS count, CAST(count(DISTINCT session_id) AS BIGINT) AS sessions FROM e WHERE {_INPUTS} GROUP BY ALL ORDER BY count DESC, event_type, source LIMIT 100"
+_BYSRC = f"SELECT event_type, source, {N} AS count, CAST(count(DISTINCT session_id) AS BIGINT) AS sessions FROM e WHERE {_INPUTS} GROUP BY ALL"
+_BYSRC_TOP = f"{_BYSRC} ORDER BY count DESC, event_type, source LIMIT 100"
 _TRUTH = f"SELECT {N} AS samples, avg(fps) AS avg_fps, {_Q('fps')} AS p50_fps, avg(nullif(render_scale, 0)) AS avg_render_scale, {_Q('nullif(render_scale, 0)')} AS p50_render_scale, CAST(sum(CASE WHEN render_scale > 0 AND render_scale < 1 THEN 1 ELSE 0 END) AS BIGINT) AS downscaled_samples, CAST(sum(CASE WHEN render_scale > 0 THEN 1 ELSE 0 END) AS BIGINT) AS scale_samples {_PERF}"
 _DIAG = f"SELECT {_JSON('severity')} AS severity, {_JSON('category')} AS category, coalesce({_JSON('backend')}, '') AS backend, CAST(sum(coalesce(TRY_CAST({_JSON('count')} AS BIGINT), 1)) AS BIGINT) AS incidents FROM e WHERE event_type = 'graphics_diagnostic' GROUP BY ALL"
-_TECH = f"SELECT {', '.join(f'coalesce({_JSON(*p)}, chr(0)[1:0]) AS {n}' for n, p in (('api', ('graphics', 'api')), ('backend', ('graphics', 'backend')), ('api_version', ('graphics', 'apiVersion')), ('shading_language', ('graphics', 'shadingLanguage'))))}, {N} AS sessions FROM e WHERE event_type = 'session_start' GROUP BY ALL".replace("chr(0)[1:0]", "''")
-_COVER = f"SELECT {_v('position', size='1e0')}, {N} AS count FROM e WHERE event_type = 'camera_sample' AND len(position) = 3 GROUP BY ALL ORDER BY count DESC, vx, vy, vz LIMIT 5000"
+_GRAPHICS = {"api": "api", "backend": "backend", "api_version": "apiVersion", "shading_language": "shadingLanguage"}
+_TEXTS = ", ".join(f"coalesce({_JSON('graphics', path)}, '') AS {name}" for name, path in _GRAPHICS.items())
+_TECH = f"SELECT {_TEXTS}, {N} AS sessions FROM e WHERE event_type = 'session_start' GROUP BY ALL"
+_COVER = f"SELECT {_v('position', size='1e0')}, {N} AS count FROM e WHERE event_type = 'camera_sample' AND len(position) = 3 GROUP BY ALL"
+_COVER_TOP = f"{_COVER} ORDER BY count DESC, vx, vy, vz LIMIT 5000"
 _PATHS = f"SELECT session_id, (epoch_us(ts) // 1000) AS ts, {_v('position', 'gx gz', '1e0', (1, 3))} FROM e WHERE event_type = 'camera_sample' AND len(position) = 3"
 _GEST = f"SELECT name AS kind, {_DUR.format(n='gestures')} FROM e WHERE event_type = 'camera_gesture' GROUP BY ALL"
-_KINDS = f"SELECT mesh, name AS kind, {N} AS count FROM e WHERE event_type = 'mesh_interaction' AND mesh <> '' GROUP BY ALL ORDER BY count DESC, mesh, kind LIMIT 100"
+_KINDS = f"SELECT mesh, name AS kind, {N} AS count FROM e WHERE event_type = 'mesh_interaction' AND mesh <> '' GROUP BY ALL"
+_KINDS_TOP = f"{_KINDS} ORDER BY count DESC, mesh, kind LIMIT 100"
 _FUNNEL = [
     "s0 AS (SELECT session_id, min(ts) AS t FROM e WHERE event_type = 'session_start' GROUP BY 1)",
     "s1 AS (SELECT session_id, min(e.ts) AS t FROM e JOIN s0 USING (session_id) WHERE event_type = 'camera_sample' AND ts >= s0.t GROUP BY 1)",
@@ -135,7 +149,7 @@ def _as_batches(e: DataFrame) -> DataFrame:
     above = lambda c: F.when(F.col(c) > 0, F.col(c))
     wire = F.struct(
         F.col("event_type").alias("type"), F.col("project_id").alias("projectId"), F.col("session_id").alias("sessionId"), epoch_ms(F.col("ts")).alias("ts"), F.col("sdk_version").alias("sdkVersion"), F.col("scene_id").alias("sceneId"), F.col("source"),
-        some("position", 3).alias("position"), some("direction", 3).alias("direction"), some("hit_point", 3).alias("hitPoint"), some("screen", 2).alias("screen"), F.coalesce(word("mesh"), F.lit("floor")).alias("mesh"), F.coalesce(word("name"), F.lit("orbit")).alias("kind"), F.coalesce(word("name"), F.lit("none")).alias("action"),
+        some("position", 3).alias("position"), some("direction", 3).alias("direction"), some("hit_point", 3).alias("hitPoint"), some("screen", 2).alias("screen"), F.coalesce(word("mesh"), F.lit("floor")).alias("mesh"), F.coalesce(word("name"), F.lit("orbit")).alias("kind"), F.coalesce(word("name"), F.lit("none")).alias("action"), F.when(F.col("event_type") == "custom", F.col("name")).alias("name"),
         F.col("fps"), above("fov").alias("fov"), above("aspect").alias("aspect"), above("near").alias("near"), F.col("visible_ms").alias("visibleMs"), F.col("visible_ms").alias("dwellMs"), F.col("visible_ms").alias("durationMs"), F.lit("warning").alias("severity"), F.lit("validation").alias("category"), F.lit("text").alias("message"),
     )
     body = F.concat(F.lit('{"schemaVersion":"1.0","events":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.to_json(wire).alias("j")))), lambda x: x["j"]), ","), F.lit("]}"))
@@ -161,7 +175,7 @@ CATALOGUE: dict[str, Query] = {
     "events_daily": Query(lambda e: volume.read_events_daily(volume.events_daily(e), ALL), "SELECT * FROM (" + _DAILY.format(f"event_type, {N} AS events", "") + ") ORDER BY day DESC, events DESC, event_type LIMIT 200"),
     "perf_daily": Query(lambda e: volume.read_perf_daily(volume.perf_daily(e), ALL), "SELECT * FROM (" + _DAILY.format(f"{N} AS samples, avg(fps) AS avg_fps, min(fps) AS min_fps, {_Q('fps')} AS p50_fps", "WHERE event_type = 'frame_perf'") + ") ORDER BY day DESC LIMIT 30", "avg_fps min_fps p50_fps"),
     # heatmaps and space
-    "pointer_heatmap": Query(lambda e: spatial.pointer_heatmap(e, ALL), f"SELECT {_v('screen', 'gx gy', '(1 / 50e0)', (1, 2)).replace('/ (1 / 50e0)', '* 50')}, {N} AS count FROM e WHERE event_type IN ('pointer_move', 'pointer_click') AND len(screen) = 2 GROUP BY ALL"),
+    "pointer_heatmap": Query(lambda e: spatial.pointer_heatmap(e, ALL), f"SELECT CAST(floor(screen[1] * 50) AS BIGINT) AS gx, CAST(floor(screen[2] * 50) AS BIGINT) AS gy, {N} AS count FROM e WHERE event_type IN ('pointer_move', 'pointer_click') AND len(screen) = 2 GROUP BY ALL"),
     "world_heatmap": Query(lambda e: spatial.world_heatmap(e, ALL), _HITS + _TOP),
     "world_heatmap_scoped": Query(lambda e: spatial.world_heatmap(e, PART.but(region=BOX, camera_mode="free", source="mouse")), _HITS + _PART + _BOX + _FREE + " AND source = 'mouse'" + _TOP),
     "world_heatmap_totals": Query(lambda e: spatial.world_heatmap_totals(e, ALL), f"SELECT {N} AS cells, CAST(coalesce(sum(count), 0) AS BIGINT) AS hits FROM ({_HITS} GROUP BY ALL)"),
@@ -171,24 +185,24 @@ CATALOGUE: dict[str, Query] = {
     "floor_plan": Query(lambda e: spatial.floor_plan(e, ALL), f"SELECT {_v('position', 'gx gz', '1e0', (1, 3))}, avg(position[2]) AS avg_y, {N} AS count FROM e WHERE event_type = 'camera_sample' AND len(position) = 3 GROUP BY gx, gz ORDER BY count DESC, gx, gz LIMIT 2000", "avg_y"),
     "session_trajectory": Query(lambda e: spatial.session_trajectory(e, ALL.but(session="u7-w0")), "SELECT (epoch_us(ts) // 1000) AS ts, position[1] AS x, position[2] AS y, position[3] AS z FROM e WHERE session_id = 'u7-w0' AND event_type = 'camera_sample' AND len(position) = 3", "x y z"),
     "trajectories": Query(lambda e: spatial.trajectories(e, ALL), f"{_PATHS} ORDER BY session_id, ts, gx, gz LIMIT 20000"),
-    "scene_coverage": Query(lambda e: spatial.scene_coverage(e, ALL), _COVER),
+    "scene_coverage": Query(lambda e: spatial.scene_coverage(e, ALL), _COVER_TOP),
     "camera_distance": Query(lambda e: spatial.camera_distance(e, ALL), f"SELECT CAST(floor(sqrt(position[1]*position[1] + position[2]*position[2] + position[3]*position[3]) / 1e0) AS BIGINT) AS bucket, {N} AS count FROM e WHERE event_type = 'camera_sample' AND len(position) = 3 GROUP BY ALL ORDER BY bucket LIMIT 1000"),
     # as-of correlations
-    "click_rays": Query(lambda e: correlate.click_rays(e, ALL), _RAYS, "origin_x origin_y origin_z hit_x hit_y hit_z"),
+    "click_rays": Query(lambda e: correlate.click_rays(e, ALL), _RAYS_TOP, "origin_x origin_y origin_z hit_x hit_y hit_z"),
     "flow": Query(lambda e: correlate.flow(e, ALL), _FLOW),
-    "flow_by_standpoint": Query(lambda e: correlate.flow_by_standpoint(e, ALL, cell_size=2.0), _STANDING, "origin_x origin_y origin_z"),
-    "navigation_effort": Query(lambda e: correlate.navigation_effort(e, ALL), _NAV, "total_distance active_distance"),
+    "flow_by_standpoint": Query(lambda e: correlate.flow_by_standpoint(e, ALL, cell_size=2.0), _STANDING_TOP, "origin_x origin_y origin_z"),
+    "navigation_effort": Query(lambda e: correlate.navigation_effort(e, ALL), _NAV_TOP, "total_distance active_distance"),
     "rotation_rate": Query(lambda e: correlate.rotation_rate(e, ALL), f"SELECT session_id, {N} AS samples, avg(turn) AS avg_turn_rad, max(turn) AS max_turn_rad, sum(turn) AS total_turn_rad, CAST(sum(CASE WHEN turn >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS rapid_segments FROM (SELECT c.session_id, {_TURN} AS turn FROM {_pairs('direction')}) GROUP BY session_id ORDER BY total_turn_rad DESC, session_id LIMIT 500", "avg_turn_rad max_turn_rad total_turn_rad"),
     # meshes and interaction
     "top_meshes": Query(lambda e: meshes.top_meshes(e, ALL), f"SELECT mesh, {N} AS count FROM e WHERE mesh <> '' GROUP BY mesh ORDER BY count DESC, mesh LIMIT 25"),
     "meshes_by_source": Query(lambda e: meshes.meshes_by_source(e, ALL), f"SELECT mesh, source, {N} AS count {_ACTIVE} GROUP BY ALL ORDER BY count DESC, mesh, source LIMIT 200"),
     "mesh_trend": Query(lambda e: meshes.mesh_trend(e, ALL), f"SELECT mesh, {_BUCKET(3600)}, {N} AS count {_ACTIVE} GROUP BY ALL ORDER BY bucket, mesh LIMIT 2000"),
     "mesh_dwell": Query(lambda e: meshes.mesh_dwell(e, ALL), f"SELECT mesh, sum(visible_ms) AS visible_ms, sum(centered_ms) AS centered_ms, max(screen_fraction) AS max_screen_fraction, {N} AS samples FROM e WHERE event_type = 'mesh_visibility' AND mesh <> '' GROUP BY mesh", "visible_ms centered_ms max_screen_fraction"),
-    "interaction_kinds": Query(lambda e: meshes.interaction_kinds(e, ALL), _KINDS),
+    "interaction_kinds": Query(lambda e: meshes.interaction_kinds(e, ALL), _KINDS_TOP),
     "dead_clicks": Query(lambda e: meshes.dead_clicks(e, ALL), f"SELECT {N} AS total_clicks, CAST(sum(CASE WHEN mesh = '' THEN 1 ELSE 0 END) AS BIGINT) AS dead_clicks FROM e WHERE event_type = 'pointer_click'"),
     "rage_clicks": Query(lambda e: meshes.rage_clicks(e, ALL, interval=604_800, min_repeats=2, limit=1000), f"SELECT session_id, mesh, {_BUCKET(604_800)}, {N} AS clicks FROM e WHERE event_type = 'pointer_click' AND mesh <> '' GROUP BY ALL HAVING count(*) >= 2 ORDER BY clicks DESC, session_id, mesh, bucket LIMIT 1000"),
     "hover_dwell": Query(lambda e: meshes.hover_dwell(e, ALL), f"SELECT mesh, sum(visible_ms) AS dwell_ms, max(visible_ms) AS max_dwell_ms, {N} AS episodes FROM e WHERE event_type = 'hover_dwell' AND mesh <> '' GROUP BY mesh", "dwell_ms max_dwell_ms"),
-    "interactions_by_source": Query(lambda e: meshes.interactions_by_source(e, ALL), _BYSRC),
+    "interactions_by_source": Query(lambda e: meshes.interactions_by_source(e, ALL), _BYSRC_TOP),
     "top_input_actions": Query(lambda e: meshes.top_input_actions(e, ALL), f"SELECT name AS action, source, {N} AS count FROM e WHERE event_type = 'input_action' AND name <> '' GROUP BY ALL"),
     "camera_gestures": Query(lambda e: meshes.camera_gestures(e, ALL), _GEST, "total_ms avg_ms max_ms"),
     "compile_stalls": Query(lambda e: meshes.compile_stalls(e, ALL), f"SELECT name AS phase, {_DUR.format(n='stalls')} FROM e WHERE event_type = 'compile_stall' GROUP BY ALL", "total_ms avg_ms max_ms"),
@@ -218,10 +232,10 @@ CATALOGUE: dict[str, Query] = {
     # derived tables
     "gaze_click_divergence": Query(
         lambda e: derived.gaze_click_divergence(spatial.gaze_heatmap(e, ALL, limit=None), spatial.world_heatmap(e, ALL, limit=None)),
-        f"SELECT *, CASE WHEN divergence > 0 THEN 'click' WHEN divergence < 0 THEN 'gaze' ELSE 'even' END AS side FROM (SELECT vx, vy, vz, coalesce(g.count, 0) AS gaze, coalesce(c.count, 0) AS clicks, coalesce(c.count, 0) / (SELECT greatest(max(count), 1) FROM ({_HITS}{_TOP})) - coalesce(g.count, 0) / (SELECT greatest(max(count), 1) FROM ({_GAZE}{_TOP})) AS divergence FROM ({_GAZE}{_TOP}) g FULL JOIN ({_HITS}{_TOP}) c USING (vx, vy, vz))",
+        f"SELECT *, CASE WHEN divergence > 0 THEN 'click' WHEN divergence < 0 THEN 'gaze' ELSE 'even' END AS side FROM (SELECT vx, vy, vz, coalesce(g.count, 0) AS gaze, coalesce(c.count, 0) AS clicks, coalesce(c.count, 0) / (SELECT greatest(max(count), 1) FROM ({_HITS_ALL})) - coalesce(g.count, 0) / (SELECT greatest(max(count), 1) FROM ({_GAZE_ALL})) AS divergence FROM ({_GAZE_ALL}) g FULL JOIN ({_HITS_ALL}) c USING (vx, vy, vz))",
         "divergence",
     ),
-    "desire_lines": Query(lambda e: derived.desire_lines(spatial.trajectories(e, ALL, 4.0, None)), "SELECT session_id, ts, gx, gz FROM (SELECT *, lag(gx) OVER w AS bx, lag(gz) OVER w AS bz FROM (" + _PATHS.replace("1e0", "4e0") + " ORDER BY session_id, ts, gx, gz LIMIT 20000) WINDOW w AS (PARTITION BY session_id ORDER BY ts, gx, gz)) WHERE bx IS NULL OR bx <> gx OR bz <> gz"),
+    "desire_lines": Query(lambda e: derived.desire_lines(spatial.trajectories(e, ALL, 4.0, None)), "SELECT session_id, ts, gx, gz FROM (SELECT *, lag(gx) OVER w AS bx, lag(gz) OVER w AS bz FROM (" + _PATHS.replace("1e0", "4e0") + ") WINDOW w AS (PARTITION BY session_id ORDER BY ts, gx, gz)) WHERE bx IS NULL OR bx <> gx OR bz <> gz"),
     "standpoints": Query(lambda e: derived.standpoints(correlate.flow_by_standpoint(e, ALL, cell_size=2.0, limit=None)), f"SELECT origin_vx, origin_vy, origin_vz, CAST(sum(count) AS BIGINT) AS count, {', '.join(f'sum(origin_{a} * count) / sum(count) AS origin_{a}' for a in 'xyz')} FROM ({_STANDING}) GROUP BY origin_vx, origin_vy, origin_vz", "origin_x origin_y origin_z"),
     "collapse_flow": Query(lambda e: derived.collapse_flow(correlate.flow_by_standpoint(e, ALL, cell_size=2.0, limit=None)), f"SELECT azimuth_bin, elevation_bin, mesh, CAST(sum(count) AS BIGINT) AS count FROM ({_STANDING}) GROUP BY ALL"),
     "rays_by_camera": Query(lambda e: derived.rays_by_camera(correlate.click_rays(e, ALL, limit=None)), f"SELECT cam_vx, cam_vy, cam_vz, CAST(sum(count) AS BIGINT) AS count FROM ({_RAYS}) GROUP BY ALL"),
@@ -237,7 +251,7 @@ CATALOGUE: dict[str, Query] = {
     "technology_folds": Query(lambda e: derived.technology_folds(performance.rendering_technology(e, ALL)), f"SELECT facet, value, CAST(sum(sessions) AS BIGINT) AS sessions FROM (SELECT unnest(['api', 'backend', 'shading_language', 'total']) AS facet, unnest([api, backend, shading_language, '']) AS value, sessions FROM ({_TECH})) GROUP BY ALL"),
     "scene_health": Query(
         lambda e: derived.scene_health(volume.event_type_counts(e, ALL), e.agg(F.countDistinct("session_id").alias("sessions"))),
-        f"SELECT *, errors / sessions AS errors_per_session FROM (SELECT {', '.join(f'CAST(count(*) FILTER (event_type IN ({t})) AS BIGINT) AS {n}' for n, t in (('errors', chr(39) + 'runtime_error' + chr(39)), ('context_losses', chr(39) + 'context_lost' + chr(39)), ('attention_gaps', chr(39) + 'visibility_change' + chr(39) + ', ' + chr(39) + 'focus_change' + chr(39)), ('resizes', chr(39) + 'viewport_resize' + chr(39))))}, CAST(count(DISTINCT session_id) AS BIGINT) AS sessions FROM e)",
+        f"SELECT *, errors / sessions AS errors_per_session FROM (SELECT {_count_types('runtime_error')} AS errors, {_count_types('context_lost')} AS context_losses, {_count_types('visibility_change', 'focus_change')} AS attention_gaps, {_count_types('viewport_resize')} AS resizes, CAST(count(DISTINCT session_id) AS BIGINT) AS sessions FROM e)",
         "errors_per_session",
     ),
     "scene_metrics": Query(
@@ -245,10 +259,10 @@ CATALOGUE: dict[str, Query] = {
         f"SELECT * FROM (SELECT {N} AS occupied_cells, CAST(coalesce(sum(count), 0) AS BIGINT) AS samples FROM ({_COVER})), (SELECT coalesce(avg(total_distance), 0) AS avg_travel, coalesce(sum(active_segments) / nullif(sum(segments), 0), 0) AS active_share FROM ({_NAV}))",
         "avg_travel active_share",
     ),
-    "robust_intensity": Query(lambda e: derived.robust_intensity(spatial.world_heatmap(e, ALL, limit=None)), f"SELECT *, least(1, greatest(0, count / scale)) AS t FROM ({_HITS}{_TOP}), (SELECT greatest(1, {_Q('count', 0.95)}) AS scale FROM ({_HITS}{_TOP}))", "scale t"),
+    "robust_intensity": Query(lambda e: derived.robust_intensity(spatial.world_heatmap(e, ALL, limit=None)), f"SELECT *, least(1, greatest(0, count / scale)) AS t FROM ({_HITS_ALL}), (SELECT greatest(1, {_Q('count', 0.95)}) AS scale FROM ({_HITS_ALL}))", "scale t"),
     "heatmap_instances": Query(
-        lambda e: derived.heatmap_instances(spatial.world_heatmap(e, ALL), 0.5).drop("r", "g", "b"),
-        f"SELECT vx, vy, vz, count, t, (vx + 0.5) * 0.5 AS x, (vy + 0.5) * 0.5 AS y, (vz + 0.5) * 0.5 AS z, 0.45e0 * (0.35e0 + 0.65e0 * t) AS edge FROM (SELECT *, count / (SELECT max(count) FROM ({_HITS}{_TOP})) AS t FROM ({_HITS}{_TOP}))",
+        lambda e: derived.heatmap_instances(spatial.world_heatmap(e, ALL, limit=None), 0.5).drop("r", "g", "b"),
+        f"SELECT vx, vy, vz, count, t, (vx + 0.5) * 0.5 AS x, (vy + 0.5) * 0.5 AS y, (vz + 0.5) * 0.5 AS z, 0.45e0 * (0.35e0 + 0.65e0 * t) AS edge FROM (SELECT *, count / (SELECT max(count) FROM ({_HITS_ALL})) AS t FROM ({_HITS_ALL})) ORDER BY count DESC, vx, vy, vz LIMIT 2000",
         "t x y z edge",
     ),
     "session_duration": Query(lambda e: derived.session_duration(e), "SELECT session_id, (epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000) AS duration_ms FROM e GROUP BY session_id"),
@@ -257,7 +271,7 @@ CATALOGUE: dict[str, Query] = {
         f"SELECT mesh, total, delta, n_buckets FROM (SELECT mesh, CAST(sum(count) AS BIGINT) AS total FROM (SELECT mesh, source, {N} AS count {_ACTIVE} GROUP BY ALL) GROUP BY mesh) JOIN (SELECT mesh, CAST(sum(CASE WHEN rn > n // 2 THEN count ELSE -count END) AS BIGINT) AS delta, CAST(max(n) AS BIGINT) AS n_buckets FROM (SELECT *, row_number() OVER (PARTITION BY mesh ORDER BY bucket) AS rn, count(*) OVER (PARTITION BY mesh) AS n FROM (SELECT mesh, {_BUCKET(86400)}, {N} AS count {_ACTIVE} GROUP BY ALL)) GROUP BY mesh) USING (mesh) ORDER BY total DESC, mesh LIMIT 12",
     ),
     # sources, capture and streams on the same events
-    "ingest_event_counts": Query(lambda e: _ingested(e).groupBy("event_type", "scene_id").agg(F.count(F.lit(1)).alias("count"), F.sum(F.size("hit_point")).alias("coordinates")), f"SELECT event_type, scene_id, {N} AS count, CAST(sum(len(hit_point)) AS BIGINT) AS coordinates FROM e WHERE session_id NOT IN (SELECT session_id FROM e WHERE event_type = 'compile_stall' AND name NOT IN ('shader', 'pipeline') OR event_type = 'runtime_error' AND name <> 'error' OR event_type = 'camera_gesture' AND name NOT IN ('orbit', 'pan', 'zoom', 'dolly')) GROUP BY ALL"),
+    "ingest_event_counts": Query(lambda e: _ingested(e).groupBy("event_type", "scene_id").agg(F.count(F.lit(1)).alias("count"), F.sum(F.size("hit_point")).alias("coordinates")), f"SELECT event_type, scene_id, {N} AS count, CAST(sum(len(hit_point)) AS BIGINT) AS coordinates FROM e GROUP BY ALL"),
     "session_meta": Query(lambda e: ingest.session_meta(e).select("session_id", "started_at", "scene", "device"), "SELECT session_id, min(ts) AS started_at, min(CAST(json_extract(payload, '$.scene') AS VARCHAR)) AS scene, min(CAST(json_extract(payload, '$.device') AS VARCHAR)) AS device FROM e WHERE event_type = 'session_start' GROUP BY session_id", times="started_at"),
     "frame_windows": Query(lambda e: capture.frame_windows(e.where("event_type = 'frame_perf'").select("session_id", F.lit(0).alias("window"), F.col("frame_time_ms").alias("frame_ms")), 30.0).drop("window"), f"SELECT session_id, quantile_disc(frame_time_ms, 0.95) AS frame_time_p95_ms, quantile_disc(frame_time_ms, 0.99) AS frame_time_p99_ms, CAST(count(*) FILTER (frame_time_ms > 30) AS BIGINT) AS long_frames {_PERF} GROUP BY session_id", "frame_time_p95_ms frame_time_p99_ms"),
     "thin_by_grid": Query(lambda e: capture.thin_by_grid(e.where("event_type = 'pointer_move'"), 86_400_000, ["session_id"]).select("session_id", "event_id"), f"SELECT session_id, event_id FROM e WHERE event_type = 'pointer_move' QUALIFY row_number() OVER (PARTITION BY session_id, floor({_MS} / 86400000e0) ORDER BY ts) = 1"),

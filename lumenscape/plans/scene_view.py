@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenscape.sources.folders import own_folder
+from lumenscape.sources.ingest import write_events
+
 PROJECT = "p0"
 
 _INPUT = "t IN ('camera_gesture', 'hover_dwell', 'input_action', 'mesh_interaction', 'pointer_click', 'pointer_down', 'pointer_move', 'pointer_up')"
@@ -30,9 +34,12 @@ def scene_sql(spark: bool) -> str:
         + """ || ',"browser":"' || """ + pick("user_id % 4", "Chrome", "Firefox", "Safari", "Edge") + """ || '","os":"' || """ + pick("user_id % 5", "Windows", "macOS", "iOS", "Android", "Linux") + """ || '"},"graphics":{"api":"' || """ + pick("user_id % 3", "webgpu", "webgl2", "webgl")
         + """ || '","backend":"' || """ + pick("user_id % 4", "metal", "vulkan", "d3d12", "opengl") + """ || '","apiVersion":"' || """ + pick("user_id % 2", "1.0", "2.0") + """ || '","shadingLanguage":"' || """ + pick("user_id % 2", "wgsl", "glsl") + """ || '"}}'"""
     )
-    diagnostic = """'{"type":"graphics_diagnostic","severity":"' || """ + pick("i % 4", "info", "warning", "error", "fatal") + """ || '","category":"' || """ + pick("k % 3", "validation", "shader-compile", "out-of-memory") + """ || '"' || CASE WHEN i % 3 = 0 THEN ',"backend":"vulkan"' ELSE '' END || CASE WHEN i % 2 = 0 THEN ',"count":' || CAST(k % 7 AS VARCHAR(9)) ELSE '' END || '}'"""
+    diagnostic = """'{"type":"graphics_diagnostic","severity":"' || """ + pick("(k + i) % 4", "info", "warning", "error", "fatal") + """ || '","category":"' || """ + pick("k % 3", "validation", "shader-compile", "out-of-memory") + """ || '"' || CASE WHEN i % 3 = 0 THEN ',"backend":"vulkan"' ELSE '' END || CASE WHEN (k + i) % 3 = 0 THEN ',"count":' || CAST(k % 7 AS VARCHAR(9)) ELSE '' END || '}'"""
     if spark:
         diagnostic = diagnostic.replace("VARCHAR(9)", "STRING")
+    own = """'{"type":"custom","props":{"level":' || CAST(k % 5 AS STRING) || ',"mode":"' || """ + pick("i % 3", "solo", "team", "free") + """ || '"}}'"""
+    if not spark:
+        own = own.replace("STRING", "VARCHAR")
     text = "STRING" if spark else "VARCHAR"
     return f"""
 WITH raw AS (
@@ -45,7 +52,7 @@ typed AS (
     WHEN i % 20 < 11 THEN 'pointer_move' WHEN i % 20 < 13 THEN 'frame_perf' WHEN i % 20 = 13 THEN 'mesh_interaction'
     WHEN i % 20 = 14 THEN 'mesh_visibility' WHEN i % 20 = 15 THEN 'hover_dwell' WHEN i % 20 = 16 THEN 'resource_sample'
     WHEN i % 20 = 17 THEN 'camera_gesture' WHEN i % 20 = 18 THEN {pick('k % 3', 'compile_stall', 'context_lost', 'graphics_diagnostic')}
-    ELSE {pick('k % 3', 'capability_change', 'input_action', 'runtime_error')} END AS t
+    ELSE {pick('k % 4', 'capability_change', 'input_action', 'runtime_error', 'custom')} END AS t
   FROM ranked),
 sourced AS (
   SELECT *, CASE WHEN NOT ({_INPUT}) THEN 'mouse' WHEN (i * 7) % 11 < 7 THEN 'mouse' WHEN (i * 7) % 11 < 9 THEN 'touch'
@@ -60,21 +67,44 @@ SELECT i AS event_id, '{PROJECT}' AS project_id, session_id, 'v' || CAST(user_id
   {vec("t IN ('pointer_click', 'pointer_move')", '((i * 17) % 100) / 100e0 + 0.003e0', '((i * 19) % 100) / 100e0 + 0.003e0')} AS screen,
   CASE WHEN t IN ('camera_sample', 'pointer_click', 'pointer_move', 'mesh_interaction', 'mesh_visibility', 'hover_dwell') AND i % 9 <> 0 THEN 'mesh_' || CAST(i % 8 AS {text}) ELSE '' END AS mesh,
   CASE t WHEN 'mesh_interaction' THEN {pick('k % 4', 'pick', 'drag', 'hover', 'select')} WHEN 'camera_gesture' THEN {pick('k % 4', 'orbit', 'pan', 'zoom', 'dolly')}
-    WHEN 'compile_stall' THEN {pick('i % 2', 'shader', 'pipeline')} WHEN 'capability_change' THEN {pick('i % 3', 'quality', 'backend', 'feature')}
-    WHEN 'input_action' THEN {pick('i % 5', 'jump', 'crouch', 'grab', 'menu', '')} WHEN 'runtime_error' THEN 'error' ELSE '' END AS name,
+    WHEN 'compile_stall' THEN {pick('(k + user_id) % 2', 'shader', 'pipeline')} WHEN 'capability_change' THEN {pick('i % 3', 'quality', 'graphics-backend', 'feature')}
+    WHEN 'input_action' THEN {pick('(k + user_id) % 5', 'jump', 'crouch', 'grab', 'menu', '')} WHEN 'runtime_error' THEN 'error'
+    WHEN 'custom' THEN {pick('user_id % 2', 'quest', 'purchase')} ELSE '' END AS name,
   {num(perf, fps)} AS fps, {num(perf, frame)} AS frame_time_ms, {num(perf, frame + ' * 1.5e0')} AS frame_time_p95_ms,
   {num(perf, 'i % 4')} AS long_frames, {num(perf, '1')} AS dpr, CASE WHEN NOT ({perf}) THEN 0e0 WHEN i % 4 = 0 THEN 0e0 WHEN i % 4 = 1 THEN 0.5e0 WHEN i % 4 = 2 THEN 0.8e0 ELSE 1e0 END AS render_scale,
   {num("t IN ('mesh_visibility', 'hover_dwell', 'camera_gesture', 'compile_stall')", 'value * 10')} AS visible_ms,
   {num("t = 'mesh_visibility'", 'value * 4')} AS centered_ms, {num("t = 'mesh_visibility'", '(k % 100) / 100e0')} AS screen_fraction,
   {num(gpu, 'value * 1000')} AS texture_bytes, {num(gpu, 'value * 500')} AS geometry_bytes, {num(gpu, 'value * 30')} AS triangles, {num(gpu, 'value * 20')} AS vertices, {num(gpu, 'value * 4000')} AS js_heap_bytes,
-  CASE WHEN t = 'capability_change' THEN {pick('i % 2', 'high', 'low')} ELSE '' END AS cap_from, CASE WHEN t = 'capability_change' THEN {pick('k % 2', 'medium', 'low')} ELSE '' END AS cap_to,
+  CASE WHEN t = 'capability_change' THEN {pick('user_id % 2', 'high', 'low')} ELSE '' END AS cap_from, CASE WHEN t = 'capability_change' THEN {pick('(k + user_id) % 2', 'medium', 'low')} ELSE '' END AS cap_to,
   {num("t = 'camera_sample' AND i % 3 <> 0", '1.0471975511965976e0')} AS fov, {num("t = 'camera_sample' AND i % 3 <> 0", '1.777e0')} AS aspect, {num("t = 'camera_sample' AND i % 3 <> 0", '0.1e0')} AS near,
-  CASE t WHEN 'session_start' THEN {start} WHEN 'graphics_diagnostic' THEN {diagnostic} ELSE '{{"type":"' || t || '"}}' END AS payload
+  CASE t WHEN 'session_start' THEN {start} WHEN 'graphics_diagnostic' THEN {diagnostic} WHEN 'custom' THEN {own} ELSE '{{"type":"' || t || '"}}' END AS payload
 FROM sourced
 """
 
 
-def scene_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scene events of one data folder. Column pruning reaches the scan; the session rank is one shuffle."""
+#: Folder of the written table by application and data folder.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def scene_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene events of one data folder, worked out anew."""
     text = scene_sql(spark=True).replace("{", "{{").replace("}", "}}").replace("FROM events)", "FROM {events})")
     return spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def scene_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene events of one data folder as the event sink keeps them: written once a session, by project and day.
+
+    Questions read that table, so that their filters prune its days and skip its row groups.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _WRITTEN:
+        try:
+            return spark.read.parquet(_WRITTEN[key])
+        except AnalysisException as gone:
+            if "PATH_NOT_FOUND" not in str(gone):
+                raise
+    path = own_folder(spark, "scene-events")
+    write_events(scene_view(spark, sf_dir), path)
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)

@@ -17,71 +17,177 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_batches(batches: DataFrame) -> DataFrame:
-    """Every event of every batch: batch columns, seq, n_events, raw (its JSON) and e (its fields)."""
+    """Every event of every batch: batch columns, seq, n_events, raw (its JSON), v (parsed) and e (its known fields)."""
     parsed = batches.withColumn("raws", F.from_json(F.get_json_object("body", "$.events"), "array<string>"))
     sized = parsed.withColumn("n_events", F.coalesce(F.size("raws"), F.lit(0)))
     # parsed as it is exploded: what follows reads fields of one parsed event instead of parsing for each field
-    both = F.transform("raws", lambda raw: F.struct(raw.alias("raw"), F.from_json(raw, S.WIRE_EVENT).alias("e")))
-    rows = sized.select("batch_id", "received_at", "ip", "user_agent", "n_events", F.posexplode_outer(both).alias("seq", "x"))
-    return rows.select("batch_id", "received_at", "ip", "user_agent", "n_events", "seq", F.col("x.raw").alias("raw"), F.col("x.e").alias("e"))
-
-
-def _text(name: str, most: int, least: int = 1) -> str:
-    return f"length(e.{name}) BETWEEN {least} AND {most}"
-
-
-def _vec(name: str, n: int) -> str:
-    return f"size(e.{name}) = {n} AND forall(e.{name}, x -> x IS NOT NULL)"
-
-
-def _opt(check: str, name: str) -> str:
-    return f"(e.{name} IS NULL OR ({check}))"
-
-
-def _one_of(name: str, values: str) -> str:
-    return f"e.{name} IN ({', '.join(repr(v) for v in values.split())})"
-
+    each = F.transform("raws", lambda raw: F.struct(raw.alias("raw"), F.try_parse_json(raw).alias("v"), F.from_json(raw, S.WIRE_EVENT).alias("e")))
+    rows = sized.select("batch_id", "received_at", "ip", "user_agent", "n_events", F.posexplode_outer(each).alias("seq", "x"))
+    return rows.select("batch_id", "received_at", "ip", "user_agent", "n_events", "seq", F.col("x.raw").alias("raw"), F.col("x.v").alias("v"), F.col("x.e").alias("e"))
+
+
+_SOURCES = "mouse touch stylus pen keyboard gamepad xr-controller hand gaze transient other"
+_APIS = "webgl webgl2 webgpu opengl opengles d3d11 d3d12 vulkan metal unknown"
+_INPUT = {"source?": f"one of {_SOURCES}", "handedness?": "one of left right none", "sourceId?": "text 1 64", "ray?": "object", "ray.origin": "vector 3", "ray.direction": "vector 3"}
+_POINTER = {"screen?": "unit vector 2", "hitPoint?": "vector 3", "hitMesh?": "text 0", **_INPUT}
+_BUTTON = {**_POINTER, "button?": "whole >= 0"}
+
+# What the wire format asks of the envelope and of each event type. A field with a question mark may be
+# absent, but not null; a field of an object is asked for where the object is there. Lengths are in UTF-16 units.
+ENVELOPE = {
+    "projectId": "text 1 128",
+    "visitorId?": "text 0",
+    "sessionId": "text 1 128",
+    "ts": "whole >= 0",
+    "sdkVersion": "text 1 64",
+    "url?": "text 0 2048",
+    "sceneId?": "scene id",
+    "pageMeta?": "object",
+    "pageMeta.title?": "text 0 512",
+    "pageMeta.referrer?": "text 0 2048",
+    "pageMeta.viewport?": "vector 2",
+    "pageMeta.devicePixelRatio?": "number > 0",
+    "pageMeta.language?": "text 0 35",
+}
+RULES: dict[str, dict[str, str]] = {
+    "session_start": {
+        "device?": "object",
+        "device.engine?": "one of webgl2 webgpu webgl unknown",
+        **{f"device.{n}?": "text 0" for n in ("vendor", "renderer", "browser", "os")},
+        **{f"device.{n}?": "number" for n in ("maxTextureSize", "hardwareConcurrency", "deviceMemoryGb")},
+        "device.isMobile?": "flag",
+        "graphics?": "object",
+        "graphics.api?": f"one of {_APIS}",
+        "graphics.backend?": "one of metal d3d11 d3d12 vulkan opengl opengles unknown",
+        "graphics.apiVersion?": "text 0",
+        "graphics.shadingLanguage?": "one of glsl glsl-es wgsl hlsl msl spirv unknown",
+        "scene?": "object",
+        "scene.description?": "text 0 256",
+        "scene.cameraType?": "one of arc-rotate free follow static other",
+        "scene.cameraName?": "text 0 128",
+        "scene.meshCount?": "whole >= 0",
+        "user?": "object",
+        "user.id?": "text 0 128",
+        "user.traits?": "scalars 64 1024",
+        "connector?": "object",
+        "connector.name": "text 0",
+        "connector.version?": "text 0",
+        "connector.coordinateSystem?": "object",
+        "connector.coordinateSystem.handedness": "one of left right",
+        "connector.coordinateSystem.upAxis?": "one of y z",
+        "connector.coordinateSystem.unitScale?": "number > 0",
+    },
+    "session_end": {"durationMs?": "number >= 0", "reason?": "one of unload hidden manual timeout"},
+    "frame_perf": {
+        "fps": "number >= 0",
+        **{f"{n}?": "number >= 0" for n in ("frameTimeMs", "frameTimeP95Ms", "frameTimeP99Ms", "drawCalls")},
+        "longFrames?": "whole >= 0",
+        "dpr?": "number > 0",
+        "renderScale?": "number > 0",
+    },
+    "camera_sample": {
+        "position": "vector 3",
+        "direction": "vector 3",
+        "target?": "vector 3",
+        "fov?": "number",
+        "aspect?": "number > 0",
+        "near?": "number > 0",
+        "hitPoint?": "vector 3",
+        "hitMesh?": "text 0",
+    },
+    "node_transform": {"nodeId": "text 1 128", "boneId?": "text 1 128", "childPath?": "text 1 512", "position": "vector 3", "rotation": "vector 4", "scale?": "vector 3"},
+    "pointer_move": _POINTER,
+    "pointer_click": _BUTTON,
+    "pointer_down": _BUTTON,
+    "pointer_up": _BUTTON,
+    "camera_gesture": {
+        "kind": "one of orbit pan dolly zoom roll fly navigate",
+        "durationMs": "number >= 0",
+        **{f"{n}?": "number >= 0" for n in ("orbitDeg", "rollDeg", "panDist")},
+        "zoomRatio?": "number > 0",
+        **_INPUT,
+    },
+    "mesh_interaction": {"mesh": "text 1 256", "kind": "one of hover pick click drag select squeeze grab release teleport", "point?": "vector 3", **_INPUT},
+    "mesh_visibility": {"mesh": "text 1 256", "visibleMs": "number >= 0", "centeredMs?": "number >= 0", "maxScreenFraction?": "number BETWEEN 0 AND 1", "bounds?": "vector 6"},
+    "hover_dwell": {"mesh": "text 1", "dwellMs": "number >= 0", **_INPUT},
+    "compile_stall": {"durationMs": "number >= 0", "phase?": "one of shader pipeline material other"},
+    "resource_sample": {**{f"{n}?": "number >= 0" for n in ("textureBytes", "geometryBytes", "jsHeapBytes")}, "triangles?": "whole >= 0", "vertices?": "whole >= 0"},
+    "capability_change": {"kind": "one of graphics-backend quality device-recovery feature other", "from?": "text 0 64", "to?": "text 0 64", "reason?": "text 0 120"},
+    "asset_load": {"name": "text 0 1024", "loadMs": "number >= 0", **{f"{n}?": "number >= 0" for n in ("bytes", "ttffMs", "ttiMs")}},
+    "scene_change": {},
+    "viewport_resize": {"width": "number > 0", "height": "number > 0", "dpr?": "number > 0"},
+    "visibility_change": {"state": "one of visible hidden"},
+    "focus_change": {"focused": "flag"},
+    "context_lost": {"reason?": "text 0 512"},
+    "context_restored": {},
+    "graphics_diagnostic": {
+        "severity": "one of info warning error fatal",
+        "category": "one of context-loss validation out-of-memory shader-compile device-lost fallback",
+        "backend?": f"one of {_APIS}",
+        "message?": "text 0 1024",
+        "code?": "text 0 64",
+        "count?": "whole > 0",
+    },
+    "runtime_error": {
+        "kind": "one of error unhandledrejection",
+        "message": "text 0 1024",
+        "source?": "text 0 1024",
+        "lineno?": "whole >= 0",
+        "colno?": "whole >= 0",
+        "stack?": "text 0 4096",
+    },
+    "input_action": {"action": "text 1 64", "code?": "text 1 64", "button?": "whole >= 0", "pressed?": "flag", **_INPUT},
+    "custom": {"name": "text 1 128", "props?": "scalars 64 1024"},
+}
 
-def _least(name: str) -> str:
-    return f"e.{name} >= 0"
 
+def _field_check(field: str, rule: str) -> str:
+    """SQL for one field of the parsed event v."""
+    path = field.rstrip("?")
+    as_type = lambda t, at=path: f"try_variant_get(v, '$.{at}', '{t}')"
+    value, kind, number = as_type("variant"), f"schema_of_variant({as_type('variant')})", "^(BIGINT|DECIMAL|DOUBLE)"
+    units = lambda text: f"octet_length(encode({text}, 'UTF-16BE')) div 2"
+    word, _, rest = rule.partition(" ")
+    if word == "text":
+        least, _, most = rest.partition(" ")
+        check = f"{kind} = 'STRING' AND {units(as_type('string'))} BETWEEN {least} AND {most or 2**31 - 1}"
+    elif rule == "scene id":
+        check = f"{kind} = 'STRING' AND {as_type('string')} RLIKE '{S.SCENE_ID}'"
+    elif word == "one":
+        names = ", ".join(f"'{name}'" for name in rest.split()[1:])
+        check = f"{kind} = 'STRING' AND {as_type('string')} IN ({names})"
+    elif word in ("number", "whole"):
+        bounds = [f"{as_type('double')} {rest}"] if rest else []
+        bounds += [f"{as_type('double')} = floor({as_type('double')})"] if word == "whole" else []
+        check = " AND ".join([f"{kind} RLIKE '{number}'", *bounds])
+    elif word in ("vector", "unit"):
+        items = as_type("array<double>")
+        inside = "x IS NOT NULL" + (" AND x BETWEEN 0 AND 1" if word == "unit" else "")
+        check = f"{kind} RLIKE '^ARRAY<(BIGINT|DECIMAL|DOUBLE)' AND size({items}) = {rule.split()[-1]} AND forall({items}, x -> {inside})"
+    elif word == "flag":
+        check = f"{kind} = 'BOOLEAN'"
+    elif word == "object":
+        check = f"{kind} RLIKE '^OBJECT'"
+    else:
+        most, letters = rest.split()
+        entries = as_type("map<string,variant>")
+        plain = f"schema_of_variant(x) RLIKE '{number[:-1]}|BOOLEAN|VOID)' OR schema_of_variant(x) = 'STRING' AND {units('CAST(x AS STRING)')} <= {letters}"
+        check = f"{kind} RLIKE '^OBJECT' AND size({entries}) <= {most} AND forall(map_values({entries}), x -> {plain})"
+    absent = value if field.endswith("?") else as_type("variant", path.rpartition(".")[0]) if "." in path else ""
+    return f"({absent} IS NULL OR ({check}))" if absent else f"({check})"
 
-_SCREEN = _opt(f"{_vec('screen', 2)} AND forall(e.screen, x -> x BETWEEN 0 AND 1)", "screen")
-_HIT = [_SCREEN, _opt(_vec("hitPoint", 3), "hitPoint"), _opt(_text("hitMesh", 256, 0), "hitMesh")]
-_SOURCE = [_opt(_one_of("source", "mouse touch stylus pen keyboard gamepad xr-controller hand gaze transient other"), "source"), _opt(_one_of("handedness", "left right none"), "handedness")]
 
-# What the wire format asks of the envelope and of each event type.
-ENVELOPE = [_text("projectId", 128), _text("sessionId", 128), _text("sdkVersion", 64), _least("ts"), _opt(_text("url", 2048, 0), "url"), _opt(f"e.sceneId RLIKE '{S.SCENE_ID}'", "sceneId")]
-RULES: dict[str, list[str]] = {
-    "session_end": [_opt(_least("durationMs"), "durationMs"), _opt(_one_of("reason", "unload hidden manual timeout"), "reason")],
-    "frame_perf": [_least("fps"), *[_opt(_least(n), n) for n in ("frameTimeMs", "frameTimeP95Ms", "frameTimeP99Ms", "longFrames", "drawCalls")]],
-    "camera_sample": [_vec("position", 3), _vec("direction", 3), *[_opt(_vec(n, 3), n) for n in ("target", "hitPoint")], *[_opt(f"e.{n} > 0", n) for n in ("fov", "aspect", "near")]],
-    "node_transform": [_text("nodeId", 128), _opt(_text("boneId", 128), "boneId"), _opt(_text("childPath", 512, 0), "childPath"), _vec("position", 3), _vec("rotation", 4), _opt(_vec("scale", 3), "scale")],
-    **{t: [*_HIT, *_SOURCE] for t in ("pointer_move", "pointer_click", "pointer_down", "pointer_up")},
-    "camera_gesture": [_one_of("kind", "orbit pan dolly zoom roll fly teleport"), _least("durationMs"), *_SOURCE],
-    "mesh_interaction": [_text("mesh", 256), "e.kind IS NOT NULL", *_SOURCE],
-    "mesh_visibility": [_text("mesh", 256), _least("visibleMs"), _opt(_least("centeredMs"), "centeredMs"), _opt("e.maxScreenFraction BETWEEN 0 AND 1", "maxScreenFraction"), _opt(_vec("bounds", 6), "bounds")],
-    "hover_dwell": [_text("mesh", 256), _least("dwellMs"), *_SOURCE],
-    "compile_stall": [_least("durationMs"), _opt(_one_of("phase", "shader pipeline material other"), "phase")],
-    "resource_sample": [_opt(_least(n), n) for n in ("textureBytes", "geometryBytes", "triangles", "vertices", "jsHeapBytes")],
-    "capability_change": ["e.kind IS NOT NULL"],
-    "asset_load": [_text("name", 1024, 0), _least("loadMs"), *[_opt(_least(n), n) for n in ("bytes", "ttffMs", "ttiMs")]],
-    "viewport_resize": [_least("width"), _least("height")],
-    "visibility_change": [_one_of("state", "visible hidden")],
-    "focus_change": ["e.focused IS NOT NULL"],
-    "graphics_diagnostic": [_one_of("severity", "info warning error fatal"), _one_of("category", "context-loss validation out-of-memory shader-compile device-lost fallback"), _opt(_text("message", 1024, 0), "message"), _opt(_text("code", 64, 0), "code")],
-    "runtime_error": [_one_of("kind", "error unhandledrejection"), _text("message", 1024, 0), _opt(_text("stack", 4096, 0), "stack")],
-    "input_action": [_text("action", 64), *_SOURCE],
-    "custom": [_text("name", 128), _opt("size(e.props) <= 64 AND forall(map_values(e.props), x -> x IS NULL OR length(x) <= 1024)", "props")],
-}
+def event_problem() -> Column:
+    """Why an event of explode_batches() is not valid; null if it is. Fields that a type does not know are ignored."""
 
+    def bad(rules: dict[str, str]) -> Column:
+        return ~F.coalesce(F.expr(" AND ".join(_field_check(f, r) for f, r in rules.items())), F.lit(False))
 
-def event_problem() -> Column:
-    """Why an event of explode_batches() is not valid; null if it is."""
-    bad = lambda checks: ~F.coalesce(F.expr(" AND ".join(f"({c})" for c in checks)), F.lit(False))
-    out = F.when(F.col("e").isNull() | F.col("e.type").isNull(), "not an event").when(~F.col("e.type").isin(S.EVENT_TYPES), "unknown type").when(bad(ENVELOPE), "envelope")
-    for kind, checks in RULES.items():
-        out = out.when((F.col("e.type") == kind) & bad(checks), kind)
+    kind = F.expr("try_variant_get(v, '$.type', 'string')")
+    out = F.when(F.col("v").isNull() | kind.isNull(), "not an event").when(~kind.isin(S.EVENT_TYPES), "unknown type").when(bad(ENVELOPE), "envelope")
+    for name, rules in RULES.items():
+        if rules:
+            out = out.when((kind == name) & bad(rules), name)
     return out
 
 
@@ -101,6 +207,12 @@ def admit(events: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]
     return accepted, per.where("reason is not null").select("batch_id", F.col("n").alias("n_events"), "reason")
 
 
+def unknown_projects(events: DataFrame, projects: DataFrame) -> DataFrame:
+    """Projects that events name and nobody registered, with their batches and events."""
+    named = events.where("e.projectId is not null").groupBy(F.col("e.projectId").alias("project_id")).agg(F.countDistinct("batch_id").alias("batches"), F.count(F.lit(1)).alias("events"))
+    return named.join(projects.select("project_id").distinct(), "project_id", "left_anti")
+
+
 def visitor_id(ip: Column, agent: Column, received: Column, secret: str) -> Column:
     """A hash that changes every day; the address is not kept."""
     salt = F.sha2(F.concat(F.lit(f"{secret}:"), F.date_format(received, "yyyy-MM-dd")), 256)
@@ -119,30 +231,31 @@ def agent_family(agent: Column, families: list[tuple[str, str]]) -> Column:
     return out.otherwise("Other")
 
 
-def _put(text: Column, key: str, wrapped: Column) -> Column:
-    """JSON text with `key` set to the value in {"v": value}: replaced where it is, else put in front."""
-    new = F.concat(F.lit(f'"{key}":'), F.regexp_extract(wrapped, r'^\{"v":(.*)\}$', 1))
-    old = F.get_json_object(text, f"$.{key}")
-    quoted = F.concat(F.lit(f'"{key}":'), F.when(F.substring(old, 1, 1) == "{", old).otherwise(F.concat(F.lit('"'), old, F.lit('"'))))
-    return F.when(old.isNotNull() & F.contains(text, quoted), F.replace(text, quoted, new)).otherwise(F.concat(F.lit("{"), new, F.lit(","), F.substring(text, F.lit(2), F.length(text))))
-
-
 def enrich(events: DataFrame, secret: str) -> DataFrame:
     """Set the visitor id, and browser and system of session starts, in e and in raw; address and agent go.
 
-    Both take the place of what the client sent; its other fields stay as they are.
+    Both take the place of what the client sent, at the top of the event only; its other fields keep their values,
+    written anew as JSON.
     """
     ip, agent = F.coalesce("ip", F.lit("")), F.coalesce("user_agent", F.lit(""))
-    visitor = visitor_id(ip, agent, F.col("received_at"), secret)
-    family = F.create_map(F.lit("browser"), agent_family(agent, BROWSERS), F.lit("os"), agent_family(agent, SYSTEMS))
-    device = F.map_concat(F.map_filter(F.coalesce("e.device", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("browser", "os")), family)
+    events = events.withColumn("visitor", visitor_id(ip, agent, F.col("received_at"), secret))
+    family = {"browser": agent_family(agent, BROWSERS), "os": agent_family(agent, SYSTEMS)}
+    sent = F.coalesce("e.device", F.create_map().cast("map<string,string>"))
+    device = F.map_concat(F.map_filter(sent, lambda k, v: ~k.isin(*family)), F.create_map(*[x for k, v in family.items() for x in (F.lit(k), v)]))
     start = F.col("e.type") == "session_start"
-    e = F.col("e").withField("visitorId", visitor)
+    e = F.col("e").withField("visitorId", F.col("visitor"))
     e = F.when(start, e.withField("device", device)).otherwise(e)
-    whole = F.get_json_object("raw", "$")
-    raw = _put(whole, "visitorId", F.to_json(F.struct(visitor.alias("v"))))
-    raw = F.when(start, _put(raw, "device", F.concat(F.lit('{"v":'), F.to_json(device), F.lit("}")))).otherwise(raw)
-    return events.withColumn("new_e", e).withColumn("raw", raw).drop("e", "ip", "user_agent").withColumnRenamed("new_e", "e")
+
+    def fields(path: str, *without: str) -> str:
+        names = ", ".join(f"'{w}'" for w in without)
+        return f"map_filter(coalesce(try_variant_get(v, '{path}', 'map<string,variant>'), map()), (k, x) -> k NOT IN ({names}))"
+
+    new_device = f"parse_json(to_json(map_concat({fields('$.device', *family)}, map('browser', CAST(browser AS VARIANT), 'os', CAST(os AS VARIANT)))))"
+    with_device = F.expr(f"to_json(map_concat({fields('$', 'visitorId', 'device')}, map('visitorId', CAST(visitor AS VARIANT), 'device', {new_device})))")
+    without = F.expr(f"to_json(map_concat({fields('$', 'visitorId')}, map('visitorId', CAST(visitor AS VARIANT))))")
+    raw = F.when(start, with_device).otherwise(without)
+    changed = events.withColumns(family).withColumns({"raw": raw, "new_e": e})
+    return changed.drop("e", "ip", "user_agent", "visitor", "v", *family).withColumnRenamed("new_e", "e")
 
 
 def _or(value: str, default: str) -> Column:
@@ -188,10 +301,13 @@ def node_events(samples: DataFrame) -> DataFrame:
 
 
 def write_events(rows: DataFrame, path: str) -> None:
-    """Append, partitioned for pruning by project and day and sorted for skipping within files."""
+    """Append, partitioned for pruning by project and day and sorted for skipping within files.
+
+    Rows are dealt by ranges of project, day, type and session, so that a busy day is written by many tasks.
+    """
     dated = rows.withColumn("inserted_at", F.current_timestamp()).withColumn("event_date", F.to_date("ts"))
-    order = [c for c in ("event_type", "node_id", "session_id", "ts") if c in dated.columns]
-    dated.repartition("project_id", "event_date").sortWithinPartitions("project_id", "event_date", *order).write.mode("append").partitionBy("project_id", "event_date").parquet(path)
+    order = ["project_id", "event_date", *[c for c in ("event_type", "node_id", "session_id", "ts") if c in dated.columns]]
+    dated.repartitionByRange(*order[:-1]).sortWithinPartitions(*order).write.mode("append").partitionBy("project_id", "event_date").parquet(path)
 
 
 def ingest(batches: DataFrame, projects: DataFrame, secret: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -209,8 +325,8 @@ def session_timeline(events: DataFrame, samples: DataFrame, session: str) -> Dat
 
 
 def write_session_ndjson(timeline: DataFrame, path: str) -> None:
-    """One JSON text a line, in time order within each session's file."""
-    rows = timeline.repartition("session_id").sortWithinPartitions("session_id", "ts")
+    """One JSON text a line, in time order; a long session has several files, in order of their names."""
+    rows = timeline.repartitionByRange("session_id", "ts").sortWithinPartitions("session_id", "ts")
     rows.select("session_id", F.col("payload").alias("value")).write.partitionBy("session_id").text(path)
 
 
