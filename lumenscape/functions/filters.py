@@ -115,15 +115,16 @@ def resolve_cell_size(explicit: float | None, region: Box | None, bounds: Box |
     return explicit or cell_size_for(region) or cell_size_for(bounds) or default
 
 
-def preset_range(preset: str, now: datetime) -> tuple[datetime | None, datetime | None]:
-    """1h, 24h, 7d or all."""
+def preset_range(preset: str, now: datetime, since: datetime | None = None, until: datetime | None = None) -> tuple[datetime | None, datetime | None]:
+    """1h, 24h, 7d, all, or custom: the bounds given."""
     spans = {"1h": timedelta(hours=1), "24h": timedelta(hours=24), "7d": timedelta(days=7)}
     if preset == "all":
         return None, None
-    return now - spans[preset], now
+    return (since, until) if preset == "custom" else (now - spans[preset], now)
 
 
 def bucket_seconds(span_seconds: float, buckets: int = 80) -> int:
-    """Bucket length for about `buckets` buckets, snapped up to a usual step."""
+    """Bucket length for about `buckets` buckets, in whole seconds, snapped up to a usual step."""
     steps = (60, 300, 900, 1800, 3600, 10_800, 21_600, 43_200, 86_400, 604_800)
-    return next((s for s in steps if s >= span_seconds / buckets), steps[-1])
+    wanted = math.floor(span_seconds / buckets + 0.5)
+    return next((s for s in steps if s >= wanted), steps[-1])

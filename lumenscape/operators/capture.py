@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,53 +24,68 @@ def frame_windows(frames: DataFrame, jank_ms: float = 50.0) -> DataFrame:
     return frames.groupBy("session_id", "window").agg(rank(0.95).alias("frame_time_p95_ms"), rank(0.99).alias("frame_time_p99_ms"), F.count_if(F.col("frame_ms") > jank_ms).alias("long_frames"))
 
 
-def keep_changes(rows: DataFrame, keys: list[str], order: list[str], unchanged: Callable[[pd.DataFrame, int, int], bool]) -> DataFrame:
-    """Rows that differ from the last row kept of their key (not from the row before), in order.
+def keep_changes(rows: DataFrame, keys: list[str], columns: list[str], eps: float, below: bool = False) -> DataFrame:
+    """Rows that differ from the last row kept of their key (not from the row before) by more than eps in a column.
 
-    The comparison depends on what was kept, so each key's rows are folded in order. A key is one
-    channel of one session, whose length bounds the fold's memory.
+    Columns are numbers or vectors; one that is missing on one side only differs. below: less than eps is unchanged,
+    eps itself is not. The comparison depends on what was kept, so each key's rows, in order of ts (and event_id, if
+    there is one), are searched for the next that differs. A key is one channel of one session, whose length bounds memory.
     """
+    order = [c for c in ("ts", "event_id") if c in rows.columns]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if not kept or not unchanged(pdf, kept[-1], i):
-                kept.append(i)
+        values, missing = _numbers(pdf, columns)
+        kept, last = [0], 0
+        while last + 1 < len(pdf):
+            for at in range(last + 1, len(pdf), 256):  # the next change is mostly near
+                some = slice(at, at + 256)
+                gap = np.abs(values[some] - values[last])
+                same = (gap < eps if below else gap <= eps) & ~missing[some] & ~missing[last] | missing[some] & missing[last]
+                changed = np.flatnonzero(~same.all(axis=1))
+                if len(changed):
+                    last = at + int(changed[0])
+                    kept.append(last)
+                    break
+            else:
+                break
         return pdf.iloc[kept]
 
     return rows.groupBy(*keys).applyInPandas(fold, rows.schema)
 
 
-def _close(a, b, eps: float) -> bool:
-    if a is None or b is None or (np.isscalar(a) and (pd.isna(a) or pd.isna(b))):
-        missing = lambda v: v is None or (np.isscalar(v) and pd.isna(v))
-        return missing(a) == missing(b)
-    return bool(np.all(np.abs(np.asarray(a, float) - np.asarray(b, float)) <= eps))
-
-
-def _all_close(columns: list[str], eps: float) -> Callable[[pd.DataFrame, int, int], bool]:
-    return lambda pdf, last, now: all(_close(pdf[c].iat[last], pdf[c].iat[now], eps) for c in columns)
+def _numbers(pdf: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, all components) of numbers and vectors, and which are missing."""
+    parts = []
+    for c in columns:
+        if pd.api.types.is_datetime64_any_dtype(pdf[c]):
+            parts.append(pdf[c].to_numpy("datetime64[us]").astype(np.int64).astype(float)[:, None] / 1000)
+            continue
+        lists = [np.atleast_1d(np.asarray(v, float)) if v is not None else np.empty(0) for v in pdf[c]]
+        width = max(1, max(map(len, lists), default=1))
+        parts.append(np.array([np.concatenate([v, np.full(width - len(v), np.nan)]) for v in lists]).reshape(-1, width))
+    values = np.concatenate(parts, axis=1)
+    return np.nan_to_num(values), np.isnan(values)
 
 
 def suppress_idle_fps(perf: DataFrame, threshold: float) -> DataFrame:
-    return keep_changes(perf, ["session_id"], ["ts"], _all_close(["fps"], threshold))
+    return keep_changes(perf, ["session_id"], ["fps"], threshold)
 
 
 def suppress_idle_camera(samples: DataFrame, eps: float) -> DataFrame:
     """A pose counts as unchanged only if the same optional parts are present."""
-    return keep_changes(samples, ["session_id"], ["ts"], _all_close(["position", "direction", "target", "fov", "aspect", "near"], eps))
+    return keep_changes(samples, ["session_id"], ["position", "direction", "target", "fov", "aspect", "near"], eps)
 
 
 def suppress_idle_nodes(samples: DataFrame, eps: float) -> DataFrame:
     keyed = samples.withColumn("channel", F.when(F.col("bone_id") != "", F.concat_ws("\u0001", "node_id", F.lit("bone"), "bone_id")).otherwise(F.concat_ws("\u0001", "node_id", "child_path")))
-    return keep_changes(keyed, ["session_id", "channel"], ["ts"], _all_close(["position", "rotation", "scale"], eps)).drop("channel")
+    return keep_changes(keyed, ["session_id", "channel"], ["position", "rotation", "scale"], eps).drop("channel")
 
 
 def changed_bounds(visibility: DataFrame, eps: float = 1e-3) -> DataFrame:
     """Bounds that differ from the last ones sent of their mesh, rounded to millimetres."""
     some = visibility.where("bounds is not null")
-    return keep_changes(some, ["session_id", "mesh"], ["ts"], _all_close(["bounds"], eps)).withColumn("bounds", F.transform("bounds", lambda x: js_round(x * 1000) / 1000))
+    return keep_changes(some, ["session_id", "mesh"], ["bounds"], eps).withColumn("bounds", F.transform("bounds", lambda x: js_round(x * 1000) / 1000))
 
 
 def decompose(matrices: DataFrame, matrix: str = "matrix", scale_eps: float = 1e-3) -> DataFrame:
@@ -201,7 +214,7 @@ def hover_episodes(hovers: DataFrame, least_ms: float = HOVER_MS) -> DataFrame:
 
 def thin(rows: DataFrame, interval_ms: float, keys: list[str]) -> DataFrame:
     """Rows at least interval_ms after the last kept row of their key."""
-    return keep_changes(rows, keys, ["ts"], lambda pdf, last, now: (pdf["ts"].iat[now] - pdf["ts"].iat[last]).total_seconds() * 1000 < interval_ms)
+    return keep_changes(rows, keys, ["ts"], interval_ms, below=True)
 
 
 def thin_by_grid(rows: DataFrame, interval_ms: int, keys: list[str]) -> DataFrame:

@@ -317,11 +317,16 @@ def ingest(batches: DataFrame, projects: DataFrame, secret: str) -> tuple[DataFr
     return events, samples, rejected
 
 
-def session_timeline(events: DataFrame, samples: DataFrame, session: str) -> DataFrame:
-    """All events of one session by time, wide events before node samples of the same time; unreadable payloads are skipped."""
+def timeline_rows(events: DataFrame, samples: DataFrame) -> DataFrame:
+    """Events and node samples as one stream, ordered within a session by ts, rank and payload; unreadable payloads are skipped."""
     both = events.select("project_id", "session_id", "ts", "event_type", "payload", F.lit(0).alias("rank")).unionByName(node_events(samples).withColumn("rank", F.lit(1)))
-    valid = F.from_json("payload", S.WIRE_EVENT)["type"].isNotNull()
-    return both.where((F.col("session_id") == session) & valid).orderBy("ts", "rank", "payload").drop("rank")
+    return both.where(F.from_json("payload", S.WIRE_EVENT)["type"].isNotNull())
+
+
+def session_timeline(events: DataFrame, samples: DataFrame, session: str) -> DataFrame:
+    """All events of one session by time, wide events before node samples of the same time."""
+    here = F.col("session_id") == session
+    return timeline_rows(events.where(here), samples.where(here)).orderBy("ts", "rank", "payload").drop("rank")
 
 
 def write_session_ndjson(timeline: DataFrame, path: str) -> None:

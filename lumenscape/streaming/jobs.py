@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -84,12 +85,15 @@ def stream_presence(stream: DataFrame) -> DataFrame:
             return
         visitor, scene, start, last = state.get if state.exists else ("", "", None, None)
         for pdf in frames:
-            for row in pdf.sort_values("received_at").itertuples():
-                ended = row.event_type == "session_end"
-                start = row.received_at if start is None else start
-                last = row.received_at
-                visitor, scene = row.visitor_id or visitor, row.scene_id or scene
-                if ended:
+            pdf = pdf.sort_values("received_at", kind="stable")
+            ends = np.flatnonzero(pdf["event_type"].to_numpy() == "session_end") + 1
+            for stay in np.split(np.arange(len(pdf)), ends):  # one more than there are session ends
+                if not len(stay):
+                    continue
+                rows = pdf.iloc[stay]
+                start, last = rows["received_at"].iloc[0] if start is None else start, rows["received_at"].iloc[-1]
+                visitor, scene = _newest(rows["visitor_id"], visitor), _newest(rows["scene_id"], scene)
+                if rows["event_type"].iloc[-1] == "session_end":
                     yield _presence(project, session, visitor, scene, start, last, False)
                     visitor, scene, start, last = "", "", None, None
         if start is None:
@@ -103,6 +107,11 @@ def stream_presence(stream: DataFrame) -> DataFrame:
     return stream.select("project_id", "session_id", "event_type", "visitor_id", "scene_id", "received_at").groupBy("project_id", "session_id").applyInPandasWithState(update, PRESENCE, "visitor string, scene string, start timestamp, last timestamp", "update", "ProcessingTimeTimeout")
 
 
+def _newest(values: pd.Series, before: str) -> str:
+    some = values[values.notna() & (values != "")]
+    return some.iloc[-1] if len(some) else before
+
+
 def _presence(project, session, visitor, scene, start, last, live) -> pd.DataFrame:
     return pd.DataFrame({"project_id": [project], "session_id": [session], "visitor_id": [visitor], "scene_id": [scene], "started_at": [pd.Timestamp(start)], "last_seen": [pd.Timestamp(last)], "live": [live]})
 
@@ -141,6 +150,28 @@ def firehose(stream: DataFrame, project: str, types: list[str] | None = None) ->
     return out.where(F.col("event_type").isin(types)) if types else out
 
 
+def session_feed(stored: DataFrame, stream: DataFrame, project: str, session: str, folder: str, checkpoint: str, n: int = BACKFILL) -> StreamingQuery:
+    """What a viewer of one session gets: its last n stored events first (phase 'backfill'), then live ones as they arrive.
+
+    Rows of one feed are appended under folder; a repeated first micro-batch writes its own rows again, not more.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        out = rows.withColumn("phase", F.lit("live"))
+        if number == 0:
+            before = backfill(session_tail(stored, project, session), n).withColumn("phase", F.lit("backfill"))
+            out = before.unionByName(out, allowMissingColumns=True)
+        out.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    live = session_tail(stream, project, session)
+    return live.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rows_too_late(query: StreamingQuery) -> int:
+    """How many rows a query left out so far because they came behind its watermark."""
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
+
+
 def session_tail(stream: DataFrame, project: str, session: str) -> DataFrame:
     """Live events of one session; backfill() gives what came before."""
     return firehose(stream, project).where(F.col("session_id") == session)

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from lumenscape.operators import volume
-from lumenscape.plans.registry import ALL
+from lumenscape.plans.analytics import ALL
 from lumenscape.plans.scene_view import scene_events
 from lumenscape.streaming import jobs
 from tests.test_golden import AGENT, EVENTS, T0
