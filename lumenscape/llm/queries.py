@@ -15,7 +15,7 @@ from lumenscape.llm.mixing import document_items, document_sql, mix
 from lumenscape.llm.order_minhash import order_minhash
 from lumenscape.llm.packing import pack_documents
 from lumenscape.llm.secret_ledger import BASE_RULES, scan_versions
-from lumenscape.llm.token_rollup import LETTER_RUNS, PIECES, SQL, WORDS, Rollup, count_matches, document_rollup
+from lumenscape.llm.token_rollup import Rollup, count_tokens, document_rollup
 from lumenscape.llm.toxicity import toxicity
 
 
@@ -63,9 +63,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    counts = [F.coalesce(count_matches(F.col("text"), p), F.lit(0)).alias(n) for n, p in (("words", WORDS), ("runs", LETTER_RUNS), ("pieces", PIECES))]
-    counted = materialise(spark, docs.select("doc_id", "source", "lang", *counts), "counted")
+    counted = materialise(spark, count_tokens(read_table(spark, sf_dir, "documents")), "counted")
     return document_rollup(Rollup(spark, new_folder(spark, "rollup")), counted)
 
 
@@ -89,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hierarchical_mix": document_sql(), "op9_token_rollup": SQL}
+    return {"op4_hierarchical_mix": document_sql()}

@@ -3,20 +3,24 @@
 A batch holds signed rows: +1 for an inserted document, -1 for a deleted one, and for a revised count the old
 row with -1 and the new one with +1. Batches are summed by source, language and tokenizer version
 and added to the current totals. Totals are written beside the old ones; one commit record then
-names the batch and its totals, so a batch counts once however often it is sent, and a batch that
-broke off before its record never counted.
+names the batch, what it held and its totals, so a batch counts once however often it is sent, and a batch that
+broke off before its record never counted. Another content under a known batch id is an error.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lumenscape.llm.tokenizers import default_path, encoder
+
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
-COMMITS = "seq long, batch_id string, totals string"
+COMMITS = "seq long, batch_id string, content string, totals string"
 
 
 def deltas(rows: DataFrame, tokenizer_version: str, n_tokens: Column, sign: int) -> DataFrame:
@@ -52,64 +56,85 @@ class Rollup:
         return self.spark.read.schema(TOTALS).parquet(last["totals"])
 
     def apply(self, batch_id: str, batch: DataFrame) -> bool:
-        """Add a batch; False if it was committed before.
+        """Add a batch; False if it was committed before, ValueError if another content was.
 
-        Rows with a null sign count for nothing, null counts are 0, null keys are groups of their own.
+        Rows with a null sign count for nothing, null counts are 0, null keys are groups of their own; rows may
+        repeat and come in any order.
         """
-        done = self.commits()
-        if not done.where(F.col("batch_id") == batch_id).isEmpty():
-            return False
         sign = F.coalesce(F.signum(F.col("sign").cast("double")).cast("long"), F.lit(0))
         change = batch.select(*KEYS, sign.alias("n_docs"), (sign * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
+        content = _content(batch)
+        done = self.commits()
+        before = done.where(F.col("batch_id") == batch_id).first()
+        if before is not None:
+            if before["content"] != content:
+                raise ValueError(f"batch {batch_id} was committed with another content")
+            return False
         # the batch is summed before it meets the totals: a hot source is one row of each task
         change = change.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         new = self.totals().unionByName(change).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         path = f"{self.folder}/totals/{uuid.uuid4().hex}"
         new.where("n_docs <> 0 or n_tokens <> 0").write.parquet(path)
         seq = done.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-        self.spark.createDataFrame([(seq, batch_id, path)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        self.spark.createDataFrame([(seq, batch_id, content, path)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
         return True
 
 
-# The tokenizers counted here; both are plain patterns, so SQL can check the totals.
-WORDS, LETTER_RUNS, PIECES = r"[^\x20\x09-\x0D]+", r"[A-Za-z]+", r"[^\x20\x09-\x0D]{1,4}"
+def _content(batch: DataFrame) -> str:
+    """What a batch holds, whatever the order of its rows: their number and two sums of hashes."""
+    rows = [F.xxhash64(F.lit(seed), *batch.columns).cast("decimal(38,0)") for seed in (1, 2)]
+    return ":".join(str(x) for x in batch.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(h), F.lit(0)) for h in rows]).first())
+
+
+# Fixed value: what a word is.
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, source, lang, bpe (ids of a tokenizer file), bytes (ids of byte-level models) and words of every row.
+
+    Defined cases: a null or empty text has none; very long texts are counted whole; repeated rows are counted once each;
+    null keys stay null; an empty table gives an empty result; other columns are ignored.
+    """
+    path = tokenizer or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for batch in batches:
+            n = pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(3)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, *batch.columns[4:]], names=["doc_id", "source", "lang", "bpe", "bytes", "words"])
+
+    text = F.col("text").cast("string")
+    n_bytes, n_words = F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), F.coalesce(count_matches(text, WORDS), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"), n_bytes.alias("bytes"), n_words.alias("words"))
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, bpe long, bytes long, words long")
+
+
 def document_rollup(rollup: Rollup, counted: DataFrame) -> DataFrame:
     """Totals after a history of four batches over a table of documents.
 
-    counted: doc_id, source, lang, words, runs, pieces. Batch 1 inserts all documents under words/1;
-    batch 2 inserts them under pieces/1; batch 3 revises words/1 to letter runs; batch 4 deletes
-    documents of under three words. Batches 2 and 4 are sent again and must not count twice. Defined
-    cases: a null text has no tokens; null source or lang is a group; an empty table has no totals.
+    counted: a table made by count_tokens(). Batch 1 inserts all documents under byte_bpe/1; batch 2 inserts
+    them under bytes/1; batch 3 revises byte_bpe/1, whose documents now end with one more id; batch 4 deletes
+    documents of under three words. Batches 2 and 4 are sent again and do not count twice. Defined cases: a null text
+    has no tokens but the last id; null source or lang is a group; repeated rows count once each; very long texts are
+    counts like others; an empty table has no totals; other columns are ignored.
     """
+    ended = F.col("bpe") + 1
     junk = counted.where("words < 3")
+    bytes_in = deltas(counted, "bytes/1", F.col("bytes"), 1)
+    junk_out = deltas(junk, "byte_bpe/1", ended, -1).unionByName(deltas(junk, "bytes/1", F.col("bytes"), -1))
     history = [
-        ("1", deltas(counted, "words/1", F.col("words"), 1)),
-        ("2", deltas(counted, "pieces/1", F.col("pieces"), 1)),
-        ("3", revisions(counted, "words/1", F.col("words"), F.col("runs"))),
-        ("2", deltas(counted, "pieces/1", F.col("pieces"), 1)),
-        ("4", deltas(junk, "words/1", F.col("runs"), -1).unionByName(deltas(junk, "pieces/1", F.col("pieces"), -1))),
-        ("4", deltas(junk, "words/1", F.col("runs"), -1)),
+        ("1", deltas(counted, "byte_bpe/1", F.col("bpe"), 1)),
+        ("2", bytes_in),
+        ("3", revisions(counted, "byte_bpe/1", F.col("bpe"), ended)),
+        ("2", bytes_in),
+        ("4", junk_out),
+        ("4", junk_out),
     ]
     for batch_id, batch in history:
         rollup.apply(batch_id, batch)
     return rollup.totals()
-
-
-SQL = rf"""
-WITH c AS (
-  SELECT source, lang,
-    coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS words,
-    coalesce(len(regexp_extract_all(text, '{LETTER_RUNS}')), 0) AS runs,
-    coalesce(len(regexp_extract_all(text, '{PIECES}')), 0) AS pieces
-  FROM documents)
-SELECT source, lang, tokenizer_version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
-FROM (SELECT source, lang, 'words/1' AS tokenizer_version, runs AS n FROM c WHERE words >= 3
-      UNION ALL SELECT source, lang, 'pieces/1', pieces FROM c WHERE words >= 3)
-GROUP BY ALL
-"""

@@ -197,6 +197,51 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(table(spark, [])).count() == 0
 
 
+def plain_packing(demands, limits):
+    """The dot-product heuristic with cuts, one candidate after the other. demands: (tokens, loss)."""
+    parts = [[i, 0, n, n - loss] if n <= limits.tokens and loss <= limits.loss else [i, 0, n - loss, n - loss] for i, (n, loss) in enumerate(demands)]
+    parts += [[i, n - loss, loss, 0] for i, (n, loss) in enumerate(demands) if n > limits.tokens or loss > limits.loss]
+    out = []
+    while any(p[2] for p in parts):
+        tokens, segments, loss, pieces = limits.tokens, limits.segments, limits.loss, []
+        while any(p[2] for p in parts) and tokens and segments:
+            best, most, fit = None, 0, 0
+            for p in (p for p in parts if p[2]):
+                if p[2] <= tokens and p[2] - p[3] <= loss and (segments > 1 or p[2] == tokens):
+                    gain = p[2] * (tokens / limits.tokens**2) + (p[2] - p[3]) * (loss / limits.loss**2)
+                    if best is None or gain > fit:
+                        best, most, fit = p, p[2], gain
+            if best is None:
+                for p in (p for p in parts if p[2]):
+                    if min(p[2], tokens, p[3] + loss) > most:
+                        best, most = p, min(p[2], tokens, p[3] + loss)
+            if best is None:
+                break
+            pieces.append((best[0], best[1], most))
+            tokens, segments, loss = tokens - most, segments - 1, loss - max(0, most - best[3])
+            best[1], best[2], best[3] = best[1] + most, best[2] - most, best[3] - min(best[3], most)
+        out.append(pieces)
+    return out
+
+
+def test_packing_equals_a_plain_twin():
+    rng = np.random.default_rng(4)
+    n = np.concatenate([rng.integers(1, 60, 40), rng.integers(50, 900, 25), [1, 1, 1, 700, 64]]).astype(np.int64)
+    loss = n - n // 8
+    limits = packing.Limits(128, 6, 112)
+    got = packing.pack_group(n, loss, limits, cut=True)
+    assert got == plain_packing(list(zip(n.tolist(), loss.tolist())), limits)
+    taken = sorted((i, s, k) for pieces in got for i, s, k in pieces)
+    assert [sum(k for i, _, k in taken if i == j) for j in range(len(n))] == n.tolist()
+    assert all(a[1] + a[2] == b[1] for a, b in zip(taken, taken[1:]) if a[0] == b[0])
+    prompt = n // 8
+    for pieces in got:
+        assert sum(k for *_, k in pieces) <= 128 and len(pieces) <= 6
+        assert sum(max(0, s + k - max(s, int(prompt[i]))) for i, s, k in pieces) <= 112
+    tokens_only = packing.pack_group(n, loss, packing.Limits(128, 10**6, 10**6), cut=True)
+    assert tokens_only != got  # the other limits bind
+
+
 def test_packing_keeps_all_limits(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(n), int(rng.integers(0, n + 1))) for i, n in enumerate(rng.integers(1, 900, 300))] + [(300, None, None)]
@@ -278,6 +323,23 @@ def test_rollup_commits_once(spark):
     token_rollup.deltas(rows, "v1", F.col("old"), 1).write.parquet(f"{rollup.folder}/totals/broken")
     assert rollup.totals().count() == 1
     assert rollup.apply("b4", insert.limit(0))
+    with pytest.raises(ValueError, match="another content"):
+        rollup.apply("b1", insert.where("doc_id = 1"))
+
+
+@pytest.mark.parametrize("rows", [corpus(30) + odd_rows(), []])
+def test_document_rollup_against_plain_counts(spark, rows):
+    encode = tokenizers.encoder(tokenizers.default_path())
+    want: dict = {}
+    for _, text, lang, source, _ in rows:
+        if len(re.findall(r"[^\x20\x09-\x0D]+", text or "")) >= 3:
+            for version, n in (("byte_bpe/1", len(encode(text or "")) + 1), ("bytes/1", len((text or "").encode()))):
+                docs, tokens = want.get((source, lang, version), (0, 0))
+                want[source, lang, version] = docs + 1, tokens + n
+    docs = table(spark, rows, clashing=True).withColumn("sign", F.lit("clash")).withColumn("bpe", F.lit("clash"))
+    counted = token_rollup.count_tokens(docs)
+    got = token_rollup.document_rollup(token_rollup.Rollup(spark, new_folder(spark, "rollup")), counted).collect()
+    assert {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in got} == want
 
 
 def held_out(spark, n, fold):
@@ -332,6 +394,54 @@ def test_marginals_equal_enumeration():
     assert np.allclose(toxicity.stream_marginals(long, np.array([2000]), model), toxicity.marginals(long[None], first, last, model)[0], atol=1e-6)
 
 
+def test_labels_given_some_toxic_token():
+    """Marginals and pairs of every token, given that one of the document is toxic, against all labellings."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    sample = toxicity.Sample(np.array([0, 1, 2, 1, 0, 2, 2]), np.array([4, 3]), np.array([1, 0]), np.array([0, 1]), ["ab", "cd", "ef"])
+    trainer = toxicity.Trainer(sample)
+    trainer.model = toxicity.Field(rng.normal(scale=0.4, size=toxicity._TABLE), np.array([[0.0, -0.7], [0.3, 0.9]]), -0.2, -0.5)
+    y, pairs = trainer.given_some_toxic()
+    e = trainer.evidence()[sample.words[:4]]
+    total, tokens_, moves = 0.0, np.zeros(4), np.zeros(3)
+    for states in product((0, 1), repeat=4):
+        if any(states):
+            steps = list(zip(states, states[1:]))
+            w = np.exp(trainer.model.start * states[0] + sum(e[i] for i in range(4) if states[i]) + sum(trainer.model.trans[s] for s in steps))
+            total += w
+            tokens_ += w * np.array(states)
+            moves += w * np.array([steps.count((0, 1)), steps.count((1, 1)), steps.count((1, 0))])
+    assert np.allclose(y[0, :4], tokens_ / total) and not y[1].any() and np.allclose(pairs, moves / total)
+
+
+def test_equal_texts_have_equal_marginals():
+    rng = np.random.default_rng(6)
+    model = toxicity.Field(trans=np.array([[0.0, -3.0], [-3.0, 3.0]]), start=0.4)
+    long, other = rng.normal(size=1500), rng.normal(size=77)
+    alone = toxicity.stream_marginals(long, np.array([1500]), model)
+    beside = toxicity.stream_marginals(np.concatenate([other, long, other]), np.array([77, 1500, 77]), model)
+    assert (alone == beside[77:1577]).all() and (beside[:77] == beside[1577:]).all()
+
+
+def test_predictions_equal_plain_windows(spark):
+    """The query's languages and scores, window by window with the plain filters."""
+    docs = [(i, text, "aa" if i % 2 else "bb", "s", 1) for i, text in enumerate(("tung keit " if i % 2 else "tion ness ") * (3 + 40 * (i % 5)) for i in range(24))]
+    df = table(spark, docs)
+    net = language_id.fit_on_documents(df, F.lit(True))
+    got = {r.doc_id: r for r in language_id.predict(spark, df.select("doc_id", "text"), net).collect()}
+    for i, text, *_ in docs:
+        x = language_id.windows_of(text)
+        p, weight = net.probabilities(net.pooled(x)[0]), (x != 0).sum(axis=1)
+        mean = weight @ p / weight.sum()
+        assert got[i].lang_pred == net.langs[int(mean.argmax())] and abs(got[i].score - mean.max()) < 1e-4
+
+
+def test_every_language_is_learnt(spark):
+    docs = [(i, f"word{i % 230:03d} " * 3, f"l{i % 230:03d}", "s", 1) for i in range(460)]
+    assert len(language_id.fit_on_documents(table(spark, docs), F.lit(True)).langs) == 230
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     endings = {"aa": ["ung", "keit", "schaft"], "bb": ["tion", "ness", "ful"], "cc": ["eux", "elle", "ment"]}
