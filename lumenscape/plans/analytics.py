@@ -127,9 +127,9 @@ WHERE bx IS NULL OR bx <> gx OR bz <> gz"""
 _FLOW_GRAPH = f"""
 WITH base AS (SELECT concat_ws(',', origin_vx, origin_vy, origin_vz) AS standpoint, mesh, sum(count) AS n FROM ({_STANDING}) GROUP BY ALL),
 stands AS (SELECT standpoint FROM base GROUP BY standpoint ORDER BY sum(n) DESC, standpoint LIMIT 8),
-leading AS (SELECT mesh FROM base GROUP BY mesh ORDER BY sum(n) DESC, mesh LIMIT 8),
+front AS (SELECT mesh FROM base GROUP BY mesh ORDER BY sum(n) DESC, mesh LIMIT 8),
 folded AS (
-  SELECT CASE WHEN standpoint IN (FROM stands) THEN standpoint ELSE 'other' END AS s, CASE WHEN mesh IN (FROM leading) THEN mesh ELSE 'other' END AS m, sum(n) AS n
+  SELECT CASE WHEN standpoint IN (FROM stands) THEN standpoint ELSE 'other' END AS s, CASE WHEN mesh IN (FROM front) THEN mesh ELSE 'other' END AS m, sum(n) AS n
   FROM base GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, s, m) AS rn FROM folded),
 links AS (SELECT s AS standpoint, CASE WHEN rn <= 24 THEN m ELSE 'other' END AS mesh, CAST(sum(n) AS BIGINT) AS count FROM ranked GROUP BY ALL)
