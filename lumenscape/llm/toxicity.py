@@ -29,8 +29,8 @@ TRAIN_DOCS, TRAIN_CHARS = 4000, 12_000
 WINDOW = 64
 #: What makes a word or prefix a first label: in how many toxic documents it is (near copies count once), and log-odds.
 LEAST_DOCS, LEAST_ODDS = 4, 3.0
-#: Fits after the first one, with labels from the field's own marginals.
-ROUNDS = 2
+#: Fits after the first one, with labels from the field's own marginals. More of them spread the label over the words around.
+ROUNDS = 1
 _TABLE = 1 << 18
 #: Steps of one recursion in prediction; messages between these are exact.
 CHUNK = 256
@@ -221,7 +221,7 @@ def _windows(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Trainer:
     """Maximum likelihood of soft token labels by full-batch Adam; the gradient is labels less marginals."""
 
-    RATE, RIDGE, BLOCK = 0.2, 1e-6, 8192
+    RIDGE, BLOCK = 1e-5, 8192
 
     def __init__(self, sample: Sample):
         self.x, self.n, self.owner = _windows(sample)
@@ -240,7 +240,7 @@ class Trainer:
     def evidence(self) -> np.ndarray:
         return self.model.weights[self.features].sum(axis=1) + self.model.bias
 
-    def fit(self, y: np.ndarray, pairs: np.ndarray, used: np.ndarray, steps: int) -> None:
+    def fit(self, y: np.ndarray, pairs: np.ndarray, used: np.ndarray, steps: int, rate: float) -> None:
         """y: chance of toxic by token; pairs: expected counts of 0->1, 1->1, 1->0; used: windows that count."""
         model = self.model
         valid = self.valid & used[:, None]
@@ -260,7 +260,7 @@ class Trainer:
             for k, param in enumerate((model.weights, small)):
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                param += self.RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                param += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
             small[2:] = np.clip(small[2:], -3.0, 3.0)
             model.bias, model.start = small[0], small[1]
             model.trans = np.array([[0.0, small[2]], [small[4], small[3]]])
@@ -314,9 +314,9 @@ def fit(sample: Sample) -> Field:
     pairs = np.array([((1 - y[:, :-1]) * y[:, 1:]).sum(), (y[:, :-1] * y[:, 1:]).sum(), (y[:, :-1] * (1 - y[:, 1:]) * trainer.valid[:, 1:]).sum()])
     # at first a toxic document without a telling word says nothing about its tokens
     told = np.bincount(trainer.owner, y.sum(axis=1), trainer.docs) > 0
-    trainer.fit(y, pairs, ~trainer.toxic | told[trainer.owner], 40)
+    trainer.fit(y, pairs, ~trainer.toxic | told[trainer.owner], 40, 0.2)
     for _ in range(ROUNDS):
-        trainer.fit(*trainer.given_some_toxic(), np.ones(len(trainer.x), bool), 15)
+        trainer.fit(*trainer.given_some_toxic(), np.ones(len(trainer.x), bool), 25, 0.05)
     model = trainer.model
     rest = sample.part(fold == 2)
     e = (model.weights[trainer.features].sum(axis=1) + model.bias)[rest.words]
