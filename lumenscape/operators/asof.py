@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str = "session_id", ts: str = "ts", tie: str = "event_id", values: list[str] | None = None, inner: bool = False) -> DataFrame:
@@ -22,9 +22,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str = "session_id", ts: st
 
 
 def with_previous(rows: DataFrame, columns: list[str], key: str = "session_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Inner self join with the previous distinct time: rows of one time are all paired with the last row before it."""
-    newest: Column = F.max_by(F.struct(*columns), F.struct(ts, tie))
-    per_time = rows.groupBy(key, ts).agg(newest.alias("mine"), F.collect_list(F.struct(*columns)).alias("all"))
-    w = Window.partitionBy(key).orderBy(ts)
-    paired = per_time.withColumn("prev", F.lag("mine").over(w)).where(F.col("prev").isNotNull())
-    return paired.select(key, ts, "prev", F.explode("all").alias("cur"))
+    """Inner self join with the previous distinct time: rows of one time are all paired with the last row before it.
+
+    One shuffle and one sort: the newest row of all earlier times is a running maximum.
+    """
+    earlier = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(Window.unboundedPreceding, -1)
+    newest = F.max(F.struct(F.col(ts), F.col(tie), *columns)).over(earlier)
+    return rows.select(key, ts, F.struct(*columns).alias("cur"), newest.alias("prev")).where(F.col("prev").isNotNull())

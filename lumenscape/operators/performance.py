@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenscape.functions import geometry as g
 from lumenscape.functions.filters import Scope, check_options, in_scope
+from lumenscape.operators.quantiles import with_quantiles
 from lumenscape.operators.volume import count, of_type, top
 
 
 def quantile(value: str | Column, q: float) -> Column:
-    """Exact, interpolated; nulls are ignored."""
+    """Exact, interpolated; nulls are ignored. For groups that a task can hold, such as a session's samples."""
     return F.percentile(value, q)
 
 
@@ -28,20 +29,33 @@ def _by_session(rows: DataFrame, *values: Column) -> DataFrame:
 
 
 def perf_summary(events: DataFrame, scope: Scope) -> DataFrame:
-    return _frames(events, scope, "RN").agg(count().alias("samples"), F.avg("fps").alias("avg_fps"), F.min("fps").alias("min_fps"), median("fps").alias("p50_fps"))
+    frames = _frames(events, scope, "RN")
+    summary = frames.agg(count().alias("samples"), F.avg("fps").alias("avg_fps"), F.min("fps").alias("min_fps"))
+    return with_quantiles(summary, frames, [], {"p50_fps": ("fps", 0.5)})
 
 
 def render_scale_truth(events: DataFrame, scope: Scope) -> DataFrame:
-    scale = F.col("render_scale")
-    return _frames(events, scope, "RN").agg(
-        count().alias("samples"), F.avg("fps").alias("avg_fps"), median("fps").alias("p50_fps"), F.avg(g.reported("render_scale")).alias("avg_render_scale"), median(g.reported("render_scale")).alias("p50_render_scale"),
-        F.sum(F.when((scale > 0) & (scale < 1), 1).otherwise(0)).alias("downscaled_samples"), F.sum(F.when(scale > 0, 1).otherwise(0)).alias("scale_samples"),
-    )
+    frames = _frames(events, scope, "RN").withColumn("scale", g.reported("render_scale"))
+    scale = F.col("scale")
+    summary = frames.agg(
+        count().alias("samples"),
+        F.avg("fps").alias("avg_fps"),
+        F.avg("scale").alias("avg_render_scale"),
+        F.sum(F.when((scale > 0) & (scale < 1), 1).otherwise(0)).alias("downscaled_samples"),
+        F.sum(F.when(scale > 0, 1).otherwise(0)).alias("scale_samples"),
+    )
+    return with_quantiles(summary, frames, [], {"p50_fps": ("fps", 0.5), "p50_render_scale": ("scale", 0.5)})
 
 
 def perf_distribution(events: DataFrame, scope: Scope) -> DataFrame:
     per = _by_session(_frames(events, scope), *[quantile("fps", q).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
-    return per.agg(count().alias("sessions"), F.sum("s_samples").alias("samples"), *[median(n).alias(f"{n}_fps") for n in ("p05", "p50", "p95")])
+    return _over_sessions(per, {f"{n}_fps": (n, 0.5) for n in ("p05", "p50", "p95")})
+
+
+def _over_sessions(per: DataFrame, wanted: dict[str, tuple[str, float]], *more: Column) -> DataFrame:
+    """Second level: sessions, samples and quantiles over sessions."""
+    summary = per.agg(count().alias("sessions"), F.sum("s_samples").alias("samples"), *more)
+    return with_quantiles(summary, per, [], wanted)
 
 
 def fps_histogram(events: DataFrame, scope: Scope, width: int = 10) -> DataFrame:
@@ -52,13 +66,13 @@ def fps_histogram(events: DataFrame, scope: Scope, width: int = 10) -> DataFrame
 
 def frame_time_percentiles(events: DataFrame, scope: Scope) -> DataFrame:
     per = _by_session(_frames(events, scope), median(g.reported("frame_time_ms")).alias("p50"), F.max(g.reported("frame_time_p95_ms")).alias("p95"))
-    return per.agg(count().alias("sessions"), F.sum("s_samples").alias("samples"), median("p50").alias("p50_ms"), median("p95").alias("p95_ms"))
+    return _over_sessions(per, {"p50_ms": ("p50", 0.5), "p95_ms": ("p95", 0.5)})
 
 
 def jank_rate(events: DataFrame, scope: Scope) -> DataFrame:
     per = _by_session(_frames(events, scope), F.sum("long_frames").alias("long"))
     per = per.withColumn("rate", F.col("long") / F.col("s_samples"))
-    return per.agg(count().alias("sessions"), F.sum("long").alias("total_long_frames"), median("rate").alias("median_rate"), quantile("rate", 0.9).alias("worst_decile_rate"))
+    return _over_sessions(per, {"median_rate": ("rate", 0.5), "worst_decile_rate": ("rate", 0.9)}, F.sum("long").alias("total_long_frames")).drop("samples")
 
 
 DEVICE = ["engine", "is_mobile", "renderer", "browser", "os"]
@@ -70,13 +84,15 @@ def perf_by_device(events: DataFrame, scope: Scope) -> DataFrame:
     device = starts.select("session_id", *[g.json_text("payload", "device", path).alias(n) for n, path in zip(DEVICE, ("engine", "isMobile", "renderer", "browser", "os"))])
     per = _by_session(_frames(events, scope), median("fps").alias("p50"))
     joined = per.join(device, "session_id", "left").select(*[F.coalesce(n, F.lit("")).alias(n) for n in DEVICE], "s_samples", "p50")
-    out = joined.groupBy(*DEVICE).agg(count().alias("sessions"), F.sum("s_samples").alias("samples"), median("p50").alias("p50_fps"))
+    out = joined.groupBy(*DEVICE).agg(count().alias("sessions"), F.sum("s_samples").alias("samples"))
+    out = with_quantiles(out, joined, DEVICE, {"p50_fps": ("p50", 0.5)})
     return top(out, None, F.desc("sessions"), *DEVICE)
 
 
 def perf_by_scene(events: DataFrame, scope: Scope) -> DataFrame:
     per = _by_session(_frames(events, scope), F.min("scene_id").alias("scene_id"), median("fps").alias("p50"))
-    out = per.groupBy("scene_id").agg(count().alias("sessions"), F.sum("s_samples").alias("samples"), median("p50").alias("p50_fps"))
+    out = per.groupBy("scene_id").agg(count().alias("sessions"), F.sum("s_samples").alias("samples"))
+    out = with_quantiles(out, per, ["scene_id"], {"p50_fps": ("p50", 0.5)})
     return top(out, None, F.desc("sessions"), "scene_id")
 
 
@@ -92,7 +108,7 @@ def resource_percentiles(events: DataFrame, scope: Scope) -> DataFrame:
     rows = of_type(in_scope(events, scope, "RSN"), "resource_sample")
     names = ["js_heap_bytes", "texture_bytes", "triangles"]
     per = _by_session(rows, *[quantile(g.reported(n), q / 100).alias(f"p{q}_{n}") for n in names for q in (50, 95)])
-    return per.agg(count().alias("sessions"), F.sum("s_samples").alias("samples"), *[median(f"p{q}_{n}").alias(f"p{q}_{n}") for n in names for q in (50, 95)])
+    return _over_sessions(per, {f"p{q}_{n}": (f"p{q}_{n}", 0.5) for n in names for q in (50, 95)})
 
 
 def stability_counts(events: DataFrame, scope: Scope) -> DataFrame:

@@ -1,5 +1,6 @@
 """As-of joins, filters, capture reductions and derived tables against plain Python."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenscape.functions import filters, geometry as g
 from lumenscape.operators import capture, derived
 from lumenscape.operators.asof import asof_join, with_previous
+from lumenscape.operators.quantiles import exact_quantiles
 
 T = datetime(2024, 1, 1)
 times = st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 6)), max_size=12)
@@ -145,3 +147,19 @@ def test_drawing_tables(spark):
     assert set(rows) == {0, 1} and (rows[0].x, rows[0].edge, rows[0].r, rows[0].b) == (1.0, 1.8, 1.0, 1.0)
     dome = derived.gaze_dome(spark.createDataFrame([(4, 4, 1)], "azimuth_bin long, elevation_bin long, count long"), 8, 2.0).first()
     assert abs((dome.x**2 + dome.y**2 + dome.z**2) ** 0.5 - 2) < 1e-9
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_exact_quantiles(spark, keys):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), float(v), float(w)) for k, v, w in zip(rng.integers(0, 3, 500), np.round(rng.normal(scale=30, size=500), 1), rng.lognormal(sigma=4, size=500))]
+    rows += [(0, None, 0.0), (3, None, None), (4, 7.0, float("nan"))]
+    df = spark.createDataFrame(rows, "k long, v double, w double")
+    wanted = {"v05": ("v", 0.05), "v50": ("v", 0.5), "w99": ("w", 0.99), "w0": ("w", 0.0)}
+    got = {tuple(r[k] for k in keys): r for r in exact_quantiles(df, keys, wanted).collect()}
+    groups = {(k,) for k, v, w in rows if v is not None or w == w and w is not None} if keys else {()}
+    assert set(got) == groups
+    for group in groups:
+        for name, (column, q) in wanted.items():
+            values = [x for k, *vw in rows if not keys or k == group[0] for x in [vw["vw".index(column)]] if x is not None and x == x]
+            assert (got[group][name] is None) if not values else math.isclose(got[group][name], np.quantile(values, q), rel_tol=1e-9, abs_tol=1e-9)
