@@ -37,6 +37,37 @@ def test_deduplicate(spark, tmp_path):
     assert drained(jobs.deduplicate(jobs.read_event_stream(spark, path)), "dedup", spark).count() == 2
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    """A row behind the watermark is left out of its window, and told."""
+    path, out = tmp_path / "late", str(tmp_path / "out")
+    schema = "project_id string, session_id string, ts timestamp, event_type string, payload string, fps double"
+
+    def arrive(*hours):
+        rows = [("p", "s", BASE + timedelta(hours=h), "frame_perf", str(h), 60.0) for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+
+    def run():
+        stream = jobs.stream_type_counts(jobs.read_event_stream(spark, str(path)), 3600)
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return jobs.rows_too_late(q)
+
+    arrive(0, 1, 5)
+    assert run() == 0
+    arrive(0, 6)
+    assert run() == 1
+    assert sum(r["count"] for r in spark.read.parquet(out).collect()) == 3  # the windows that are closed: hours 0, 1 and 5
+
+
+def test_feed_starts_with_what_is_stored(spark, tmp_path):
+    stored = present(spark).where("event_id <= 2")
+    present(spark).where("event_id > 2").coalesce(1).write.parquet(str(tmp_path / "live"))
+    for _ in range(2):  # started again it adds nothing
+        jobs.session_feed(stored, jobs.read_event_stream(spark, str(tmp_path / "live")), "p", "a", str(tmp_path / "feed"), str(tmp_path / "cp"), n=1).awaitTermination(120)
+    got = {(r.event_id, r.phase) for r in spark.read.parquet(str(tmp_path / "feed")).collect()}
+    assert (2, "backfill") in got and not any(i == 1 for i, _ in got) and all(p == "live" for i, p in got if i > 2)
+
+
 def test_streaming_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [("b0", json.dumps({"events": EVENTS}), T0.replace(tzinfo=None), "ip", AGENT), ("b1", json.dumps({"events": []}), T0.replace(tzinfo=None), "ip", AGENT)]
