@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenscape.functions import filters, geometry as g
 from lumenscape.operators import meshes, spatial, volume
-from lumenscape.plans.analytics import _BUCKET, _HITS, _MS, _TOP, ALL, N, PART, Query
+from lumenscape.plans.analytics import _BUCKET, _FREE, _HITS, _MS, _PATHS, _STEPS, _TOP, ALL, N, PART, Query
+from lumenscape.plans.reads import read
 from lumenscape.plans.scene_view import PROJECT
 from lumenscape.schema import MAX_BATCH
 from lumenscape.sources import ingest
@@ -255,7 +256,6 @@ def _clocked(e: DataFrame) -> DataFrame:
 
 
 _NOW_MS = 1_704_067_280_000
-_NOW = F.timestamp_millis(F.lit(_NOW_MS))
 _LIVE = f"""
 SELECT session_id, min(r) AS started_at, max(r) AS last_seen, any_value(scene_id) AS scene_id, any_value(visitor_id) AS visitor_id
 FROM (SELECT *, sum(CASE WHEN r - before > 30000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY r) AS stay
@@ -265,6 +265,12 @@ GROUP BY session_id, stay
 HAVING {_NOW_MS} - max(r) <= 30000"""
 
 
+def _present(e: DataFrame) -> tuple[DataFrame, Column]:
+    """Sessions that are live at one moment of the arrivals, and that moment."""
+    now = F.timestamp_millis(F.lit(_NOW_MS))
+    return jobs.presence_at(_clocked(e), now), now
+
+
 def _ms(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.unix_millis(c) for c in columns})
 
@@ -390,6 +396,14 @@ SOURCES: dict[str, Query] = {
         f"SELECT {_BUCKET(10_800)}, {N} AS events, avg(CASE WHEN event_type = 'frame_perf' THEN fps END) AS avg_fps FROM e WHERE {_IN_WEEK} GROUP BY bucket",
         "avg_fps",
     ),
+    "read_funnel": Query(
+        lambda e: read(e, "funnel", PROJECT, steps='[{"type": "session_start"}, {"type": "camera_sample"}, {"type": "pointer_click"}, {"type": "mesh_interaction", "name": "pick"}]'),
+        _STEPS,
+    ),
+    "read_trajectories": Query(
+        lambda e: read(e, "trajectories", PROJECT, camera_mode="first-person", limit=50_000),
+        f"{_PATHS}{_FREE} ORDER BY session_id, ts, gx, gz LIMIT 50000",
+    ),
     # streams
     "stream_timeseries": Query(
         lambda e: streamed(e, jobs.stream_timeseries),
@@ -428,13 +442,13 @@ SOURCES: dict[str, Query] = {
         lambda e: jobs.backfill(e.withColumn("received_at", F.col("ts")), 5).select("session_id", "event_id"),
         "SELECT session_id, event_id FROM e QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= 5",
     ),
-    "presence": Query(lambda e: _ms(jobs.presence_at(_clocked(e), _NOW), "started_at", "last_seen").drop("project_id"), _LIVE),
+    "presence": Query(lambda e: _ms(_present(e)[0], "started_at", "last_seen").drop("project_id"), _LIVE),
     "presence_totals": Query(
-        lambda e: jobs.presence_snapshot(jobs.presence_at(_clocked(e), _NOW), _NOW)[0].select("sessions", "visitors"),
+        lambda e: jobs.presence_snapshot(*_present(e))[0].select("sessions", "visitors"),
         f"SELECT {N} AS sessions, CAST(count(DISTINCT visitor_id) AS BIGINT) AS visitors FROM ({_LIVE})",
     ),
     "presence_roster": Query(
-        lambda e: jobs.presence_snapshot(jobs.presence_at(_clocked(e), _NOW), _NOW)[1].select("session_id", "scene_id", "activity"),
+        lambda e: jobs.presence_snapshot(*_present(e))[1].select("session_id", "scene_id", "activity"),
         f"""
         SELECT session_id, scene_id, CASE WHEN {_NOW_MS} - last_seen <= 3000 THEN 'active' WHEN {_NOW_MS} - last_seen <= 15000 THEN 'recent' ELSE 'idle' END AS activity
         FROM ({_LIVE})""",
