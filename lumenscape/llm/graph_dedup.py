@@ -22,10 +22,10 @@ from lumenscape.llm.common import connected_components, materialise
 
 #: Bounded sample that centroids are fitted on, probes of the audit, and vectors of one shard task.
 CENTROID_SAMPLE, PROBES, SHARD_ROWS = 8192, 512, 1200
-DEGREE, BEAM, ALPHA = 24, 12, 1.2
+DEGREE, BEAM, ALPHA = 24, 40, 1.2
 #: How far below the range a found vector is still expanded.
 SLACK = 0.05
-OVERLAP, WANTED_RECALL = 2, 0.98
+OVERLAP, WANTED_RECALL = 3, 0.95
 
 
 def valid_vector(v: Column) -> Column:
@@ -52,6 +52,15 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
+def spread_out(centres: np.ndarray, least: float) -> np.ndarray:
+    """Centroids of which no two are as near as a link: a dense group stays one (crowded) shard instead of being cut up."""
+    kept: list[int] = []
+    for i in range(len(centres)):
+        if not kept or (centres[kept] @ centres[i]).max() < least:
+            kept.append(i)
+    return centres[kept]
+
+
 def robust_prune(x: np.ndarray, order: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> list[int]:
     """Keep the nearest candidate, drop those that it covers (alpha times nearer to it), go on."""
     kept: list[int] = []
@@ -69,21 +78,25 @@ def robust_prune(x: np.ndarray, order: np.ndarray, sims: np.ndarray, degree: int
 
 
 def shard_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Adjacency (rows x degree, padded by -1) of one shard."""
+    """Adjacency (rows x degree, padded by -1) of one shard: its nearest and some others, pruned.
+
+    The others, picked at random, are what leads out of a dense group, whose nearest are all of the group.
+    """
     n = len(x)
     out = np.full((n, degree), -1, np.int32)
     pool = min(n - 1, 3 * degree)
     if pool <= 0:
         return out
+    far = np.random.default_rng(7).integers(0, n, (n, degree))
     for at in range(0, n, 512):
         s = x[at : at + 512] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         best = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
-        sims = np.take_along_axis(s, best, 1)
-        rank = np.argsort(-sims, axis=1, kind="stable")
-        best, sims = np.take_along_axis(best, rank, 1), np.take_along_axis(sims, rank, 1)
         for i in range(len(s)):
-            kept = robust_prune(x, best[i], sims[i], degree, alpha)
+            some = np.union1d(best[i], far[at + i])
+            some = some[np.argsort(-s[i, some], kind="stable")]
+            some = some[s[i, some] > -np.inf]
+            kept = robust_prune(x, some, s[i, some], degree, alpha)
             out[at + i, : len(kept)] = kept
     return out
 
@@ -218,7 +231,7 @@ def near_vectors(spark: SparkSession, table: DataFrame, id_col: str = "vec_id",
         sample = unit_rows(_frame_vectors(mine)) if len(mine) else np.empty((0, d))
         k = int(np.clip(sizes[d] // (shard_rows // 2), 1, max(1, len(sample))))
         probes = max(1, PROBES * len(mine) // len(picked)) if len(mine) else 0
-        plans[d] = {"centres": fit_centroids(sample, k) if len(sample) else np.ones((1, d)), "nodes": mine["node"].to_numpy()[:probes], "probes": sample[:probes]}
+        plans[d] = {"centres": spread_out(fit_centroids(sample, k), least) if len(sample) else np.ones((1, d)), "nodes": mine["node"].to_numpy()[:probes], "probes": sample[:probes]}
     shared = spark.sparkContext.broadcast(plans)
     widest = max(len(p["centres"]) for p in plans.values())
 
