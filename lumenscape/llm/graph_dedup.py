@@ -22,7 +22,7 @@ from lumenscape.llm.common import connected_components, materialise
 
 #: Bounded sample that centroids are fitted on, probes of the audit, and vectors of one shard task.
 CENTROID_SAMPLE, PROBES, SHARD_ROWS = 8192, 512, 1200
-DEGREE, BEAM, ALPHA = 24, 40, 1.2
+DEGREE, BEAM, ALPHA = 24, 16, 1.2
 #: How far below the range a found vector is still expanded.
 SLACK = 0.05
 OVERLAP, WANTED_RECALL = 3, 0.95
