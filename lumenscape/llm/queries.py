@@ -15,6 +15,7 @@ from lumenscape.llm.mixing import document_items, document_sql, mix
 from lumenscape.llm.order_minhash import order_minhash
 from lumenscape.llm.packing import pack_documents
 from lumenscape.llm.secret_ledger import BASE_RULES, scan_versions
+from lumenscape.llm.sharded_lloyd import lloyd, lloyd_sql
 from lumenscape.llm.token_rollup import Rollup, count_tokens, document_rollup
 from lumenscape.llm.toxicity import toxicity
 
@@ -71,6 +72,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op13_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_graph_dedup": op1_graph_dedup,
@@ -83,8 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": op8_order_minhash,
         "op9_token_rollup": op9_token_rollup,
         "op10_line_dedup": op10_line_dedup,
+        "op13_sharded_lloyd": op13_sharded_lloyd,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hierarchical_mix": document_sql()}
+    return {"op4_hierarchical_mix": document_sql(), "op13_sharded_lloyd": lloyd_sql()}
