@@ -33,15 +33,18 @@ BLOCK = 32
 
 @dataclass
 class Shards:
-    """A bucketed table (row, vec_id, p0, p1, ...): integer slices of every vector; its name, buckets and block widths."""
+    """A bucketed table (row, vec_id, p0, p1, ...): integer slices of every vector; its name, folder, buckets and block widths."""
 
     spark: SparkSession
     name: str
+    folder: str
     buckets: int
     widths: list[int]
 
-    def block(self, b: int) -> DataFrame:
-        return self.spark.table(self.name).select("row", F.col(f"p{b}").alias("part"))
+    def block(self, b: int, bucketed: bool) -> DataFrame:
+        """One column; by buckets, or dealt out by size where buckets are of no use."""
+        rows = self.spark.table(self.name) if bucketed else self.spark.read.schema(self.spark.table(self.name).schema).parquet(self.folder)
+        return rows.select("row", F.col(f"p{b}").alias("part"))
 
 
 def kept_vectors(vectors: DataFrame, dim: int, vector_col: str = "embedding") -> DataFrame:
@@ -59,10 +62,10 @@ def first_centroids(kept: DataFrame, k: int, seed: str) -> np.ndarray:
     return np.array([r["components"] for r in first.collect()], dtype=np.int64)
 
 
-def _bucketed(spark: SparkSession, df: DataFrame, buckets: int, what: str) -> str:
+def _bucketed(spark: SparkSession, df: DataFrame, buckets: int, what: str, folder: str | None = None) -> str:
     """df as a table in the shared folder, one file a bucket of its rows."""
     name = f"lumenscape_{what}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", new_folder(spark, what)).bucketBy(buckets, "row").sortBy("row").saveAsTable(name)
+    df.write.format("parquet").option("path", folder or new_folder(spark, what)).bucketBy(buckets, "row").sortBy("row").saveAsTable(name)
     return name
 
 
@@ -78,9 +81,10 @@ def shard(spark: SparkSession, kept: DataFrame, dim: int, width: int) -> Shards:
     cuts = list(range(0, dim, width))
     parts = [F.slice("components", at + 1, min(width, dim - at)).alias(f"p{b}") for b, at in enumerate(cuts)]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = _bucketed(spark, numbered.repartition(buckets, "row").select("row", "vec_id", *parts), buckets, "shards")
+    folder = new_folder(spark, "shards")
+    name = _bucketed(spark, numbered.repartition(buckets, "row").select("row", "vec_id", *parts), buckets, "shards", folder)
     forget(spark, numbered)
-    return Shards(spark, name, buckets, [min(width, dim - at) for at in cuts])
+    return Shards(spark, name, folder, buckets, [min(width, dim - at) for at in cuts])
 
 
 def partial_distances(shards: Shards, b: int, slices: np.ndarray) -> DataFrame:
@@ -96,7 +100,7 @@ def partial_distances(shards: Shards, b: int, slices: np.ndarray) -> DataFrame:
                 columns.append(pa.array(np.einsum("ij,ij->i", gap, gap)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", *(f"d{j}" for j in range(k))])
 
-    return shards.block(b).mapInArrow(run, ", ".join(["row long", *(f"d{j} long" for j in range(k))]))
+    return shards.block(b, bucketed=False).mapInArrow(run, ", ".join(["row long", *(f"d{j} long" for j in range(k))]))
 
 
 def assign(shards: Shards, centroids: np.ndarray) -> str:
@@ -112,7 +116,7 @@ def assign(shards: Shards, centroids: np.ndarray) -> str:
 
 def _sums(shards: Shards, b: int, assigned: str) -> DataFrame:
     """Block b, cluster, its count and the sums of its components; every task adds up its own vectors first."""
-    mine = shards.block(b).join(shards.spark.table(assigned).select("row", "cluster"), "row")
+    mine = shards.block(b, bucketed=True).join(shards.spark.table(assigned).select("row", "cluster"), "row")
     totals = [F.sum(F.col("part")[i]) for i in range(shards.widths[b])]
     return mine.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*totals).alias("totals")).select(F.lit(b).alias("block"), "cluster", "n", "totals")
 
