@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenscape.llm.additive_quality import quality
 from lumenscape.llm.circulant_minhash import near_duplicates
 from lumenscape.llm.common import materialise, new_folder, read_table
+from lumenscape.llm.dual_tree_search import search, search_sql
 from lumenscape.llm.graph_dedup import near_vectors
 from lumenscape.llm.language_id import languages
 from lumenscape.llm.line_dedup import line_report
@@ -72,6 +74,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op11_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd(spark, read_table(spark, sf_dir, "embeddings"))
 
@@ -88,9 +98,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": op8_order_minhash,
         "op9_token_rollup": op9_token_rollup,
         "op10_line_dedup": op10_line_dedup,
+        "op11_additive_quality": op11_additive_quality,
+        "op12_dual_tree_search": op12_dual_tree_search,
         "op13_sharded_lloyd": op13_sharded_lloyd,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hierarchical_mix": document_sql(), "op13_sharded_lloyd": lloyd_sql()}
+    return {"op4_hierarchical_mix": document_sql(), "op12_dual_tree_search": search_sql(), "op13_sharded_lloyd": lloyd_sql()}
