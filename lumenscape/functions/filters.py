@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenscape.functions.geometry import at, json_text
 from lumenscape.schema import CAMERA_ALIASES
@@ -63,6 +63,14 @@ def parse_region(text: str) -> Box:
     return values  # type: ignore[return-value]
 
 
+def scope_conditions(scope: Scope, use: str) -> list[Column]:
+    """What Range, Scene, X source and session N, where `use` names them, ask of a row."""
+    out = [F.col("ts") >= F.lit(scope.since)] if "R" in use and scope.since is not None else []
+    out += [F.col("ts") < F.lit(scope.until)] if "R" in use and scope.until is not None else []
+    texts = (("S", "scene_id", scope.scene), ("X", "source", scope.source), ("N", "session_id", scope.session))
+    return out + [F.col(column) == value for part, column, value in texts if part in use and value]
+
+
 def in_scope(events: DataFrame, scope: Scope, use: str = "RSXNBC", vector: str = "hit_point") -> DataFrame:
     """Events within the parts of a scope named by `use`: Range, Scene, X source, session N, Box of `vector`, Camera mode.
 
@@ -77,9 +85,8 @@ def in_scope(events: DataFrame, scope: Scope, use: str = "RSXNBC", vector: str =
         if scope.until is not None:
             out = out.where(F.col("ts") < F.lit(scope.until))
             out = out.where(F.col("event_date") <= F.lit(scope.until.date())) if dated else out
-    for part, column, value in (("S", "scene_id", scope.scene), ("X", "source", scope.source), ("N", "session_id", scope.session)):
-        if part in use and value:
-            out = out.where(F.col(column) == value)
+    for condition in scope_conditions(scope, use.replace("R", "")):
+        out = out.where(condition)
     if "B" in use and scope.region:
         for i in range(3):
             out = out.where(at(vector, i).between(float(scope.region[i]), float(scope.region[i + 3])))

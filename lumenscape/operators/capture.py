@@ -257,15 +257,17 @@ def reconstruct_children(samples: DataFrame, meshes: DataFrame) -> DataFrame:
 
     samples: session_id, ts, node_id, child_path, position, rotation, scale. meshes: path, position,
     rotation, scale at scan time. child(t) = root(t) * inverse(root at scan) * child at scan, for paths
-    strictly below the node's; a singular root at scan gives none; captured children win. The meshes of a scene's
-    proxy are at most 10,000 rows, so they are broadcast.
+    strictly below the node's; a singular root at scan gives none; captured children win. A path meets the paths above
+    it by equality: each is listed with all of its beginnings.
     """
     roots = samples.where("child_path = ''")
     world = F.struct("position", "rotation", "scale")
     scan = meshes.select(F.col("path"), world.alias("child"))
     root_scan = meshes.select(F.col("path").alias("root_path"), world.alias("root"))
-    pairs = root_scan.join(scan, F.expr("startswith(path, concat(root_path, '/'))"))
-    joined = roots.join(F.broadcast(pairs), F.col("node_id") == F.col("root_path"))
+    parts = F.split("path", "/")
+    above = F.transform(F.slice(F.sequence(F.lit(0), F.size(parts) - 1), 2, F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    pairs = scan.select("path", "child", F.explode(above).alias("root_path")).join(root_scan, "root_path")
+    joined = roots.join(pairs, F.col("node_id") == F.col("root_path"))
     captured = samples.where("child_path <> ''").select("session_id", "ts", F.concat_ws("/", "node_id", "child_path").alias("path"))
     joined = joined.join(captured, ["session_id", "ts", "path"], "left_anti")
     rows = joined.select("session_id", "ts", "path", "position", "rotation", "scale", *[F.col(f"{o}.{c}").alias(f"{o}_{c}") for o in ("root", "child") for c in ("position", "rotation", "scale")])

@@ -24,27 +24,36 @@ def part_popularity(by_source: DataFrame, trend: DataFrame, limit: int = 12) ->
     return out.orderBy(F.desc("total"), "mesh").limit(limit)
 
 
-def dead_zones(coverage: DataFrame, meshes: DataFrame, cell_size: float, max_cells: int = 100_000) -> DataFrame:
+#: Cells are also grouped into blocks of 2, 4, ... to this power on each side; a box takes blocks of which it spans few.
+_LEVELS = [0, 3, 6, 9, 12, 15, 18, 21]
+_SPAN = 8
+
+
+def dead_zones(coverage: DataFrame, meshes: DataFrame, cell_size: float) -> DataFrame:
     """Visits of every proxy mesh box, padded by a cell, coldest first.
 
-    meshes: name, aabb. Each box is turned into the cells whose centres it holds and joined by cell; a
-    box of over max_cells cells is compared directly, the meshes being a scene's proxy.
+    meshes: name, aabb. Each box is listed by the blocks of cells that it touches, in the finest size of which it spans at
+    most _SPAN on each side (or the largest); each visited cell is in one block of every size. So boxes of any extent meet cells by
+    equality of blocks, and what a block has outside the box is left out.
     """
     side = [(F.get("aabb", i) - cell_size, F.get("aabb", i + 3) + cell_size) for i in range(3)]
-    first = [F.ceil(lo / cell_size - 0.5) for lo, _ in side]
-    last = [F.floor(hi / cell_size - 0.5) for _, hi in side]
-    boxes = meshes.select("name", *[f.alias(f"f{i}") for i, f in enumerate(first)], *[x.alias(f"l{i}") for i, x in enumerate(last)])
-    spans = [F.greatest(F.col(f"l{i}") - F.col(f"f{i}") + 1, F.lit(0)) for i in range(3)]
-    boxes = boxes.withColumn("cells", spans[0].cast("double") * spans[1] * spans[2])
-    small = boxes.where((F.col("cells") > 0) & (F.col("cells") <= max_cells))
-    for i, v in enumerate(VOXEL):
-        small = small.withColumn(v, F.explode(F.sequence(f"f{i}", f"l{i}")))
-    near = small.join(coverage, VOXEL).select("name", "count")
+    first = [F.ceil(lo / cell_size - 0.5).cast("long") for lo, _ in side]
+    last = [F.floor(hi / cell_size - 0.5).cast("long") for _, hi in side]
+    boxes = meshes.select("name", *[f.alias(f"f{i}") for i, f in enumerate(first)], *[x.alias(f"l{i}") for i, x in enumerate(last)]).where("l0 >= f0 and l1 >= f1 and l2 >= f2")
+    widest = F.greatest(*[F.col(f"l{i}") - F.col(f"f{i}") for i in range(3)])
+    level = F.lit(_LEVELS[-1])
+    for n in reversed(_LEVELS[:-1]):
+        level = F.when(widest < _SPAN << n, n).otherwise(level)
+    boxes = boxes.withColumn("level", level)
+    for i in range(3):
+        block = F.expr(f"sequence(shiftright(f{i}, level), shiftright(l{i}, level))")
+        boxes = boxes.withColumn(f"b{i}", F.explode(block))
+    cells = coverage.select(*VOXEL, "count", F.explode(F.array(*map(F.lit, _LEVELS))).alias("level"))
+    cells = cells.select("*", *[F.expr(f"shiftright({v}, level)").alias(f"b{i}") for i, v in enumerate(VOXEL)])
     inside: Column = F.lit(True)
     for i, v in enumerate(VOXEL):
         inside &= F.col(v).between(F.col(f"f{i}"), F.col(f"l{i}"))
-    far = boxes.where(F.col("cells") > max_cells).join(coverage, inside).select("name", "count")
-    visits = near.union(far).groupBy("name").agg(F.sum("count").alias("visits"))
+    visits = boxes.join(cells, ["level", "b0", "b1", "b2"]).where(inside).groupBy("name").agg(F.sum("count").alias("visits"))
     out = meshes.select("name").join(visits, "name", "left").select("name", F.coalesce("visits", F.lit(0)).cast("long").alias("visits"))
     return out.withColumn("dead", F.col("visits") == 0).orderBy("visits", "name")
 
@@ -212,19 +221,27 @@ def gaze_dome(directions: DataFrame, bins: int, radius: float, centre: tuple[flo
 
 # Which lane of a session's timeline an event type belongs to.
 LANES = {
-    "interaction": "pointer_click mesh_interaction", "actors": "node_transform", "custom": "custom", "camera": "camera_sample", "pointer": "pointer_move pointer_down pointer_up", "perf": "frame_perf",
-    "lifecycle": "session_start session_end scene_change focus_change visibility_change viewport_resize context_lost context_restored runtime_error capability_change input_action resource_sample compile_stall mesh_visibility hover_dwell",
+    "interaction": ["pointer_click", "mesh_interaction"],
+    "actors": ["node_transform"],
+    "custom": ["custom"],
+    "camera": ["camera_sample"],
+    "pointer": ["pointer_move", "pointer_down", "pointer_up"],
+    "perf": ["frame_perf"],
+    "lifecycle": [
+        "session_start", "session_end", "scene_change", "focus_change", "visibility_change", "viewport_resize", "context_lost", "context_restored", "runtime_error", "capability_change",
+        "input_action", "resource_sample", "compile_stall", "mesh_visibility", "hover_dwell",
+    ],
 }
 
 
 def session_lanes(events: DataFrame, slots: int = 600) -> DataFrame:
     """Distinct (session, lane, slot): where in a session's span something happened."""
-    lane = F.create_map(*[F.lit(x) for lane, types in LANES.items() for t in types.split() for x in (t, lane)])
-    span = Window.partitionBy("session_id")
+    lane = F.create_map(*[F.lit(x) for lane, types in LANES.items() for t in types for x in (t, lane)])
     ms = g.epoch_ms(F.col("ts"))
-    rows = events.select("session_id", F.try_element_at(lane, F.col("event_type")).alias("lane"), ms.alias("ms")).withColumn("t0", F.min("ms").over(span)).withColumn("t1", F.max("ms").over(span))
+    spans = events.groupBy("session_id").agg(F.min(ms).alias("t0"), F.max(ms).alias("t1"))
+    rows = events.select("session_id", F.try_element_at(lane, F.col("event_type")).alias("lane"), ms.alias("ms")).where("lane is not null").join(spans, "session_id")
     slot = F.floor((F.col("ms") - F.col("t0")) * slots / F.greatest(F.col("t1") - F.col("t0"), F.lit(1)) + 0.5)
-    return rows.where("lane is not null").select("session_id", "lane", slot.alias("slot")).distinct()
+    return rows.select("session_id", "lane", slot.alias("slot")).distinct()
 
 
 def session_duration(events: DataFrame) -> DataFrame:

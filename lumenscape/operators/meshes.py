@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenscape.functions import geometry as g
 from lumenscape.functions.filters import Scope, check_options, in_scope
+from lumenscape.operators.asof import time_range
 from lumenscape.operators.volume import count, of_type, top
 from lumenscape.schema import INPUT_EVENTS, XR_SOURCES
 
@@ -117,31 +118,38 @@ class Step:
 def funnel(events: DataFrame, scope: Scope, steps: list[Step]) -> DataFrame:
     """Sessions that reached each step, every step at or after the first reach of the one before.
 
-    One pass: a session's matching times per step are sorted once and a fold takes the first time that
-    is not before the last reach. The camera mode counts for the first step, which the others follow.
+    A session is read by ranges of time, each of which tells how far a session gets in it that has come so far before; the
+    ranges, one short row each, are then followed in order. The camera mode counts for the first step, which the others follow.
     """
     if not 2 <= len(steps) <= 20:
         raise ValueError("a funnel has 2 to 20 steps")
-    rows = in_scope(events, scope, "RS")
-    any_step = steps[0].matches()
-    for s in steps[1:]:
-        any_step |= s.matches()
-    times = [F.sort_array(F.collect_list(F.when(s.matches(), F.col("ts")))).alias(f"t{i}") for i, s in enumerate(steps)]
-    sessions = rows.where(any_step).groupBy("session_id").agg(*times)
+    rows = in_scope(events, scope, "RS").select("session_id", "ts", time_range("ts").alias("range"), *[s.matches().alias(f"m{i}") for i, s in enumerate(steps)])
+    ranges = _progress(rows.where(" or ".join(f"m{i}" for i in range(len(steps)))), len(steps))
+    far = F.aggregate(F.array_sort(F.collect_list(F.struct("range", "onward"))), F.lit(0), lambda reached, r: F.get(r["onward"], reached))
+    sessions = ranges.groupBy("session_id").agg(far.alias("reached"))
     if scope.camera_mode:
         sessions = in_scope(events, scope, "RSC").select("session_id").distinct().join(sessions, "session_id")
-    reach: Column = F.get("t0", 0)
-    sessions = sessions.withColumn("r0", reach)
-    for i in range(1, len(steps)):
-        before = F.col(f"r{i - 1}")
-        sessions = sessions.withColumn(f"r{i}", F.when(before.isNotNull(), F.array_min(_not_before(f"t{i}", f"r{i - 1}"))))
-    wide = sessions.agg(*[F.count(f"r{i}").alias(f"s{i}") for i in range(len(steps))])
+    wide = sessions.agg(*[F.count_if(F.col("reached") > i).alias(f"s{i}") for i in range(len(steps))])
     pairs = ", ".join(f"{i}, s{i}" for i in range(len(steps)))
     return wide.selectExpr(f"stack({len(steps)}, {pairs}) AS (step, sessions)").orderBy("step")
 
 
-def _not_before(times: str, least: str) -> Column:
-    return F.filter(times, lambda t: t >= F.col(least))
+def _progress(rows: DataFrame, n: int) -> DataFrame:
+    """session_id, range, onward: how many steps a session has behind it after the range, by how many it had before (0 to n).
+
+    In a range the first step still missing is reached at its earliest time, each later one at its earliest time not
+    before that: one aggregate a step over the rows of the range, all of which stay where one shuffle put them.
+    """
+    here = Window.partitionBy("session_id", "range")
+    for more in range(n):
+        new = {}
+        for start in range(n - more):
+            step = start + more
+            due = F.col(f"m{step}") if not more else F.col(f"m{step}") & (F.col("ts") >= F.col(f"a{start}_{more - 1}"))
+            new[f"a{start}_{more}"] = F.min(F.when(due, F.col("ts"))).over(here)
+        rows = rows.withColumns(new)
+    gained = [sum((F.col(f"a{start}_{more}").isNotNull().cast("int") for more in range(n - start)), F.lit(start)) for start in range(n)]
+    return rows.select("session_id", "range", F.array(*gained, F.lit(n)).alias("onward")).groupBy("session_id", "range").agg(F.first("onward").alias("onward"))
 
 
 def funnel_conversion(steps: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenscape.functions import geometry as g
-from lumenscape.functions.filters import Scope, check_options, in_scope
-from lumenscape.operators.quantiles import with_quantiles
+from lumenscape.functions.filters import Scope, check_options, in_scope, scope_conditions
+from lumenscape.operators.quantiles import summary_with_quantiles
 from lumenscape.operators.volume import count, of_type, top
 
 
@@ -29,22 +29,21 @@ def _by_session(rows: DataFrame, *values: Column) -> DataFrame:
 
 
 def perf_summary(events: DataFrame, scope: Scope) -> DataFrame:
-    frames = _frames(events, scope, "RN")
-    summary = frames.agg(count().alias("samples"), F.avg("fps").alias("avg_fps"), F.min("fps").alias("min_fps"))
-    return with_quantiles(summary, frames, [], {"p50_fps": ("fps", 0.5)})
+    frames = _frames(events, scope, "RN").select("fps")
+    return summary_with_quantiles(frames, [], {"p50_fps": ("fps", 0.5)}, {"samples": F.count("one"), "avg_fps": F.avg("fps"), "min_fps": F.min("fps")}, ("samples",))
 
 
 def render_scale_truth(events: DataFrame, scope: Scope) -> DataFrame:
-    frames = _frames(events, scope, "RN").withColumn("scale", g.reported("render_scale"))
+    frames = _frames(events, scope, "RN").select("fps", g.reported("render_scale").alias("scale"))
     scale = F.col("scale")
-    summary = frames.agg(
-        count().alias("samples"),
-        F.avg("fps").alias("avg_fps"),
-        F.avg("scale").alias("avg_render_scale"),
-        F.sum(F.when((scale > 0) & (scale < 1), 1).otherwise(0)).alias("downscaled_samples"),
-        F.sum(F.when(scale > 0, 1).otherwise(0)).alias("scale_samples"),
-    )
-    return with_quantiles(summary, frames, [], {"p50_fps": ("fps", 0.5), "p50_render_scale": ("scale", 0.5)})
+    aggregates = {
+        "samples": F.count("one"),
+        "avg_fps": F.avg("fps"),
+        "avg_render_scale": F.avg("scale"),
+        "downscaled_samples": F.sum(F.when((scale > 0) & (scale < 1), F.col("one")).otherwise(F.col("one") * 0)),
+        "scale_samples": F.sum(F.when(scale > 0, F.col("one")).otherwise(F.col("one") * 0)),
+    }
+    return summary_with_quantiles(frames, [], {"p50_fps": ("fps", 0.5), "p50_render_scale": ("scale", 0.5)}, aggregates, ("samples",))
 
 
 def perf_distribution(events: DataFrame, scope: Scope) -> DataFrame:
@@ -52,10 +51,10 @@ def perf_distribution(events: DataFrame, scope: Scope) -> DataFrame:
     return _over_sessions(per, {f"{n}_fps": (n, 0.5) for n in ("p05", "p50", "p95")})
 
 
-def _over_sessions(per: DataFrame, wanted: dict[str, tuple[str, float]], *more: Column) -> DataFrame:
+def _over_sessions(per: DataFrame, wanted: dict[str, tuple[str, float]], keys: tuple[str, ...] = (), **more: Column) -> DataFrame:
     """Second level: sessions, samples and quantiles over sessions."""
-    summary = per.agg(count().alias("sessions"), F.sum("s_samples").alias("samples"), *more)
-    return with_quantiles(summary, per, [], wanted)
+    per = per.drop("session_id")
+    return summary_with_quantiles(per, list(keys), wanted, {"sessions": F.count("one"), "samples": F.sum("s_samples"), **more}, ("sessions",))
 
 
 def fps_histogram(events: DataFrame, scope: Scope, width: int = 10) -> DataFrame:
@@ -72,7 +71,7 @@ def frame_time_percentiles(events: DataFrame, scope: Scope) -> DataFrame:
 def jank_rate(events: DataFrame, scope: Scope) -> DataFrame:
     per = _by_session(_frames(events, scope), F.sum("long_frames").alias("long"))
     per = per.withColumn("rate", F.col("long") / F.col("s_samples"))
-    return _over_sessions(per, {"median_rate": ("rate", 0.5), "worst_decile_rate": ("rate", 0.9)}, F.sum("long").alias("total_long_frames")).drop("samples")
+    return _over_sessions(per, {"median_rate": ("rate", 0.5), "worst_decile_rate": ("rate", 0.9)}, total_long_frames=F.sum("long")).drop("samples")
 
 
 DEVICE = ["engine", "is_mobile", "renderer", "browser", "os"]
@@ -80,19 +79,21 @@ DEVICE = ["engine", "is_mobile", "renderer", "browser", "os"]
 
 def perf_by_device(events: DataFrame, scope: Scope) -> DataFrame:
     """Devices come from every session start of the project, so a session that started twice counts twice."""
-    starts = of_type(in_scope(events, scope, ""), "session_start")
-    device = starts.select("session_id", *[g.json_text("payload", "device", path).alias(n) for n, path in zip(DEVICE, ("engine", "isMobile", "renderer", "browser", "os"))])
-    per = _by_session(_frames(events, scope), median("fps").alias("p50"))
-    joined = per.join(device, "session_id", "left").select(*[F.coalesce(n, F.lit("")).alias(n) for n in DEVICE], "s_samples", "p50")
-    out = joined.groupBy(*DEVICE).agg(count().alias("sessions"), F.sum("s_samples").alias("samples"))
-    out = with_quantiles(out, joined, DEVICE, {"p50_fps": ("p50", 0.5)})
+    here = in_scope(of_type(events, "frame_perf", "session_start"), scope, "")
+    device = F.struct(*[g.json_text("payload", "device", path).alias(n) for n, path in zip(DEVICE, ("engine", "isMobile", "renderer", "browser", "os"))])
+    counted = F.col("event_type") == "frame_perf"
+    for condition in scope_conditions(scope, "RSN"):
+        counted &= condition
+    per = here.where(counted | (F.col("event_type") == "session_start")).groupBy("session_id")
+    per = per.agg(F.count_if(counted).alias("s_samples"), median(F.when(counted, F.col("fps"))).alias("p50"), F.collect_list(F.when(~counted & (F.col("event_type") == "session_start"), device)).alias("starts"))
+    rows = per.where("s_samples > 0").select("s_samples", "p50", F.explode_outer("starts").alias("d")).select("s_samples", "p50", *[F.coalesce(f"d.{n}", F.lit("")).alias(n) for n in DEVICE])
+    out = _over_sessions(rows, {"p50_fps": ("p50", 0.5)}, tuple(DEVICE))
     return top(out, None, F.desc("sessions"), *DEVICE)
 
 
 def perf_by_scene(events: DataFrame, scope: Scope) -> DataFrame:
     per = _by_session(_frames(events, scope), F.min("scene_id").alias("scene_id"), median("fps").alias("p50"))
-    out = per.groupBy("scene_id").agg(count().alias("sessions"), F.sum("s_samples").alias("samples"))
-    out = with_quantiles(out, per, ["scene_id"], {"p50_fps": ("p50", 0.5)})
+    out = _over_sessions(per, {"p50_fps": ("p50", 0.5)}, ("scene_id",))
     return top(out, None, F.desc("sessions"), "scene_id")
 
 

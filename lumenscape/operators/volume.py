@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenscape.functions import geometry as g
 from lumenscape.functions.filters import Scope, check_options, in_scope, whole_days
-from lumenscape.operators.quantiles import with_quantiles
+from lumenscape.operators.quantiles import summary_with_quantiles
 
 
 def count() -> Column:
@@ -50,8 +50,7 @@ def event_type_counts(events: DataFrame, scope: Scope) -> DataFrame:
 def perf_daily(events: DataFrame) -> DataFrame:
     """Rollup table: frame performance by project and UTC day, with the exact median."""
     frames = of_type(events, "frame_perf").select("project_id", F.to_date("ts").alias("day"), "fps")
-    summary = frames.groupBy("project_id", "day").agg(count().alias("samples"), F.avg("fps").alias("avg_fps"), F.min("fps").alias("min_fps"))
-    return with_quantiles(summary, frames, ["project_id", "day"], {"p50_fps": ("fps", 0.5)})
+    return summary_with_quantiles(frames, ["project_id", "day"], {"p50_fps": ("fps", 0.5)}, {"samples": F.count("one"), "avg_fps": F.avg("fps"), "min_fps": F.min("fps")})
 
 
 def events_daily(events: DataFrame) -> DataFrame:

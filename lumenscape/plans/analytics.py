@@ -188,7 +188,7 @@ SELECT mesh AS name, min(hit_point[1]) AS x0, min(hit_point[2]) AS y0, min(hit_p
 FROM e
 WHERE mesh <> '' AND len(hit_point) = 3 AND hit_point[1] BETWEEN -3 AND 3 AND hit_point[3] BETWEEN -3 AND 3
 GROUP BY mesh"""
-_LANE_CASE = "CASE " + " ".join(f"WHEN event_type = '{t}' THEN '{lane}'" for lane, types in derived.LANES.items() for t in types.split()) + " END"
+_LANE_CASE = "CASE " + " ".join(f"WHEN event_type = '{t}' THEN '{lane}'" for lane, types in derived.LANES.items() for t in types) + " END"
 
 def _mesh_boxes(e: DataFrame) -> DataFrame:
     """Boxes of the hits near the centre: a stand-in for scanned proxies."""

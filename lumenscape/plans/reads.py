@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from lumenscape.functions.filters import Scope, parse_region, resolve_cell_size
 from lumenscape.operators import correlate, meshes, performance, spatial, volume
 from lumenscape.operators.meshes import Step
+from lumenscape.schema import NODE_SAMPLES
 from lumenscape.sources import ingest
 
 
@@ -41,13 +42,18 @@ _PATTERNS = {"session": r"(?s).{1,128}", "scene": r"[A-Za-z0-9._:-]{1,64}", "eve
 
 @dataclass(frozen=True)
 class Read:
-    """build(events, scope, **options). takes: scope options beside since and until; numbers and texts: its own."""
+    """build(events, scope, **options). takes: scope options beside since and until; numbers and texts: its own.
+
+    needs: scope options that it does not answer without; tables: which others than the events build() is given.
+    """
 
     build: Callable[..., DataFrame]
     takes: str = ""
     numbers: dict[str, Bound] = field(default_factory=dict)
     texts: str = ""
     cell_default: float | None = None
+    needs: str = ""
+    tables: str = ""
 
     def options(self) -> set[str]:
         return {"since", "until", *self.takes.split(), *self.numbers, *self.texts.split()}
@@ -77,6 +83,13 @@ def _histogram(events: DataFrame, scope: Scope, bucket: int = 10) -> DataFrame:
     return performance.fps_histogram(events, scope, bucket)
 
 
+def _session_events(events: DataFrame, scope: Scope, samples: DataFrame | None) -> DataFrame:
+    """All events of a session in the order of its timeline, node samples among them."""
+    mine = lambda df: df.where((F.col("project_id") == scope.project) & (F.col("session_id") == scope.session))
+    samples = events.sparkSession.createDataFrame([], NODE_SAMPLES) if samples is None else samples
+    return ingest.session_timeline(mine(events), mine(samples), scope.session)
+
+
 _HERE, _PLACED = "scene source session", "scene source session region camera_mode"
 _BINS = {"bins": Bound(500)}
 _VOXELS = {"cell_size": CELL, "limit": LIMIT}
@@ -87,6 +100,9 @@ READS: dict[str, Read] = {
     "timeseries": Read(volume.timeseries, "scene", {"interval": SECONDS}, "event_type"),
     "event_counts": Read(volume.event_type_counts, "scene"),
     "session_meta": Read(lambda events, scope: ingest.session_meta(events.where((F.col("project_id") == scope.project) & (F.col("session_id") == scope.session))), "session"),
+    "session_events": Read(_session_events, "session", needs="session", tables="samples"),
+    "scene_representations": Read(lambda events, scope, proxies: ingest.list_proxies(proxies, scope.project), tables="proxies"),
+    "scene_representation": Read(lambda events, scope, proxies: ingest.proxy(proxies, scope.project, scope.scene), "scene", needs="scene", tables="proxies"),
     "pointer_heatmap": Read(spatial.pointer_heatmap, "scene source session camera_mode", _BINS),
     "world_heatmap": Read(spatial.world_heatmap, _PLACED, _VOXELS, cell_default=0.5),
     "world_heatmap_totals": Read(spatial.world_heatmap_totals, _PLACED, {"cell_size": CELL}, cell_default=0.5),
@@ -134,8 +150,8 @@ READS: dict[str, Read] = {
 }
 
 
-def read(events: DataFrame, name: str, project: str, proxies: DataFrame | None = None, **options) -> DataFrame:
-    """The answer to a named question. ValueError for an unknown name, option or value.
+def read(events: DataFrame, name: str, project: str, proxies: DataFrame | None = None, samples: DataFrame | None = None, **options) -> DataFrame:
+    """The answer to a named question. ValueError for an unknown name, option or value, or for one that is missing.
 
     A spatial question without a cell size takes it from its region, else from the bounds of the scene's proxy
     (one row of `proxies`, with a column bounds), else its default.
@@ -148,6 +164,10 @@ def read(events: DataFrame, name: str, project: str, proxies: DataFrame | None =
     given = {k: v for k, v in options.items() if v is not None}
     for option, value in given.items():
         _check(option, value, wanted)
+    if missing := set(wanted.needs.split()) - set(given):
+        raise ValueError(f"{name} needs {', '.join(sorted(missing))}")
+    if "proxies" in wanted.tables and proxies is None:
+        raise ValueError(f"{name} needs the table of scene proxies")
     region = parse_region(given["region"]) if "region" in given else None
     own = {k: v for k, v in given.items() if k in wanted.numbers or k in wanted.texts.split()}
     if wanted.cell_default is not None and "cell_size" not in own:
@@ -156,6 +176,7 @@ def read(events: DataFrame, name: str, project: str, proxies: DataFrame | None =
             row = ingest.proxy(proxies, project, given["scene"]).select("bounds").first()
             bounds = tuple(row["bounds"]) if row is not None and row["bounds"] else None
         own["cell_size"] = resolve_cell_size(None, region, bounds, wanted.cell_default)
+    own |= {t: {"proxies": proxies, "samples": samples}[t] for t in wanted.tables.split()}
     texts = {k: given.get(k, "") for k in ("scene", "source", "session", "camera_mode")}
     return wanted.build(events, Scope(project, given.get("since"), given.get("until"), region=region, **texts), **own)
 

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumenscape.functions import filters, geometry as g
 from lumenscape.operators import meshes, spatial, volume
-from lumenscape.plans.analytics import _BUCKET, _FREE, _HITS, _MS, _PATHS, _STEPS, _TOP, ALL, N, PART, Query
+from lumenscape.operators.rollups import Rollups
+from lumenscape.plans.analytics import _BUCKET, _FREE, _HITS, _MS, _PATHS, _STEPS, _TOP, ALL, ANALYTICS, N, PART, Query
 from lumenscape.plans.reads import read
 from lumenscape.plans.scene_view import PROJECT
 from lumenscape.schema import MAX_BATCH
 from lumenscape.sources import ingest
 from lumenscape.sources.folders import own_folder
-from lumenscape.streaming import jobs
+from lumenscape.streaming import jobs, live
 
 _RECEIVED = "2024-02-01"
 
@@ -182,16 +185,30 @@ def timeline(e: DataFrame) -> DataFrame:
     return rows.select("session_id", "event_type", F.row_number().over(w).cast("long").alias("place"))
 
 
-def ndjson_round_trip(e: DataFrame) -> DataFrame:
-    """Timelines of all sessions written as one JSON text a line and read again, beside lines that are no events."""
+def _ndjson(e: DataFrame) -> str:
+    """Timelines of all sessions as one JSON text a line, some sessions in two files."""
     path = own_folder(e.sparkSession, "ndjson")
-    ingest.write_session_ndjson(e.select("session_id", "ts", "payload"), path)
-    broken = e.where("event_type = 'pointer_move'").select("session_id", F.concat(F.lit("{broken "), "event_id").alias("value"))
-    broken.write.mode("append").partitionBy("session_id").text(path)
-    good, skipped = ingest.read_ndjson(e.sparkSession, path)
+    ingest.write_session_ndjson(e.select("session_id", "ts", "payload"), path, lines_per_file=2000)
+    return path
+
+
+def ndjson_round_trip(e: DataFrame) -> DataFrame:
+    """All lines written and read again, beside lines that are no events."""
+    path = _ndjson(e)
+    broken = e.where("event_type = 'pointer_move'").select(F.concat(F.lit("{broken "), "event_id").alias("value"))
+    broken.write.text(f"{path}/lines/file=-1")
+    good, skipped = ingest.read_ndjson(e.sparkSession, f"{path}/lines")
     return good.groupBy("type").agg(volume.count().alias("count")).union(skipped.select(F.lit("skipped"), "skipped"))
 
 
+def ndjson_of_sessions(e: DataFrame) -> DataFrame:
+    """Three sessions read by the index."""
+    path = _ndjson(e)
+    each = [ingest.read_session_ndjson(e.sparkSession, path, s).select(F.lit(s).alias("session_id"), "place", g.json_text("value", "type").alias("type")) for s in ("u7-w0", "u8-w1", "u9-w2")]
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("place")).cast("long")
+    return reduce(DataFrame.union, each).select("session_id", "type", place.alias("place"))
+
+
 def proxy_log(e: DataFrame) -> DataFrame:
     """An append-only log of scene proxies: one write a scene and day, with the boxes of that day's hits."""
     hit = [F.get("hit_point", i) for i in range(3)]
@@ -204,10 +221,55 @@ def proxy_log(e: DataFrame) -> DataFrame:
     return log.select("project_id", "scene_id", F.col("day").cast("timestamp").alias("updated_at"), label.alias("label"), "meshes")
 
 
+def registry(e: DataFrame) -> ingest.SceneRegistry:
+    """The writes of proxy_log() in four commits, each sent twice; after the third the view so far takes their place."""
+    kept = ingest.SceneRegistry(e.sparkSession, own_folder(e.sparkSession, "registry"))
+    writes = proxy_log(e).withColumn("part", F.floor(F.day("updated_at") / 8))
+    for number in range(4):
+        for _ in range(2):
+            kept.put(writes.where(F.col("part") == number).drop("part"), "sent", number)
+        if number == 2:
+            kept.snapshot(0)
+    return kept
+
+
 _DAYS = "SELECT scene_id, CAST(ts AS DATE) AS day, mesh, min(hit_point[1]) AS x0, max(hit_point[3]) AS z1 FROM e WHERE mesh <> '' AND len(hit_point) = 3 GROUP BY ALL"
+_SCENES = f"""
+        SELECT scene_id, label, CAST(day AS TIMESTAMP) AS updated_at
+        FROM (SELECT scene_id, day, last_value(CASE WHEN day(day) % 3 = 0 THEN 'v' || day(day) END IGNORE NULLS) OVER (PARTITION BY scene_id ORDER BY day) AS label
+              FROM (SELECT DISTINCT scene_id, day FROM ({_DAYS})))
+        QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY day DESC) = 1"""
 _LAST = f"SELECT d.* FROM ({_DAYS}) d JOIN (SELECT scene_id, max(day) AS day FROM ({_DAYS}) GROUP BY ALL) USING (scene_id, day)"
 
 
+# what a read takes at most, and what is over it
+_ALLOWED = [("floor_plan", "limit", 10_000), ("world_heatmap", "limit", 1000), ("world_heatmap", "cell_size", 1000), ("timeseries", "interval", 31_536_000)]
+_REFUSED = [("floor_plan", "limit", 10_001), ("world_heatmap", "limit", 1001), ("world_heatmap", "cell_size", 1001), ("timeseries", "interval", 31_536_001), ("rage_clicks", "min_repeats", 1), ("fps_histogram", "bucket", 241)]
+
+
+def bounds_of_reads(e: DataFrame) -> DataFrame:
+    """How many rows reads give whose options are at their bounds; -1 for those that are refused."""
+    out = []
+    for name, option, value in [*_ALLOWED, *_REFUSED]:
+        what = F.lit(f"{name} {option} {value}").alias("what")
+        try:
+            out.append(read(e, name, PROJECT, **{option: value}).agg(volume.count().alias("n")).select(what, "n"))
+        except ValueError:
+            out.append(e.sparkSession.range(1).select(what, F.lit(-1).cast("long").alias("n")))
+    return reduce(DataFrame.union, out)
+
+
+def merged_rollups(e: DataFrame) -> Rollups:
+    """Rollups of the events in three batches that share all days, each sent twice, with the first two merged before the last."""
+    kept = Rollups(e.sparkSession, own_folder(e.sparkSession, "rollups"))
+    for number in range(3):
+        for _ in range(2):
+            kept.append(e.where(F.col("event_id") % 3 == number), "sent", number)
+        if number == 1:
+            kept.compact(0)
+    return kept
+
+
 def streamed(e: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """make() over the events as a stream of files, run until all are read; results are kept as a table."""
     spark = e.sparkSession
@@ -229,14 +291,34 @@ def appended(e: DataFrame, make: Callable[[DataFrame], DataFrame], rows: DataFra
     return spark.read.parquet(out)
 
 
-def stream_ingested(e: DataFrame) -> DataFrame:
+class _Stopped(Exception):
+    """Stands for a lost driver."""
+
+
+def stream_ingested(e: DataFrame, stops: tuple[str, ...] = ()) -> DataFrame:
+    """Rows by event type and rejected batches by reason of a stream of batches, two micro-batches or more.
+
+    stops: the stream breaks down right after that part of a commit is written, once for each, and is started again.
+    """
     spark = e.sparkSession
-    source, out = own_folder(spark, "stream-source"), own_folder(spark, "stream-result")
-    as_batches(e).union(flawed_batches(e)).write.parquet(source)
-    jobs.streaming_ingest(jobs.read_event_stream(spark, source), _projects(e), "secret", out, own_folder(spark, "stream-state")).awaitTermination()
-    table = lambda name: spark.read.parquet(f"{out}/{name}")
-    kept = table("events").groupBy(F.lit("events").alias("part"), F.col("event_type").alias("what")).agg(volume.count().alias("count"))
-    return kept.union(table("quarantine").groupBy(F.lit("quarantine"), "reason").agg(volume.count()))
+    source, out, state = own_folder(spark, "stream-source"), own_folder(spark, "stream-result"), own_folder(spark, "stream-state")
+    as_batches(e).repartition(3).write.parquet(source)
+    flawed_batches(e).repartition(3).write.mode("append").parquet(source)
+    for stop in (*stops, None):
+
+        def after(part: str, stop: str | None = stop) -> None:
+            if part == stop:
+                raise _Stopped(part)
+
+        query = jobs.streaming_ingest(jobs.read_event_stream(spark, source, 3), _projects(e), "secret", out, state, after)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as failed:
+            if stop is None or "_Stopped" not in str(failed):
+                raise
+    jobs.compact_ingested(spark, out, 0)
+    kept = jobs.ingested(spark, out, "events").groupBy(F.lit("events").alias("part"), F.col("event_type").alias("what")).agg(volume.count().alias("count"))
+    return kept.union(jobs.ingested(spark, out, "quarantine").groupBy(F.lit("quarantine"), "reason").agg(volume.count()))
 
 
 def session_feed(e: DataFrame) -> DataFrame:
@@ -251,24 +333,42 @@ def session_feed(e: DataFrame) -> DataFrame:
 
 
 def _clocked(e: DataFrame) -> DataFrame:
-    """Events that arrive ten a second, in the order of their numbers."""
-    return e.withColumn("received_at", F.timestamp_millis(F.col("event_id") * 100 + 1_704_067_200_000))
+    """Events that arrive ten a second, in the order of their numbers; each fortieth ends its session."""
+    kind = F.when(F.col("event_id") % 40 == 0, "session_end").otherwise(F.col("event_type"))
+    return e.withColumn("event_type", kind).withColumn("received_at", F.timestamp_millis(F.col("event_id") * 100 + 1_704_067_200_000))
 
 
-_NOW_MS = 1_704_067_280_000
+# the moment of the last arrival; stays that end with a session_end or before the last 30 s are over
+_NOW_MS = "(SELECT max(event_id) * 100 + 1704067200000 FROM e)"
+_STAYS = """
+SELECT *, sum(CASE WHEN r - before > 30000 OR ended THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY r) AS stay
+FROM (SELECT *, lag(r) OVER (PARTITION BY session_id ORDER BY r) AS before, coalesce(lag(ends) OVER (PARTITION BY session_id ORDER BY r), false) AS ended
+      FROM (SELECT *, event_id * 100 + 1704067200000 AS r, event_id % 40 = 0 AS ends FROM e))"""
 _LIVE = f"""
-SELECT session_id, min(r) AS started_at, max(r) AS last_seen, any_value(scene_id) AS scene_id, any_value(visitor_id) AS visitor_id
-FROM (SELECT *, sum(CASE WHEN r - before > 30000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY r) AS stay
-      FROM (SELECT *, lag(r) OVER (PARTITION BY session_id ORDER BY r) AS before
-            FROM (SELECT *, event_id * 100 + 1704067200000 AS r FROM e) WHERE r <= {_NOW_MS}))
+SELECT session_id, stay, min(r) AS started_at, max(r) AS last_seen, any_value(scene_id) AS scene_id, any_value(visitor_id) AS visitor_id
+FROM ({_STAYS})
 GROUP BY session_id, stay
-HAVING {_NOW_MS} - max(r) <= 30000"""
+HAVING {_NOW_MS} - max(r) <= 30000 AND NOT arg_max(ends, r)"""
+_LIVE_ROWS = f"SELECT session_id, started_at, last_seen, scene_id, visitor_id FROM ({_LIVE})"
 
 
 def _present(e: DataFrame) -> tuple[DataFrame, Column]:
-    """Sessions that are live at one moment of the arrivals, and that moment."""
-    now = F.timestamp_millis(F.lit(_NOW_MS))
-    return jobs.presence_at(_clocked(e), now), now
+    """Sessions that are live when the last event arrives, and that moment."""
+    rows = _clocked(e)
+    now = F.lit(rows.agg(F.max("received_at")).first()[0])
+    return jobs.presence_at(rows, now), now
+
+
+def live_state(e: DataFrame, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """What read() finds in the live state after the events have streamed in: the first half, then, after a stop, the rest."""
+    spark = e.sparkSession
+    source, out, state = own_folder(spark, "stream-source"), own_folder(spark, "stream-result"), own_folder(spark, "stream-state")
+    rows = _clocked(e).select("project_id", "session_id", "event_type", "visitor_id", "scene_id", "received_at", "event_id", "payload")
+    middle = rows.agg(F.max("event_id")).first()[0] // 2
+    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        rows.where(part).write.mode("append").parquet(source)
+        live.start_live(jobs.read_event_stream(spark, source), out, state).awaitTermination()
+    return read(spark, state)
 
 
 def _ms(df: DataFrame, *columns: str) -> DataFrame:
@@ -284,6 +384,11 @@ _FLAWS = {
 }
 _REASON = "CASE event_id % 14 " + " ".join(f"WHEN {n} THEN '{why}'" for n, why in _FLAWS.items()) + " END"
 
+_INGESTED = f"""
+SELECT 'events' AS part, event_type AS what, {N} AS count
+FROM (SELECT event_type FROM e UNION ALL SELECT 'scene_change' FROM e WHERE event_id % 14 = 0) GROUP BY ALL
+UNION ALL SELECT 'quarantine', {_REASON} AS reason, {N} FROM e WHERE event_id % 14 <> 0 GROUP BY reason"""
+
 SOURCES: dict[str, Query] = {
     "ingest_event_counts": Query(
         lambda e: ingested(e).groupBy("event_type", "scene_id").agg(volume.count().alias("count"), F.sum(F.size("hit_point")).alias("coordinates")),
@@ -343,6 +448,12 @@ SOURCES: dict[str, Query] = {
         ndjson_round_trip,
         f"SELECT event_type AS type, {N} AS count FROM e GROUP BY ALL UNION ALL SELECT 'skipped', {N} FROM e WHERE event_type = 'pointer_move'",
     ),
+    "ndjson_of_sessions": Query(
+        ndjson_of_sessions,
+        """
+        SELECT session_id, event_type AS type, row_number() OVER (PARTITION BY session_id ORDER BY ts, payload) AS place
+        FROM e WHERE session_id IN ('u7-w0', 'u8-w1', 'u9-w2')""",
+    ),
     "session_meta": Query(
         lambda e: ingest.session_meta(e).select("session_id", "started_at", "scene", "device"),
         """
@@ -353,13 +464,19 @@ SOURCES: dict[str, Query] = {
     ),
     "scene_proxies": Query(
         lambda e: ingest.list_proxies(ingest.current_proxies(proxy_log(e)), PROJECT).select("scene_id", "label", "updated_at"),
-        f"""
-        SELECT scene_id, label, CAST(day AS TIMESTAMP) AS updated_at
-        FROM (SELECT scene_id, day, last_value(CASE WHEN day(day) % 3 = 0 THEN 'v' || day(day) END IGNORE NULLS) OVER (PARTITION BY scene_id ORDER BY day) AS label
-              FROM (SELECT DISTINCT scene_id, day FROM ({_DAYS})))
-        QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY day DESC) = 1""",
+        _SCENES,
+        times="updated_at",
+    ),
+    "scene_registry": Query(
+        lambda e: ingest.list_proxies(registry(e).current(), PROJECT).select("scene_id", "label", "updated_at"),
+        _SCENES,
         times="updated_at",
     ),
+    "scene_registry_meshes": Query(
+        lambda e: registry(e).current().select("scene_id", F.explode("meshes").alias("m")).select("scene_id", "m.name", F.get("m.aabb", 0).alias("x0")),
+        f"SELECT scene_id, mesh AS name, x0 FROM ({_LAST})",
+        "x0",
+    ),
     "scene_proxy_meshes": Query(
         lambda e: ingest.proxy(ingest.current_proxies(proxy_log(e)), PROJECT, "atrium").select(F.explode("meshes").alias("m")).select("m.name", F.get("m.aabb", 0).alias("x0"), F.get("m.aabb", 5).alias("z1")),
         f"SELECT mesh AS name, x0, z1 FROM ({_LAST}) WHERE scene_id = 'atrium'",
@@ -404,6 +521,39 @@ SOURCES: dict[str, Query] = {
         lambda e: read(e, "trajectories", PROJECT, camera_mode="first-person", limit=50_000),
         f"{_PATHS}{_FREE} ORDER BY session_id, ts, gx, gz LIMIT 50000",
     ),
+    "read_session_events": Query(
+        lambda e: read(e, "session_events", PROJECT, samples=node_samples(e), session="u7-w0").select("session_id", "event_type", F.unix_millis("ts").alias("ms")),
+        f"""
+        SELECT session_id, event_type, {_MS} AS ms FROM e WHERE session_id = 'u7-w0'
+        UNION ALL SELECT session_id, 'node_transform', {_MS} FROM e WHERE session_id = 'u7-w0' AND event_type = 'camera_sample'""",
+    ),
+    "read_scene_representations": Query(
+        lambda e: read(e, "scene_representations", PROJECT, ingest.current_proxies(proxy_log(e))).select("scene_id", "updated_at"),
+        f"SELECT scene_id, CAST(max(day) AS TIMESTAMP) AS updated_at FROM ({_DAYS}) GROUP BY scene_id",
+        times="updated_at",
+    ),
+    "read_scene_representation": Query(
+        lambda e: read(e, "scene_representation", PROJECT, ingest.current_proxies(proxy_log(e)), scene="gallery").select("scene_id", F.explode("meshes").alias("m")).select("scene_id", "m.name", F.get("m.aabb", 0).alias("x0")),
+        f"SELECT scene_id, mesh AS name, x0 FROM ({_LAST}) WHERE scene_id = 'gallery'",
+        "x0",
+    ),
+    "read_bounds": Query(
+        bounds_of_reads,
+        f"""
+        SELECT 'floor_plan limit 10000' AS what, least(10000, count(*)) AS n FROM (SELECT 1 FROM e WHERE event_type = 'camera_sample' AND len(position) = 3 GROUP BY floor(position[1]), floor(position[3]))
+        UNION ALL SELECT 'world_heatmap limit 1000', least(1000, count(*)) FROM ({_HITS} GROUP BY ALL)
+        UNION ALL SELECT 'world_heatmap cell_size 1000', count(*) FROM ({_HITS.replace("/ 0.5e0", "/ 1000e0")} GROUP BY ALL)
+        UNION ALL SELECT 'timeseries interval 31536000', count(*) FROM (SELECT DISTINCT {_BUCKET(31_536_000)} FROM e)
+        UNION ALL SELECT * FROM (VALUES {", ".join(f"('{name} {option} {value}', -1)" for name, option, value in _REFUSED)})""",
+    ),
+    # rollups
+    "events_daily_merged": Query(lambda e: volume.read_events_daily(merged_rollups(e).events_daily(), ALL), ANALYTICS["events_daily"].sql),
+    "perf_daily_merged": Query(lambda e: volume.read_perf_daily(merged_rollups(e).perf_daily(ALL), ALL), ANALYTICS["perf_daily"].sql, "avg_fps min_fps p50_fps"),
+    "perf_daily_merged_ranged": Query(
+        lambda e: volume.read_perf_daily(merged_rollups(e).perf_daily(PART), PART),
+        f"SELECT * FROM ({ANALYTICS['perf_daily'].sql.replace('LIMIT 30', '')}) WHERE day >= '2024-01-05' AND day < '2024-01-20' ORDER BY day DESC LIMIT 30",
+        "avg_fps min_fps p50_fps",
+    ),
     # streams
     "stream_timeseries": Query(
         lambda e: streamed(e, jobs.stream_timeseries),
@@ -426,23 +576,26 @@ SOURCES: dict[str, Query] = {
         lambda e: appended(e, jobs.deduplicate, e.union(e)).groupBy("session_id").agg(volume.count().alias("events")),
         "SELECT session_id, CAST(count(DISTINCT payload) AS BIGINT) AS events FROM e GROUP BY session_id",
     ),
-    "stream_ingested": Query(
-        stream_ingested,
-        f"""
-        SELECT 'events' AS part, event_type AS what, {N} AS count
-        FROM (SELECT event_type FROM e UNION ALL SELECT 'scene_change' FROM e WHERE event_id % 14 = 0) GROUP BY ALL
-        UNION ALL SELECT 'quarantine', {_REASON} AS reason, {N} FROM e WHERE event_id % 14 <> 0 GROUP BY reason""",
-    ),
+    "stream_ingested": Query(stream_ingested, _INGESTED),
+    "stream_ingest_replayed": Query(lambda e: stream_ingested(e, ("events", "node_samples", "quarantine", "record")), _INGESTED),
     "stream_firehose": Query(
         lambda e: appended(e, lambda s: jobs.firehose(s, PROJECT, ["pointer_click", "custom"])).select("event_id", "event_type"),
         "SELECT event_id, event_type FROM e WHERE event_type IN ('pointer_click', 'custom')",
     ),
     "session_feed": Query(session_feed, "SELECT session_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'backfill' ELSE 'live' END AS phase FROM e WHERE session_id = 'u7-w0'"),
     "session_backfill": Query(
-        lambda e: jobs.backfill(e.withColumn("received_at", F.col("ts")), 5).select("session_id", "event_id"),
-        "SELECT session_id, event_id FROM e QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= 5",
+        lambda e: jobs.backfill(e.withColumn("session_id", F.col("scene_id")).withColumn("received_at", F.col("ts"))).select("session_id", "event_id"),
+        "SELECT scene_id AS session_id, event_id FROM e QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY ts DESC, event_id DESC) <= 200",
+    ),
+    "presence": Query(lambda e: _ms(_present(e)[0], "started_at", "last_seen").drop("project_id"), _LIVE_ROWS),
+    "live_presence": Query(lambda e: _ms(live_state(e, live.live_now), "started_at", "last_seen").drop("project_id"), _LIVE_ROWS),
+    "live_backfill": Query(
+        lambda e: live_state(e, live.recent_events).select("session_id", "event_id", "event_type", F.unix_millis("received_at").alias("received_at")),
+        f"""
+        SELECT session_id, event_id, event_type, r AS received_at
+        FROM ({_STAYS}) JOIN (SELECT session_id, stay FROM ({_LIVE})) USING (session_id, stay)
+        QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY r DESC) <= 200""",
     ),
-    "presence": Query(lambda e: _ms(_present(e)[0], "started_at", "last_seen").drop("project_id"), _LIVE),
     "presence_totals": Query(
         lambda e: jobs.presence_snapshot(*_present(e))[0].select("sessions", "visitors"),
         f"SELECT {N} AS sessions, CAST(count(DISTINCT visitor_id) AS BIGINT) AS visitors FROM ({_LIVE})",

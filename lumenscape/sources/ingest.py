@@ -5,29 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lumenscape import schema as S
+from lumenscape.sources.commits import CommitLog
 
 #: One row per collected batch: the request body and what the collector saw of the client.
 BATCHES = "batch_id string, body string, received_at timestamp, ip string, user_agent string"
 
 
+_STORED = [T.StructField("inserted_at", T.TimestampType()), T.StructField("event_date", T.DateType())]
+#: The tables that streaming ingest keeps.
+INGESTED = {
+    "events": T.StructType([*S.EVENTS.fields, *_STORED]),
+    "node_samples": T.StructType([*S.NODE_SAMPLES.fields, *_STORED]),
+    "quarantine": "batch_id string, n_events int, reason string",
+}
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Files of one JSON batch a line; the batch id is the hash of its text, so a re-read gives the same ids."""
     lines = spark.read.text(path).withColumnRenamed("value", "body")
     return lines.select(F.sha2("body", 256).alias("batch_id"), "body", F.current_timestamp().alias("received_at"), F.lit("").alias("ip"), F.lit("").alias("user_agent"))
 
 
-def explode_batches(batches: DataFrame) -> DataFrame:
-    """Every event of every batch: batch columns, seq, n_events, raw (its JSON), v (parsed) and e (its known fields)."""
-    parsed = batches.withColumn("raws", F.from_json(F.get_json_object("body", "$.events"), "array<string>"))
-    sized = parsed.withColumn("n_events", F.coalesce(F.size("raws"), F.lit(0)))
-    # parsed as it is exploded: what follows reads fields of one parsed event instead of parsing for each field
+def parse_batches(batches: DataFrame) -> DataFrame:
+    """One row a batch: n_events, and events, an array of raw (an event's JSON), v (parsed) and e (its known fields)."""
     each = F.transform("raws", lambda raw: F.struct(raw.alias("raw"), F.try_parse_json(raw).alias("v"), F.from_json(raw, S.WIRE_EVENT).alias("e")))
-    rows = sized.select("batch_id", "received_at", "ip", "user_agent", "n_events", F.posexplode_outer(each).alias("seq", "x"))
+    parsed = batches.withColumn("raws", F.from_json(F.get_json_object("body", "$.events"), "array<string>"))
+    return parsed.select("batch_id", "received_at", "ip", "user_agent", F.coalesce(F.size("raws"), F.lit(0)).alias("n_events"), each.alias("events"))
+
+
+def _exploded(parsed: DataFrame, events: Column) -> DataFrame:
+    rows = parsed.select("batch_id", "received_at", "ip", "user_agent", "n_events", F.posexplode(events).alias("seq", "x"))
     return rows.select("batch_id", "received_at", "ip", "user_agent", "n_events", "seq", F.col("x.raw").alias("raw"), F.col("x.v").alias("v"), F.col("x.e").alias("e"))
 
 
-_SOURCES = "mouse touch stylus pen keyboard gamepad xr-controller hand gaze transient other"
-_APIS = "webgl webgl2 webgpu opengl opengles d3d11 d3d12 vulkan metal unknown"
+def explode_batches(batches: DataFrame) -> DataFrame:
+    """Every event of every batch: batch columns, seq, n_events, raw, v and e."""
+    return _exploded(parse_batches(batches), F.col("events"))
+
+
+# Input sources and graphics interfaces of the wire format.
+_SOURCES = " ".join(["mouse", "touch", "stylus", "pen", "keyboard", "gamepad", "xr-controller", "hand", "gaze", "transient", "other"])
+_APIS = " ".join(["webgl", "webgl2", "webgpu", "opengl", "opengles", "d3d11", "d3d12", "vulkan", "metal", "unknown"])
 _INPUT = {"source?": f"one of {_SOURCES}", "handedness?": "one of left right none", "sourceId?": "text 1 64", "ray?": "object", "ray.origin": "vector 3", "ray.direction": "vector 3"}
 _POINTER = {"screen?": "unit vector 2", "hitPoint?": "vector 3", "hitMesh?": "text 0", **_INPUT}
 _BUTTON = {**_POINTER, "button?": "whole >= 0"}
@@ -141,10 +159,10 @@ RULES: dict[str, dict[str, str]] = {
 }
 
 
-def _field_check(field: str, rule: str) -> str:
-    """SQL for one field of the parsed event v."""
+def _field_check(field: str, rule: str, event: str) -> str:
+    """SQL for one field of a parsed event."""
     path = field.rstrip("?")
-    as_type = lambda t, at=path: f"try_variant_get(v, '$.{at}', '{t}')"
+    as_type = lambda t, at=path: f"try_variant_get({event}, '$.{at}', '{t}')"
     value, kind, number = as_type("variant"), f"schema_of_variant({as_type('variant')})", "^(BIGINT|DECIMAL|DOUBLE)"
     units = lambda text: f"octet_length(encode({text}, 'UTF-16BE')) div 2"
     word, _, rest = rule.partition(" ")
@@ -177,34 +195,41 @@ def _field_check(field: str, rule: str) -> str:
     return f"({absent} IS NULL OR ({check}))" if absent else f"({check})"
 
 
-def event_problem() -> Column:
-    """Why an event of explode_batches() is not valid; null if it is. Fields that a type does not know are ignored."""
+def event_problem(event: str = "v") -> str:
+    """SQL: why a parsed event is not valid; null if it is. Fields that a type does not know are ignored."""
 
-    def bad(rules: dict[str, str]) -> Column:
-        return ~F.coalesce(F.expr(" AND ".join(_field_check(f, r) for f, r in rules.items())), F.lit(False))
+    def bad(rules: dict[str, str]) -> str:
+        return f"NOT coalesce({' AND '.join(_field_check(f, r, event) for f, r in rules.items())}, false)"
 
-    kind = F.expr("try_variant_get(v, '$.type', 'string')")
-    out = F.when(F.col("v").isNull() | kind.isNull(), "not an event").when(~kind.isin(S.EVENT_TYPES), "unknown type").when(bad(ENVELOPE), "envelope")
-    for name, rules in RULES.items():
-        if rules:
-            out = out.when((kind == name) & bad(rules), name)
-    return out
+    kind = f"try_variant_get({event}, '$.type', 'string')"
+    names = ", ".join(f"'{t}'" for t in S.EVENT_TYPES)
+    cases = [(f"{event} IS NULL OR {kind} IS NULL", "not an event"), (f"{kind} NOT IN ({names})", "unknown type"), (bad(ENVELOPE), "envelope")]
+    cases += [(f"{kind} = '{name}' AND {bad(rules)}", name) for name, rules in RULES.items() if rules]
+    return "CASE " + " ".join(f"WHEN {when} THEN '{why}'" for when, why in cases) + " END"
 
 
-def admit(events: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted events, rejected batches with a reason).
+def judge(batches: DataFrame, projects: DataFrame) -> DataFrame:
+    """parse_batches() with a reason why a batch is rejected; null if it is accepted.
 
-    A batch counts whole or not at all: 1 to 1000 events, all valid, of one known project. The check
-    is one row per batch, joined back on its id; the projects table is small and broadcast by size.
+    A batch counts whole or not at all: 1 to 1000 events, all valid, of one known project. It is judged within its own
+    row, from one parse of its events; the one join is that with the projects, which Spark broadcasts if they are few.
     """
-    judged = events.withColumn("problem", event_problem())
-    per = judged.groupBy("batch_id").agg(F.first("n_events").alias("n"), F.min("problem").alias("problem"), F.min("e.projectId").alias("p0"), F.max("e.projectId").alias("p1"))
+    parsed = parse_batches(batches)
+    named = F.transform("events", lambda x: x["e"]["projectId"])
+    flaws = F.expr(f"array_min(transform(events, ev -> {event_problem('ev.v')}))")
+    seen = parsed.select("*", flaws.alias("problem"), F.array_min(named).alias("p0"), F.array_max(named).alias("p1"))
     known = projects.select(F.col("project_id").alias("p0"), F.lit(True).alias("known")).distinct()
-    per = per.join(known, "p0", "left")
-    reason = F.when(~F.col("n").between(1, S.MAX_BATCH), "batch size").when(F.col("problem").isNotNull(), F.concat(F.lit("invalid: "), "problem")).when(F.col("p0") != F.col("p1"), "several projects").when(F.col("known").isNull(), "unknown project")
-    per = per.withColumn("reason", reason)
-    accepted = judged.drop("problem").join(per.where("reason is null").select("batch_id"), "batch_id", "left_semi")
-    return accepted, per.where("reason is not null").select("batch_id", F.col("n").alias("n_events"), "reason")
+    reason = F.when(~F.col("n_events").between(1, S.MAX_BATCH), "batch size").when(F.col("problem").isNotNull(), F.concat(F.lit("invalid: "), "problem")).when(F.col("p0") != F.col("p1"), "several projects").when(F.col("known").isNull(), "unknown project")
+    return seen.join(known, "p0", "left").withColumn("reason", reason).drop("problem", "p0", "p1", "known")
+
+
+def accepted_events(judged: DataFrame) -> DataFrame:
+    """The events of the batches that judge() accepts, one a row."""
+    return _exploded(judged, F.when(F.col("reason").isNull(), F.col("events")))
+
+
+def rejected_batches(judged: DataFrame) -> DataFrame:
+    return judged.where("reason is not null").select("batch_id", "n_events", "reason")
 
 
 def unknown_projects(events: DataFrame, projects: DataFrame) -> DataFrame:
@@ -300,21 +325,25 @@ def node_events(samples: DataFrame) -> DataFrame:
     return samples.select("project_id", "session_id", "ts", F.lit("node_transform").alias("event_type"), payload.alias("payload"))
 
 
-def write_events(rows: DataFrame, path: str) -> None:
-    """Append, partitioned for pruning by project and day and sorted for skipping within files.
+def write_events(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Append (or overwrite), partitioned for pruning by project and day and sorted for skipping within files.
 
     Rows are dealt by ranges of project, day, type and session, so that a busy day is written by many tasks.
     """
     dated = rows.withColumn("inserted_at", F.current_timestamp()).withColumn("event_date", F.to_date("ts"))
     order = ["project_id", "event_date", *[c for c in ("event_type", "node_id", "session_id", "ts") if c in dated.columns]]
-    dated.repartitionByRange(*order[:-1]).sortWithinPartitions(*order).write.mode("append").partitionBy("project_id", "event_date").parquet(path)
+    dated.repartitionByRange(*order[:-1]).sortWithinPartitions(*order).write.mode(mode).partitionBy("project_id", "event_date").parquet(path)
+
+
+def ingest_judged(judged: DataFrame, secret: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(wide rows, node samples, rejected batches) of what judge() gives."""
+    events, samples = split_events(enrich(accepted_events(judged), secret))
+    return events, samples, rejected_batches(judged)
 
 
 def ingest(batches: DataFrame, projects: DataFrame, secret: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(wide rows, node samples, rejected batches) of collected batches."""
-    accepted, rejected = admit(explode_batches(batches), projects)
-    events, samples = split_events(enrich(accepted, secret))
-    return events, samples, rejected
+    return ingest_judged(judge(batches, projects), secret)
 
 
 def timeline_rows(events: DataFrame, samples: DataFrame) -> DataFrame:
@@ -329,10 +358,36 @@ def session_timeline(events: DataFrame, samples: DataFrame, session: str) -> Dat
     return timeline_rows(events.where(here), samples.where(here)).orderBy("ts", "rank", "payload").drop("rank")
 
 
-def write_session_ndjson(timeline: DataFrame, path: str) -> None:
-    """One JSON text a line, in time order; a long session has several files, in order of their names."""
-    rows = timeline.repartitionByRange("session_id", "ts").sortWithinPartitions("session_id", "ts")
-    rows.select("session_id", F.col("payload").alias("value")).write.partitionBy("session_id").text(path)
+#: Lines of one NDJSON file at most, or nearly so.
+LINES_PER_FILE = 100_000
+
+
+def write_session_ndjson(timeline: DataFrame, path: str, lines_per_file: int = LINES_PER_FILE) -> None:
+    """One JSON text a line, in order of session and time: many short sessions a file, a long session in several.
+
+    Beside lines/ an index tells which lines of which file (counted from 0) are a session's, so that one is read without the others.
+    """
+    files = max(1, -(-timeline.count() // lines_per_file))
+    order = ["session_id", "ts", "payload"]
+    dealt = timeline.select(*order).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    placed = dealt.select("session_id", F.shiftright(number, 33).alias("file"), number.bitwiseAND((1 << 33) - 1).alias("line"), F.regexp_replace("payload", "[\\r\\n]+", " ").alias("value"))
+    placed.write.parquet(f"{path}/placed")  # files and lines are numbered once, for the texts and for the index
+    kept = timeline.sparkSession.read.parquet(f"{path}/placed")
+    kept.repartition(files, "file").sortWithinPartitions("file", "line").select("file", "value").write.partitionBy("file").text(f"{path}/lines")
+    kept.groupBy("session_id", "file").agg(F.min("line").alias("first"), F.max("line").alias("last")).sort("session_id").write.parquet(f"{path}/index")
+
+
+def read_session_ndjson(spark: SparkSession, path: str, session: str) -> DataFrame:
+    """place, value: the lines of one session in their order. Only its files are opened, each of which a task can hold."""
+    found = spark.read.parquet(f"{path}/index").where(F.col("session_id") == session).collect()  # a row for each file
+    if not found:
+        return spark.createDataFrame([], "place long, value string")
+    files = spark.read.option("basePath", f"{path}/lines").text([f"{path}/lines/file={r['file']}" for r in found], wholetext=True)
+    ranges = F.create_map(*[x for r in found for x in (F.lit(r["file"]), F.struct(F.lit(r["first"]).alias("first"), F.lit(r["last"]).alias("last")))])
+    lines = files.select(F.col("file").cast("long").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    mine = lines.where(F.col("line").between(ranges[F.col("file")]["first"], ranges[F.col("file")]["last"]))
+    return mine.select((F.col("file") * (1 << 33) + F.col("line")).alias("place"), "value").orderBy("place")
 
 
 def read_ndjson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -353,11 +408,29 @@ _PROXY_KEY = ["project_id", "scene_id"]
 
 
 def current_proxies(log: DataFrame) -> DataFrame:
-    """Last write of every scene from an append-only log; a null label keeps the one before."""
-    w = Window.partitionBy(*_PROXY_KEY).orderBy("updated_at")
-    filled = log.withColumn("label", F.last("label", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    newest = Window.partitionBy(*_PROXY_KEY).orderBy(F.desc("updated_at"))
-    return filled.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
+    """Last write of every scene from a log of writes; a null label keeps the one before."""
+    rest = [c for c in log.columns if c not in (*_PROXY_KEY, "label")]
+    newest = F.max_by(F.struct(*rest), "updated_at").alias("newest")
+    label = F.max_by("label", F.when(F.col("label").isNotNull(), F.col("updated_at"))).alias("label")
+    return log.groupBy(*_PROXY_KEY).agg(newest, label).select(*[F.col(f"newest.{c}").alias(c) if c in rest else F.col(c) for c in log.columns])
+
+
+class SceneRegistry:
+    """Scene proxies as a snapshot and the writes after it: the current view reads no more than those."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.log = CommitLog(spark, folder)
+
+    def put(self, proxies: DataFrame, writer: str, number: int) -> bool:
+        """Add writes (project_id, scene_id, updated_at, label, meshes, ...); the same write of a writer counts once."""
+        return self.log.commit(writer, number, {"proxies": lambda path: proxies.write.mode("overwrite").parquet(path)})
+
+    def snapshot(self, number: int) -> int:
+        """Put the current view in the place of all writes so far; how many commits there were."""
+        return self.log.compact(number, {"proxies": lambda rows, path: current_proxies(rows).write.mode("overwrite").parquet(path)})
+
+    def current(self) -> DataFrame:
+        return current_proxies(self.log.read("proxies").drop("commit"))
 
 
 def proxy(current: DataFrame, project: str, scene: str) -> DataFrame:

@@ -2,37 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenscape.sources.ingest import ingest, write_events
+from lumenscape.sources.commits import CommitLog, stream_identity
+from lumenscape.sources.ingest import INGESTED, ingest_judged, judge, write_events
 
 # Presence window, activity levels and back-fill.
 LIVE_S, ACTIVE_S, RECENT_S, BACKFILL = 30, 3, 15, 200
 
 
-def streaming_ingest(batches: DataFrame, projects: DataFrame, secret: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Collected batches into events, node_samples and quarantine under one folder.
+def streaming_ingest(batches: DataFrame, projects: DataFrame, secret: str, folder: str, checkpoint: str, after: Callable[[str], None] | None = None) -> StreamingQuery:
+    """Collected batches into events, node_samples and quarantine under one folder, exactly once: read them by CommitLog.
 
-    Every micro-batch writes all three; its batches are read once. A repeated micro-batch appends again, which
-    deduplicate() removes on read.
+    A micro-batch is one commit, named by the query and the number of the micro-batch: one that is run again after a
+    failure replaces what it had written, or writes nothing if it was complete. Its events are parsed once and kept for
+    the three tables. after is called with the name of each table that is written, and at last with "record".
     """
+    log = CommitLog(batches.sparkSession, folder)
 
-    def write(rows: DataFrame, _: int) -> None:
-        rows = rows.persist()
-        events, samples, rejected = ingest(rows, projects, secret)
-        write_events(events, f"{folder}/events")
-        write_events(samples, f"{folder}/node_samples")
-        rejected.write.mode("append").parquet(f"{folder}/quarantine")
-        rows.unpersist()
+    def write(rows: DataFrame, number: int) -> None:
+        judged = judge(rows, projects).persist()
+        events, samples, rejected = ingest_judged(judged, secret)
+        tables = {
+            "events": lambda path: write_events(events, path, "overwrite"),
+            "node_samples": lambda path: write_events(samples, path, "overwrite"),
+            "quarantine": lambda path: rejected.write.mode("overwrite").parquet(path),
+        }
+        try:
+            log.commit(stream_identity(log.spark, checkpoint), number, tables, after)
+        finally:
+            judged.unpersist()
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def compact_ingested(spark: SparkSession, folder: str, number: int) -> int:
+    """Rewrite the commits of streaming_ingest() as one, in the order of the event sink; how many there were."""
+    dated = lambda rows, path: write_events(rows.drop("event_date", "inserted_at"), path, "overwrite")
+    plain = lambda rows, path: rows.write.mode("overwrite").parquet(path)
+    return CommitLog(spark, folder).compact(number, {"events": dated, "node_samples": dated, "quarantine": plain}, INGESTED)
+
+
+def ingested(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """events, node_samples or quarantine as streaming_ingest() has committed them."""
+    return CommitLog(spark, folder).read(table, INGESTED[table]).drop("commit")
+
+
 def late(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("ts", delay)
 
@@ -123,8 +143,8 @@ def presence_at(events: DataFrame, now: Column) -> DataFrame:
     gap = F.unix_millis("received_at") - F.unix_millis(F.lag("received_at").over(w)) > LIVE_S * 1000
     rows = rows.withColumn("stay", F.sum(F.when(gap | (F.lag("event_type").over(w) == "session_end"), 1).otherwise(0)).over(w))
     newest = lambda c: F.max_by(c, F.when(F.col(c) != "", F.col("received_at"))).alias(c)
-    stays = rows.groupBy("project_id", "session_id", "stay").agg(F.min("received_at").alias("started_at"), F.max("received_at").alias("last_seen"), newest("visitor_id"), newest("scene_id"), F.max(F.struct("received_at", "event_type")).alias("end"))
-    live = (F.unix_millis(now) - F.unix_millis("last_seen") <= LIVE_S * 1000) & (F.col("end.event_type") != "session_end")
+    stays = rows.groupBy("project_id", "session_id", "stay").agg(F.min("received_at").alias("started_at"), F.max("received_at").alias("last_seen"), newest("visitor_id"), newest("scene_id"), F.max_by("event_type", "received_at").alias("end"))
+    live = (F.unix_millis(now) - F.unix_millis("last_seen") <= LIVE_S * 1000) & (F.col("end") != "session_end")
     return stays.where(live).drop("stay", "end")
 
 
@@ -177,6 +197,7 @@ def session_tail(stream: DataFrame, project: str, session: str) -> DataFrame:
     return firehose(stream, project).where(F.col("session_id") == session)
 
 
-def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over the files of write_events()."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def read_event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A stream over the files of write_events(), at most so many a micro-batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)

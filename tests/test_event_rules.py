@@ -3,6 +3,8 @@
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from lumenscape.sources import ingest as I
 
 BASE = {"projectId": "p", "sessionId": "s", "ts": 1, "sdkVersion": "1"}
@@ -81,7 +83,7 @@ def cases():
 def test_every_rule(spark):
     wanted = list(cases())
     rows = [(str(i), json.dumps({"events": [e]}), datetime(2024, 1, 1), "", "") for i, (e, _) in enumerate(wanted)]
-    found = I.explode_batches(spark.createDataFrame(rows, I.BATCHES)).select("batch_id", I.event_problem().alias("problem")).collect()
+    found = I.explode_batches(spark.createDataFrame(rows, I.BATCHES)).select("batch_id", F.expr(I.event_problem()).alias("problem")).collect()
     wrong = [(wanted[int(r.batch_id)], r.problem) for r in found if r.problem != wanted[int(r.batch_id)][1]]
     assert len(found) == len(wanted) and not wrong, wrong[:5]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenscape.functions import filters, geometry as g
 from lumenscape.operators import capture, derived
 from lumenscape.operators.asof import asof_join, with_previous
-from lumenscape.operators.quantiles import exact_quantiles
+from lumenscape.operators.quantiles import summary_with_quantiles
 
 T = datetime(2024, 1, 1)
 times = st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 6)), max_size=12)
@@ -156,7 +156,7 @@ def test_exact_quantiles(spark, keys):
     rows += [(0, None, 0.0), (3, None, None), (4, 7.0, float("nan"))]
     df = spark.createDataFrame(rows, "k long, v double, w double")
     wanted = {"v05": ("v", 0.05), "v50": ("v", 0.5), "w99": ("w", 0.99), "w0": ("w", 0.0)}
-    got = {tuple(r[k] for k in keys): r for r in exact_quantiles(df, keys, wanted).collect()}
+    got = {tuple(r[k] for k in keys): r for r in summary_with_quantiles(df, keys, wanted, {}).collect()}
     groups = {(k,) for k, v, w in rows if v is not None or w == w and w is not None} if keys else {()}
     assert set(got) == groups
     for group in groups:
