@@ -29,8 +29,10 @@ TRAIN_DOCS, TRAIN_CHARS = 4000, 12_000
 WINDOW = 64
 #: What makes a word or prefix a first label: in how many toxic documents it is (near copies count once), and log-odds.
 LEAST_DOCS, LEAST_ODDS = 4, 3.0
-#: Fits after the first one, with labels from the field's own marginals. More of them spread the label over the words around.
-ROUNDS = 1
+#: Most fits after the first one, with labels from the field's own marginals. More of them spread the label over the words around.
+ROUNDS = 2
+#: Ways to fit (ridge; steps and rate of a later fit). Way and number of fits are chosen by the loss on the fold of the calibration.
+WAYS = ((1e-6, 15, 0.2), (1e-5, 25, 0.05))
 _TABLE = 1 << 18
 #: Steps of one recursion in prediction; messages between these are exact.
 CHUNK = 256
@@ -221,9 +223,10 @@ def _windows(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Trainer:
     """Maximum likelihood of soft token labels by full-batch Adam; the gradient is labels less marginals."""
 
-    RIDGE, BLOCK = 1e-5, 8192
+    BLOCK = 8192
 
-    def __init__(self, sample: Sample):
+    def __init__(self, sample: Sample, ridge: float):
+        self.ridge = ridge
         self.x, self.n, self.owner = _windows(sample)
         self.toxic = sample.toxic[self.owner] == 1
         self.valid = np.arange(WINDOW)[None, :] < self.n[:, None]
@@ -256,7 +259,7 @@ class Trainer:
                 gap = (y[b] - p) * valid[b] * scale
                 per_token += np.bincount(self.x[b].ravel(), gap.ravel(), len(self.features))
                 sums += gap.sum(), gap[:, 0].sum()
-            g = [np.bincount(self.features.ravel(), np.repeat(per_token, 7), _TABLE) - self.RIDGE * model.weights, np.array([*sums, *((pairs - inside) * scale)])]
+            g = [np.bincount(self.features.ravel(), np.repeat(per_token, 7), _TABLE) - self.ridge * model.weights, np.array([*sums, *((pairs - inside) * scale)])]
             for k, param in enumerate((model.weights, small)):
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
@@ -302,36 +305,46 @@ def pair_expectations(p: np.ndarray, model: Field, valid: np.ndarray) -> tuple[n
 
 
 def fit(sample: Sample) -> Field:
-    """Two thirds of the documents fit the field, the rest its calibration."""
+    """Two thirds of the documents fit the field, the rest its calibration, and how it is fitted."""
     kinds = set(sample.toxic.tolist())
     if len(kinds) < 2:
         model = Field(bias=-3.0)
         model.calibration = np.array([8.0 if kinds == {1} else -8.0, 0, 0, 0])
         return model
     fold = np.arange(len(sample.lengths)) % 3
-    trainer = Trainer(sample.part(fold < 2))
-    y = (telling_words(sample)[trainer.x] & trainer.valid & trainer.toxic[:, None]).astype(np.float64)
-    pairs = np.array([((1 - y[:, :-1]) * y[:, 1:]).sum(), (y[:, :-1] * y[:, 1:]).sum(), (y[:, :-1] * (1 - y[:, 1:]) * trainer.valid[:, 1:]).sum()])
-    # at first a toxic document without a telling word says nothing about its tokens
-    told = np.bincount(trainer.owner, y.sum(axis=1), trainer.docs) > 0
-    trainer.fit(y, pairs, ~trainer.toxic | told[trainer.owner], 40, 0.2)
-    for _ in range(ROUNDS):
-        trainer.fit(*trainer.given_some_toxic(), np.ones(len(trainer.x), bool), 25, 0.05)
-    model = trainer.model
-    rest = sample.part(fold == 2)
-    e = (model.weights[trainer.features].sum(axis=1) + model.bias)[rest.words]
-    x, y = summaries(stream_marginals(e, rest.lengths, model), rest.lengths), rest.toxic
-    c = np.zeros(4)
-    for _ in range(200):  # Newton steps of a ridge logistic regression
+    inner, rest, telling = sample.part(fold < 2), sample.part(fold == 2), telling_words(sample)
+    best: tuple[float, Field] | None = None
+    for ridge, steps, rate in WAYS:
+        trainer = Trainer(inner, ridge)
+        y = (telling[trainer.x] & trainer.valid & trainer.toxic[:, None]).astype(np.float64)
+        pairs = np.array([((1 - y[:, :-1]) * y[:, 1:]).sum(), (y[:, :-1] * y[:, 1:]).sum(), (y[:, :-1] * (1 - y[:, 1:]) * trainer.valid[:, 1:]).sum()])
+        # at first a toxic document without a telling word says nothing about its tokens
+        told = np.bincount(trainer.owner, y.sum(axis=1), trainer.docs) > 0
+        trainer.fit(y, pairs, ~trainer.toxic | told[trainer.owner], 40, 0.2)
+        for after in range(ROUNDS + 1):
+            if after:
+                trainer.fit(*trainer.given_some_toxic(), np.ones(len(trainer.x), bool), steps, rate)
+            model = trainer.model
+            e = (model.weights[trainer.features].sum(axis=1) + model.bias)[rest.words]
+            loss, calibration = calibrated(summaries(stream_marginals(e, rest.lengths, model), rest.lengths), rest.toxic)
+            if best is None or loss < best[0]:
+                best = loss, Field(model.weights.copy(), model.trans.copy(), model.start, model.bias, calibration)
+    return best[1]
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean loss and weights of a ridge logistic regression, by Newton steps."""
+    c = np.zeros(x.shape[1])
+    for _ in range(200):
         q = 1 / (1 + np.exp(-x @ c))
         grad = x.T @ (y - q) - 0.05 * c
-        hess = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(4)
+        hess = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
         move = np.linalg.solve(hess, grad)
         c += move
         if np.abs(move).max() < 1e-8:
             break
-    model.calibration = c
-    return model
+    z = x @ c
+    return float((np.logaddexp(0, z) - y * z).mean()) if len(y) else 0.0, c
 
 
 def fit_on_documents(docs: DataFrame, labels: DataFrame, eligible: Column) -> Field:
