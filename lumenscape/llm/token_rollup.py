@@ -114,23 +114,23 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, source string, lang string, bpe long, bytes long, words long")
 
 
-def document_rollup(rollup: Rollup, counted: DataFrame) -> DataFrame:
+def document_rollup(rollup: Rollup, counted: DataFrame, version: str = "byte_bpe/1", column: str = "bpe") -> DataFrame:
     """Totals after a history of four batches over a table of documents.
 
-    counted: a table made by count_tokens(). Batch 1 inserts all documents under byte_bpe/1; batch 2 inserts
-    them under bytes/1; batch 3 revises byte_bpe/1, whose documents now end with one more id; batch 4 deletes
+    counted: a table made by count_tokens(). Batch 1 inserts all documents under a version, whose counts are in a column; batch
+    2 inserts them under bytes/1; batch 3 revises the first, whose documents now end with one more id; batch 4 deletes
     documents of under three words. Batches 2 and 4 are sent again and do not count twice. Defined cases: a null text
     has no tokens but the last id; null source or lang is a group; repeated rows count once each; very long texts are
     counts like others; an empty table has no totals; other columns are ignored.
     """
-    ended = F.col("bpe") + 1
+    ended = F.col(column) + 1
     junk = counted.where("words < 3")
     bytes_in = deltas(counted, "bytes/1", F.col("bytes"), 1)
-    junk_out = deltas(junk, "byte_bpe/1", ended, -1).unionByName(deltas(junk, "bytes/1", F.col("bytes"), -1))
+    junk_out = deltas(junk, version, ended, -1).unionByName(deltas(junk, "bytes/1", F.col("bytes"), -1))
     history = [
-        ("1", deltas(counted, "byte_bpe/1", F.col("bpe"), 1)),
+        ("1", deltas(counted, version, F.col(column), 1)),
         ("2", bytes_in),
-        ("3", revisions(counted, "byte_bpe/1", F.col("bpe"), ended)),
+        ("3", revisions(counted, version, F.col(column), ended)),
         ("2", bytes_in),
         ("4", junk_out),
         ("4", junk_out),
@@ -138,3 +138,13 @@ def document_rollup(rollup: Rollup, counted: DataFrame) -> DataFrame:
     for batch_id, batch in history:
         rollup.apply(batch_id, batch)
     return rollup.totals()
+
+
+def rollup_sql() -> str:
+    """DuckDB text for document_rollup() over documents where the first version counts words: words/1."""
+    return f"""
+WITH counted AS (
+  SELECT source, lang, octet_length(encode(coalesce(text, ''))) AS bytes, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS words FROM documents)
+SELECT source, lang, tokenizer_version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM (SELECT source, lang, 'words/1' AS tokenizer_version, words + 1 AS n FROM counted WHERE words >= 3 UNION ALL SELECT source, lang, 'bytes/1', bytes FROM counted WHERE words >= 3)
+GROUP BY source, lang, tokenizer_version"""

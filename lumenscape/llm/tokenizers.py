@@ -33,7 +33,8 @@ def _byte_letters() -> dict[str, int]:
 def _byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
     """bytes -> id if this is byte-level BPE whose ids follow the merge order; else None."""
     model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
-    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    apart = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
+    plain = apart and model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
     if not plain:
         return None
     letters, special = _byte_letters(), {t["content"] for t in spec.get("added_tokens", [])}
@@ -46,27 +47,33 @@ def _byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """text -> uint32 ids, without special tokens; their strings in a text are ordinary text.
+    """text -> uint32 ids; none are put around a text, and the file's added tokens are known wherever a text has them.
 
-    A byte-level BPE file is run with a split pattern free of look-ahead, on the text cut where the
+    A byte-level BPE file is run with a split pattern free of look-ahead, on the text cut at added tokens and where the
     look-ahead would act; ids equal those of the `tokenizers` library, which serves all other files.
     """
     with open(path, encoding="utf-8") as f:
-        ranks = _byte_level_ranks(json.load(f))
+        spec = json.load(f)
+    ranks = _byte_level_ranks(spec)
     if ranks is None:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
         return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     import tiktoken
 
     encode = tiktoken.Encoding("byte-level", pat_str=SPLIT.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    def ids(text: str) -> np.ndarray:
+    def ordinary(text: str) -> list[int]:
         parts = _CUT.split(text)
-        if len(parts) == 1:
-            return np.array(encode(text), dtype=np.uint32)
-        return np.array([i for part in parts for i in encode(part)], dtype=np.uint32)
+        return encode(text) if len(parts) == 1 else [i for part in parts for i in encode(part)]
+
+    def ids(text: str) -> np.ndarray:
+        if apart is None or not any(t in text for t in added):
+            return np.array(ordinary(text), dtype=np.uint32)
+        pieces = apart.split(text)
+        return np.array([i for piece in pieces for i in ([added[piece]] if piece in added else ordinary(piece))], dtype=np.uint32)
 
     return ids
