@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenscape.llm.common import connected_components, materialise, mix64, utf8
 
-#: Lines shorter than this many code points (headings, list items) are not compared for near copies.
+#: Lines shorter than this many code points (headings, list items, numbers, lone words) are no near copies: within two edits they
+#: say other things, and two edits are most of some. Their exact repeats go if the caller asks, which the pipeline does not: a
+#: document may be one short line, and clean.
 MIN_CHARS, THRESHOLD = 40, 2
 #: Letters of the grams that tell lines of a crowded key apart.
 GRAM = 3

@@ -18,7 +18,7 @@ from lumenscape.llm.order_minhash import order_minhash
 from lumenscape.llm.packing import pack_documents
 from lumenscape.llm.secret_ledger import BASE_RULES, scan_versions
 from lumenscape.llm.sharded_lloyd import lloyd, lloyd_sql
-from lumenscape.llm.token_rollup import Rollup, count_tokens, document_rollup
+from lumenscape.llm.token_rollup import Rollup, count_tokens, document_rollup, rollup_sql
 from lumenscape.llm.toxicity import toxicity
 
 
@@ -70,8 +70,14 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_rollup(Rollup(spark, new_folder(spark, "rollup")), counted)
 
 
+def token_rollup_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of op9 over counts that SQL can make: words and bytes."""
+    counted = materialise(spark, count_tokens(read_table(spark, sf_dir, "documents")), "counted")
+    return document_rollup(Rollup(spark, new_folder(spark, "rollup")), counted, "words/1", "words")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(spark, read_table(spark, sf_dir, "documents"))
+    return line_report(spark, read_table(spark, sf_dir, "documents"), short_repeats=True)
 
 
 def op11_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_circulant_minhash": op7_circulant_minhash,
         "op8_order_minhash": op8_order_minhash,
         "op9_token_rollup": op9_token_rollup,
+        "token_rollup_of_words": token_rollup_of_words,
         "op10_line_dedup": op10_line_dedup,
         "op11_additive_quality": op11_additive_quality,
         "op12_dual_tree_search": op12_dual_tree_search,
@@ -105,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hierarchical_mix": document_sql(), "op12_dual_tree_search": search_sql(), "op13_sharded_lloyd": lloyd_sql()}
+    return {"op4_hierarchical_mix": document_sql(), "token_rollup_of_words": rollup_sql(), "op12_dual_tree_search": search_sql(), "op13_sharded_lloyd": lloyd_sql()}
