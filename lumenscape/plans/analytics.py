@@ -21,6 +21,7 @@ ALL = Scope(PROJECT)
 #: Half of the month, one scene.
 PART = Scope(PROJECT, datetime(2024, 1, 5), datetime(2024, 1, 20), "lobby")
 BOX = (-5.0, -5.0, -5.0, 5.0, 5.0, 5.0)
+WIDE = (-9.0, -9.0, -9.0, 9.0, 9.0, 9.0)
 STEPS = [Step("session_start"), Step("camera_sample"), Step("pointer_click"), Step("mesh_interaction", name="pick")]
 
 
@@ -57,6 +58,7 @@ _HITS_ALL, _GAZE_ALL = f"{_HITS} GROUP BY ALL", f"{_GAZE} GROUP BY ALL"
 _TOP = " GROUP BY ALL ORDER BY count DESC, vx, vy, vz LIMIT 1000"
 _PART = " AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND scene_id = 'lobby'"
 _BOX = " AND hit_point[1] BETWEEN -5 AND 5 AND hit_point[2] BETWEEN -5 AND 5 AND hit_point[3] BETWEEN -5 AND 5"
+_WIDE = " AND hit_point[1] BETWEEN -9 AND 9 AND hit_point[2] BETWEEN -9 AND 9 AND hit_point[3] BETWEEN -9 AND 9"
 _FREE = """
  AND session_id IN (SELECT session_id
   FROM e
@@ -227,7 +229,7 @@ ANALYTICS: dict[str, Query] = {
         WHERE event_type IN ('pointer_move', 'pointer_click') AND len(screen) = 2
         GROUP BY ALL"""),
     "world_heatmap": Query(lambda e: spatial.world_heatmap(e, ALL), _HITS + _TOP),
-    "world_heatmap_scoped": Query(lambda e: spatial.world_heatmap(e, PART.but(region=BOX, camera_mode="free", source="mouse")), _HITS + _PART + _BOX + _FREE + " AND source = 'mouse'" + _TOP),
+    "world_heatmap_scoped": Query(lambda e: spatial.world_heatmap(e, PART.but(region=WIDE, camera_mode="free", source="mouse")), _HITS + _PART + _WIDE + _FREE + " AND source = 'mouse'" + _TOP),
     "world_heatmap_totals": Query(lambda e: spatial.world_heatmap_totals(e, ALL), f"SELECT {N} AS cells, CAST(coalesce(sum(count), 0) AS BIGINT) AS hits FROM ({_HITS} GROUP BY ALL)"),
     "gaze_heatmap": Query(lambda e: spatial.gaze_heatmap(e, ALL), _GAZE + _TOP),
     "gaze_heatmap_totals": Query(lambda e: spatial.gaze_heatmap_totals(e, ALL), f"SELECT {N} AS cells, CAST(coalesce(sum(count), 0) AS BIGINT) AS hits FROM ({_GAZE} GROUP BY ALL)"),

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenscape.plans.analytics import ANALYTICS, Query
 from lumenscape.plans.capture_queries import CAPTURE
 from lumenscape.plans.dense_queries import DENSE
+from lumenscape.plans.read_queries import READ_QUERIES
 from lumenscape.plans.source_queries import SOURCES
 
-CATALOGUE: dict[str, Query] = ANALYTICS | SOURCES | CAPTURE | DENSE
+CATALOGUE: dict[str, Query] = ANALYTICS | SOURCES | CAPTURE | DENSE | READ_QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -87,57 +85,8 @@ def stream_events_daily(stream: DataFrame) -> DataFrame:
     return out.select("project_id", "event_type", F.to_date("w.start").alias("day"), "events")
 
 
-PRESENCE = "project_id string, session_id string, visitor_id string, scene_id string, started_at timestamp, last_seen timestamp, live boolean"
-
-
-def stream_presence(stream: DataFrame) -> DataFrame:
-    """Arrival-time presence (received_at) of every session, as updates: a session is live for LIVE_S after its last event.
-
-    State is one row per session; session_end and silence remove it, and a later event starts it anew.
-    """
-
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        project, session = key
-        if state.hasTimedOut:
-            visitor, scene, start, last = state.get
-            state.remove()
-            yield _presence(project, session, visitor, scene, start, last, False)
-            return
-        visitor, scene, start, last = state.get if state.exists else ("", "", None, None)
-        for pdf in frames:
-            pdf = pdf.sort_values("received_at", kind="stable")
-            ends = np.flatnonzero(pdf["event_type"].to_numpy() == "session_end") + 1
-            for stay in np.split(np.arange(len(pdf)), ends):  # one more than there are session ends
-                if not len(stay):
-                    continue
-                rows = pdf.iloc[stay]
-                start, last = rows["received_at"].iloc[0] if start is None else start, rows["received_at"].iloc[-1]
-                visitor, scene = _newest(rows["visitor_id"], visitor), _newest(rows["scene_id"], scene)
-                if rows["event_type"].iloc[-1] == "session_end":
-                    yield _presence(project, session, visitor, scene, start, last, False)
-                    visitor, scene, start, last = "", "", None, None
-        if start is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((visitor, scene, start.to_pydatetime() if hasattr(start, "to_pydatetime") else start, last.to_pydatetime() if hasattr(last, "to_pydatetime") else last))
-        state.setTimeoutDuration(LIVE_S * 1000)
-        yield _presence(project, session, visitor, scene, start, last, True)
-
-    return stream.select("project_id", "session_id", "event_type", "visitor_id", "scene_id", "received_at").groupBy("project_id", "session_id").applyInPandasWithState(update, PRESENCE, "visitor string, scene string, start timestamp, last timestamp", "update", "ProcessingTimeTimeout")
-
-
-def _newest(values: pd.Series, before: str) -> str:
-    some = values[values.notna() & (values != "")]
-    return some.iloc[-1] if len(some) else before
-
-
-def _presence(project, session, visitor, scene, start, last, live) -> pd.DataFrame:
-    return pd.DataFrame({"project_id": [project], "session_id": [session], "visitor_id": [visitor], "scene_id": [scene], "started_at": [pd.Timestamp(start)], "last_seen": [pd.Timestamp(last)], "live": [live]})
-
-
 def presence_at(events: DataFrame, now: Column) -> DataFrame:
-    """Batch twin of stream_presence(): sessions live at a time, from arrival times; a gap over LIVE_S or a session_end ends a stay."""
+    """Batch twin of live.live_sessions(): sessions live at a time, from arrival times; a gap over LIVE_S or a session_end ends a stay."""
     w = Window.partitionBy("project_id", "session_id").orderBy("received_at")
     rows = events.where(F.col("received_at") <= now)
     gap = F.unix_millis("received_at") - F.unix_millis(F.lag("received_at").over(w)) > LIVE_S * 1000

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lumenscape.schema import DEFAULT_SCENE
-from lumenscape.streaming.jobs import BACKFILL, LIVE_S, PRESENCE
+from lumenscape.streaming.jobs import BACKFILL, LIVE_S
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEYS = ["project_id", "session_id"]
-#: What the ring keeps of an event.
-RING = ["received_at", "event_id", "event_type", "payload"]
+#: An update of one session.
+PRESENCE = "project_id string, session_id string, visitor_id string, scene_id string, started_at timestamp, last_seen timestamp, live boolean"
 
 
 class LiveSessions(StatefulProcessor):

@@ -124,12 +124,11 @@ def test_visibility(spark):
     assert (row.visible_ms, row.centered_ms, row.max_screen_fraction) == (500, 300, 0.4935)
 
 
-def test_dead_zones_both_ways(spark):
+def test_dead_zones(spark):
     coverage = spark.createDataFrame([(0, 0, 0, 5), (3, 0, 0, 2)], "vx long, vy long, vz long, count long")
     meshes = spark.createDataFrame([("near", [0.0, 0.0, 0.0, 1.0, 1.0, 1.0]), ("far", [50.0, 0.0, 0.0, 51.0, 1.0, 1.0]), ("wide", [-9.0, -9.0, -9.0, 9.0, 9.0, 9.0])], "name string, aabb array<double>")
-    for cells in (100_000, 10):
-        got = {r.name: (r.visits, r.dead) for r in derived.dead_zones(coverage, meshes, 1.0, cells).collect()}
-        assert got == {"near": (5, False), "far": (0, True), "wide": (7, False)}
+    got = {r.name: (r.visits, r.dead) for r in derived.dead_zones(coverage, meshes, 1.0).collect()}
+    assert got == {"near": (5, False), "far": (0, True), "wide": (7, False)}
 
 
 def test_flow_graph_keeps_totals(spark):
@@ -156,10 +155,15 @@ def test_exact_quantiles(spark, keys):
     rows += [(0, None, 0.0), (3, None, None), (4, 7.0, float("nan"))]
     df = spark.createDataFrame(rows, "k long, v double, w double")
     wanted = {"v05": ("v", 0.05), "v50": ("v", 0.5), "w99": ("w", 0.99), "w0": ("w", 0.0)}
-    got = {tuple(r[k] for k in keys): r for r in summary_with_quantiles(df, keys, wanted, {}).collect()}
-    groups = {(k,) for k, v, w in rows if v is not None or w == w and w is not None} if keys else {()}
+    aggregates = {"n": F.count("one"), "most": F.max("w"), "some": F.count("v")}
+    got = {tuple(r[k] for k in keys): r for r in summary_with_quantiles(df, keys, wanted, aggregates, ("n",)).collect()}
+    groups = {(k,) for k, _, _ in rows} if keys else {()}
     assert set(got) == groups
+    none = summary_with_quantiles(df.where("k > 9"), keys, wanted, aggregates, ("n",)).collect()
+    assert none == [] if keys else (len(none), none[0]["n"], none[0]["v50"]) == (1, 0, None)
     for group in groups:
+        mine = [r for r in rows if not keys or r[0] == group[0]]
+        assert (got[group]["n"], got[group]["some"]) == (len(mine), sum(v is not None for _, v, _ in mine))
         for name, (column, q) in wanted.items():
             values = [x for k, *vw in rows if not keys or k == group[0] for x in [vw["vw".index(column)]] if x is not None and x == x]
             assert (got[group][name] is None) if not values else math.isclose(got[group][name], np.quantile(values, q), rel_tol=1e-9, abs_tol=1e-9)

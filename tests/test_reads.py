@@ -8,6 +8,7 @@ from lumenscape.operators import spatial
 from lumenscape.plans.analytics import ALL
 from lumenscape.plans.reads import READS, read
 from lumenscape.plans.scene_view import PROJECT, scene_events
+from lumenscape.sources.ingest import MESH
 
 NEEDED = {"funnel": {"steps": '[{"type": "session_start"}, {"type": "pointer_click", "mesh": "mesh_1"}]'}}
 
@@ -17,11 +18,13 @@ def events(spark, sf):
     return scene_events(spark, sf)
 
 
-def test_every_read_answers(events):
+def test_every_read_answers(spark, events):
+    proxies = spark.createDataFrame([(PROJECT, "lobby", datetime(2024, 1, 1), None, [])], f"project_id string, scene_id string, updated_at timestamp, label string, meshes array<{MESH.simpleString()}>")
     for name, wanted in READS.items():
         options = {"scene": "lobby", "source": "mouse", "session": "u7-w0", "camera_mode": "viewer", "region": "-9,-9,-9,9,9,9"}
         some = {k: v for k, v in options.items() if k in wanted.takes.split()}
-        assert read(events, name, PROJECT, since=datetime(2024, 1, 1), **some, **NEEDED.get(name, {})).schema, name
+        tables = {"proxies": proxies} if "proxies" in wanted.tables else {}
+        assert read(events, name, PROJECT, since=datetime(2024, 1, 1), **tables, **some, **NEEDED.get(name, {})).schema, name
 
 
 def test_cell_size_follows_region_then_bounds(spark, events):
@@ -39,7 +42,7 @@ def test_cell_size_follows_region_then_bounds(spark, events):
         ("nonsense", {}), ("world_heatmap", {"limit": 1001}), ("floor_plan", {"limit": 10_001}), ("trajectories", {"limit": 50_001}), ("rage_clicks", {"min_repeats": 1}), ("rage_clicks", {"interval": 61}),
         ("timeseries", {"interval": 0}), ("timeseries", {"interval": 1.5}), ("timeseries", {"event_type": "Not A Type"}), ("event_counts", {"source": "mouse"}), ("fps_histogram", {"bucket": 241}),
         ("rotation_rate", {"rapid_turn": 4.0}), ("top_meshes", {"source": "keyboard"}), ("list_sessions", {"camera_mode": "orbit"}), ("world_heatmap", {"region": "1,2,3"}), ("world_heatmap", {"cell_size": float("nan")}),
-        ("top_meshes", {"scene": "no spaces"}), ("top_meshes", {"session": "x" * 129}), ("flow_links", {"origin_voxel": "1,2"}), ("list_sessions", {"since": "yesterday"}), ("perf_summary", {"limit": 5}),
+        ("top_meshes", {"scene": "no spaces"}), ("top_meshes", {"session": "x" * 129}), ("flow_links", {"origin_voxel": "1,2"}), ("list_sessions", {"since": "yesterday"}), ("perf_summary", {"limit": 5}), ("session_events", {}), ("scene_representations", {}), ("scene_representation", {"scene": "lobby"}), ("scene_representation", {}),
     ],
 )
 def test_refused(events, name, options):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenscape.operators import volume
 from lumenscape.plans.analytics import ALL
 from lumenscape.plans.scene_view import scene_events
-from lumenscape.streaming import jobs, live
+from lumenscape.streaming import jobs
 from tests.test_golden import AGENT, EVENTS, T0
 
 BASE = datetime(2024, 1, 1, 12)
@@ -92,7 +92,7 @@ def present(spark):
     return spark.createDataFrame(rows, PRESENT)
 
 
-def test_presence(spark, tmp_path):
+def test_presence(spark):
     now = F.lit(BASE + timedelta(seconds=12))
     live = jobs.presence_at(present(spark), now)
     rows = {r.session_id: r for r in live.collect()}
@@ -100,10 +100,6 @@ def test_presence(spark, tmp_path):
     totals, roster = jobs.presence_snapshot(live, now)
     assert tuple(totals.first()) == ("p", 2, 2)
     assert [(r.session_id, r.activity) for r in roster.collect()] == [("d", "active"), ("a", "active")] and "visitor_id" not in roster.columns
-    path = str(tmp_path / "p")
-    present(spark).where("session_id in ('a', 'b')").coalesce(1).write.parquet(path)
-    got = drained(jobs.stream_presence(jobs.read_event_stream(spark, path)), "presence", spark, "update")
-    assert {(r.session_id, r.live) for r in got.collect()} >= {("a", True), ("b", False)}
 
 
 def test_backfill_and_firehose(spark):
