@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lumenscape.llm.queries import oracle_sql, queries
 from lumenscape.llm import language_id, mixing, order_minhash, packing, secret_ledger, token_rollup, tokenizers, toxicity
 from lumenscape.llm.common import new_folder
 from tests.llm.helpers import corpus, odd_rows, sentence, table
@@ -166,9 +167,8 @@ def test_ledger_scans_only_what_is_new(spark):
 
 def test_ids_equal_the_tokenizers_library():
     whole = Tokenizer.from_file(tokenizers.default_path())
-    whole.encode_special_tokens = True
     encode = tokenizers.encoder(tokenizers.default_path())
-    for text in ["", "a  b", "a \n\n b", " x\n\n\ny  ", "\t\t", "it's  we'll　　z", "<|endoftext|> hi", "日本語 é\x1c\x1c a", "a\x85\x85b \x1f c  ", "x   y", *[r[1] for r in corpus(20)]]:
+    for text in ["", "a  b", "a \n\n b", " x\n\n\ny  ", "\t\t", "it's  we'll　　z", "<|endoftext|> hi", "hello <|endoftext|> world<|endoftext|><|endoftext|>  x", "<|endoftext |> <|endoftext|", "日本語 é\x1c\x1c a", "a\x85\x85b \x1f c  ", "x   y", *[r[1] for r in corpus(20)]]:
         assert list(encode(text)) == whole.encode(text, add_special_tokens=False).ids, text
 
 
@@ -400,7 +400,7 @@ def test_labels_given_some_toxic_token():
 
     rng = np.random.default_rng(5)
     sample = toxicity.Sample(np.array([0, 1, 2, 1, 0, 2, 2]), np.array([4, 3]), np.array([1, 0]), np.array([0, 1]), ["ab", "cd", "ef"])
-    trainer = toxicity.Trainer(sample)
+    trainer = toxicity.Trainer(sample, 1e-5)
     trainer.model = toxicity.Field(rng.normal(scale=0.4, size=toxicity._TABLE), np.array([[0.0, -0.7], [0.3, 0.9]]), -0.2, -0.5)
     y, pairs = trainer.given_some_toxic()
     e = trainer.evidence()[sample.words[:4]]
@@ -463,3 +463,21 @@ def test_pair_tables_equal_plain_filters():
     x = rng.integers(0, 256, (9, language_id.WINDOW)).astype(np.uint8)
     net = language_id.fit_network(x, rng.integers(0, 2, 9), ["a", "b"], epochs=1)
     assert np.allclose(language_id.Predictor(net)(x), net.probabilities(net.pooled(x)[0]), atol=1e-5)
+
+
+def test_toxicity_of_the_given_labels(spark):
+    """A floor: of 97 held-out toxic documents at least 91 are found, of 728 clean ones at most 1 is not left alone."""
+    sf = "/root/testdata/sf0.1"
+    found = queries()["op5_crf_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    rows = [(r.toxic, r.predicted) for r in found.collect()]
+    assert sum(t for t, _ in rows) == 97 and rows.count((1, 1)) >= 91 and rows.count((0, 1)) <= 1
+
+
+def test_rollup_of_words_equals_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    cursor = con.execute(oracle_sql()["token_rollup_of_words"])
+    got = queries()["token_rollup_of_words"](spark, sf).select(*[d[0] for d in cursor.description])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(cursor.fetchall(), key=repr)
