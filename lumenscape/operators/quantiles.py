@@ -70,12 +70,13 @@ def summary_with_quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, t
     own = F.array(entry("", F.lit(None)))
     each = rows.withColumn("one", F.lit(1)).select(*keys, *inputs, "one", F.explode(F.concat(own, valued)).alias("x"))
     each = each.select(*keys, "x.of", band(F.col("x.value")).alias("band"), *[F.when(F.col("x.of") == "", F.col(c)).alias(c) for c in (*inputs, "one")])
-    carry = list(aggregates)
-    bands = each.groupBy(*keys, "of", "band").agg(F.count(F.lit(1)).alias("n"), *[a.alias(name) for name, a in aggregates.items()])
+    carry = [f"__{name}" for name in aggregates]
+    bands = each.groupBy(*keys, "of", "band").agg(F.count(F.lit(1)).alias("n"), *[a.alias(f"__{name}") for name, a in aggregates.items()])
     hits = wanted_bands(bands, keys, wanted, carry)
     # of the values only those of the bands found are dealt out again; a row without any stands for a group without any
     values = rows.select(*keys, F.explode(F.when(F.size(valued) > 0, valued).otherwise(own)).alias("x")).select(*keys, "x.of", "x.value", band(F.col("x.value")).alias("band"))
     same = null_safe([*keys, "of", "band"], "v", "h")
     found = values.alias("v").join(hits.alias("h"), same).select(*[f"v.{k}" for k in keys], "h.name", "h.at", "h.lo", "h.hi", "h.band", "h.before", "v.value", F.lit(1).alias("n"), *[f"h.{c}" for c in carry])
     out = ranked_values(found, keys, wanted, carry)
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}) if counts else out
+    told = [(F.coalesce(f"__{name}", F.lit(0)) if name in counts else F.col(f"__{name}")).alias(name) for name in aggregates]
+    return out.select(*keys, *told, *wanted)
