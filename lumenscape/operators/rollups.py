@@ -67,8 +67,10 @@ class Rollups:
 
 
 def _write(rows: DataFrame, path: str) -> None:
+    """By day; the values of a busy day are dealt out by ranges, the states of a day are few."""
     order = [c for c in ("project_id", "band", "value") if c in rows.columns]
-    rows.repartitionByRange("day", *order).sortWithinPartitions("day", *order).write.mode("overwrite").partitionBy("day").parquet(path)
+    dealt = rows.repartitionByRange("day", *order) if "value" in order else rows.repartition("day")
+    dealt.sortWithinPartitions("day", *order).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def _merged(rows: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from lumenscape.plans.scene_view import PROJECT
 #: Reads whose question has another name.
 _OTHER = {"list_scenes": "distinct_scenes", "event_counts": "event_type_counts", "camera_heatmap": "view_direction_heatmap", "flow_links": "flow"}
 #: Reads that need options, or whose question is registered with others than the defaults.
-_APART = {"session_meta", "session_events", "scene_representations", "scene_representation", "session_trajectory", "trajectories", "rage_clicks", "funnel"}
+_APART = {"session_meta", "session_events", "scene_representations", "scene_representation", "session_trajectory", "trajectories", "rage_clicks", "render_scale_truth", "funnel"}
 
 
 def _read(name: str, question: Query) -> Query:

@@ -270,6 +270,16 @@ def merged_rollups(e: DataFrame) -> Rollups:
     return kept
 
 
+def rollups_of_stream(e: DataFrame) -> Rollups:
+    """Rollups kept by a stream of files that arrive in two turns, each with events of all days."""
+    spark = e.sparkSession
+    source, kept, state = own_folder(spark, "stream-source"), own_folder(spark, "rollups"), own_folder(spark, "stream-state")
+    for turn in range(2):
+        e.where(F.col("event_id") % 2 == turn).write.mode("append").parquet(source)
+        jobs.streaming_rollups(jobs.read_event_stream(spark, source), kept, state).awaitTermination()
+    return Rollups(spark, kept)
+
+
 def streamed(e: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """make() over the events as a stream of files, run until all are read; results are kept as a table."""
     spark = e.sparkSession
@@ -555,6 +565,7 @@ SOURCES: dict[str, Query] = {
         "avg_fps min_fps p50_fps",
     ),
     # streams
+    "stream_perf_daily": Query(lambda e: volume.read_perf_daily(rollups_of_stream(e).perf_daily(ALL), ALL), ANALYTICS["perf_daily"].sql, "avg_fps min_fps p50_fps"),
     "stream_timeseries": Query(
         lambda e: streamed(e, jobs.stream_timeseries),
         f"SELECT {_BUCKET(3600)}, {N} AS events, avg(CASE WHEN event_type = 'frame_perf' THEN fps END) AS avg_fps FROM e GROUP BY bucket",

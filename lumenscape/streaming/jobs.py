@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lumenscape.operators.rollups import Rollups
 from lumenscape.sources.commits import CommitLog, stream_identity
 from lumenscape.sources.ingest import INGESTED, ingest_judged, judge, write_events
 
@@ -51,6 +52,20 @@ def ingested(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return CommitLog(spark, folder).read(table, INGESTED[table]).drop("commit")
 
 
+def streaming_rollups(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Daily rollups kept by a stream of the wide table: each micro-batch adds its states once, late days too; read them by Rollups."""
+    kept = Rollups(events.sparkSession, folder)
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows = rows.select("project_id", "event_type", "ts", "fps").persist()
+        try:
+            kept.append(rows, stream_identity(events.sparkSession, checkpoint), number)
+        finally:
+            rows.unpersist()
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def late(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("ts", delay)
 
