@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenscape.functions import geometry as g
+from lumenscape.operators.changes import keep_changes
 
 # Dead zones of gestures (degrees, degrees, ratio, share of the distance) and other defaults.
 GESTURE_ZONES = {"orbit": 1.0, "roll": 1.0, "zoom": 0.02, "pan": 0.005}
@@ -27,66 +25,6 @@ def frame_windows(frames: DataFrame, jank_ms: float = 50.0) -> DataFrame:
     return frames.groupBy("session_id", "window").agg(rank(0.95).alias("frame_time_p95_ms"), rank(0.99).alias("frame_time_p99_ms"), F.count_if(F.col("frame_ms") > jank_ms).alias("long_frames"))
 
 
-def keep_changes(rows: DataFrame, keys: list[str], columns: list[str], eps: float, below: bool = False) -> DataFrame:
-    """Rows that differ from the last row kept of their key (not from the row before) by more than eps in a column.
-
-    Columns are numbers or vectors; one that is missing on one side only differs. below: less than eps is unchanged,
-    eps itself is not. The comparison depends on what was kept, so a key's rows, in order of ts (and event_id, if there is
-    one), are one sorted stream: a task goes through its keys batch by batch and carries the last kept row, whatever their length.
-    """
-    order = [c for c in ("ts", "event_id") if c in rows.columns]
-    search = 256  # the next change is mostly near
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last = None, None
-        for batch in batches:
-            parts = [_numbers(batch.column(c)) for c in columns]
-            row = lambda i: [(values[i], missing[i]) for values, missing in parts]  # noqa: E731, B023
-            owner = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-            begins = [i for i in range(len(owner)) if not i or owner[i] != owner[i - 1]]
-            kept = np.zeros(len(owner), bool)
-            for begin, end in zip(begins, [*begins[1:], len(owner)]):
-                at = begin
-                if last is None or owner[begin] != of:
-                    of, last, kept[begin], at = owner[begin], row(begin), True, begin + 1
-                while at < end:
-                    some = slice(at, min(at + search, end))
-                    same = [_same(values[some], missing[some], *before, eps, below) for (values, missing), before in zip(parts, last)]
-                    changed = np.flatnonzero(~np.logical_and.reduce(same))
-                    if len(changed):
-                        found = at + int(changed[0])
-                        last, kept[found] = row(found), True
-                    at = found + 1 if len(changed) else some.stop
-            yield batch.filter(pa.array(kept))
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema)
-
-
-def _same(values: np.ndarray, missing: np.ndarray, last: np.ndarray, gone: np.ndarray, eps: float, below: bool) -> np.ndarray:
-    """Which rows are within eps of the last one in all components; vectors of different batches may have different lengths."""
-    width = max(values.shape[1], len(last))
-    if values.shape[1] < width:
-        values, missing = np.pad(values, ((0, 0), (0, width - values.shape[1]))), np.pad(missing, ((0, 0), (0, width - missing.shape[1])), constant_values=True)
-    if len(last) < width:
-        last, gone = np.pad(last, (0, width - len(last))), np.pad(gone, (0, width - len(gone)), constant_values=True)
-    gap = np.abs(values - last)
-    return ((gap < eps if below else gap <= eps) & ~missing & ~gone | missing & gone).all(axis=1)
-
-
-def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, components) of numbers or vectors, and which are missing. Times are milliseconds."""
-    if pa.types.is_timestamp(column.type):
-        values = column.cast(pa.timestamp("us", column.type.tz)).cast(pa.int64()).to_numpy(zero_copy_only=False).astype(float)[:, None] / 1000
-    elif pa.types.is_list(column.type):
-        lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-        values = np.full((len(column), max(1, int(lengths.max(initial=0)))), np.nan)
-        row = np.repeat(np.arange(len(column)), lengths)
-        values[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    else:
-        values = column.to_numpy(zero_copy_only=False).astype(float)[:, None]
-    return np.nan_to_num(values), np.isnan(values)
-
-
 def suppress_idle_fps(perf: DataFrame, threshold: float) -> DataFrame:
     return keep_changes(perf, ["session_id"], ["fps"], threshold)
 

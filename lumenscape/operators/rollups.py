@@ -31,16 +31,20 @@ class Rollups:
         self.log = CommitLog(spark, folder)
 
     def append(self, events: DataFrame, writer: str, number: int) -> bool:
-        """Add a batch of the wide table; False if this batch of this writer has been added before."""
-        frames = of_type(events, "frame_perf").select("project_id", F.to_date("ts").alias("day"), F.nanvl("fps", F.lit(None)).alias("fps"))
+        """Add a batch of the wide table; False if this batch of this writer has been added before. The batch is read once."""
+        rows = events.select("project_id", "event_type", "ts", "fps").persist()
+        frames = of_type(rows, "frame_perf").select("project_id", F.to_date("ts").alias("day"), F.nanvl("fps", F.lit(None)).alias("fps"))
         values = frames.where("fps is not null").groupBy(*_DAY, band(F.col("fps")).alias("band"), F.col("fps").alias("value")).agg(count().alias("n"))
         tables = {
-            "events": events_daily(events),
+            "events": events_daily(rows),
             "frames": frames.groupBy(*_DAY).agg(count().alias("samples"), F.sum("fps").alias("fps_sum"), F.count("fps").alias("fps_n"), F.min("fps").alias("min_fps")),
             "bands": values.groupBy(*_DAY, "band").agg(F.sum("n").alias("n")),
             "values": values,
         }
-        return self.log.commit(writer, number, {name: lambda path, t=table: _write(t, path) for name, table in tables.items()})
+        try:
+            return self.log.commit(writer, number, {name: lambda path, t=table: _write(t, path) for name, table in tables.items()})
+        finally:
+            rows.unpersist()
 
     def compact(self, number: int) -> int:
         """Merge all states into one of each day; how many commits there were."""

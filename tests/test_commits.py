@@ -45,6 +45,7 @@ def test_commits_are_whole_and_count_once(spark, tmp_path):
     assert log.read("a").groupBy("commit").count().count() == 3
     assert log.compact(0, {"a": lambda rows, p: write(rows)(p), "b": lambda rows, p: write(rows)(p)}) == 3
     assert log.compact(0, {}) == 0 and len(log.live()) == 1 and log.read("a").count() == 9 and log.read("b").count() == 15
+    assert log.vacuum(["a", "b"]) == 6 and log.vacuum(["a", "b"]) == 0 and log.read("a").count() == 9
     assert log.commit("w", 1, tables) is False and log.commit("w", 2, tables) and log.read("b").count() == 20
 
 

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenscape.functions.filters import Scope
-from lumenscape.operators import capture, derived, meshes
+from lumenscape.operators import capture, changes, derived, meshes
 from lumenscape.operators.asof import RANGE_S, asof_join, with_previous
 from lumenscape.operators.meshes import Step
+from lumenscape.sources import ingest
 
 BASE = datetime(2024, 1, 1)
 ROWS = "session_id string, ts timestamp, event_id long, v long"
@@ -88,7 +89,7 @@ def test_changes_are_one_stream_whatever_the_batches(spark, batch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         for eps, below in ((1.0, False), (1.0, True), (0.0, False)):
-            got = capture.keep_changes(df, ["session_id"], ["pose"], eps, below)
+            got = changes.keep_changes(df, ["session_id"], ["pose"], eps, below)
             assert sorted(r.event_id for r in got.collect()) == plain_changes(rows, eps, below)
         spaced = capture.thin(df, 7_200_000.0, ["session_id"])
         want = plain_changes([(s, t, i, [t.timestamp() * 1000]) for s, t, i, _ in rows], 7_200_000.0, True)
@@ -97,6 +98,23 @@ def test_changes_are_one_stream_whatever_the_batches(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_hot_channel_is_read_by_ranges(spark):
+    """A camera that wanders, rests for hours and creeps: most ranges are read side by side, the rest where nothing is sure."""
+    rng = random.Random(9)
+    rows, at = [], 0.0
+    for hour in range(60):
+        speed = rng.choice([0.0, 0.0, 0.02, 1.0])
+        for k in range(40):
+            at += speed * rng.uniform(-1, 1.2)
+            rows.append(("hot", BASE + timedelta(hours=hour, seconds=k * 80), len(rows), None if rng.random() < 0.01 else [at, 0.0]))
+    df = spark.createDataFrame(rows, "session_id string, ts timestamp, event_id long, pose array<double>")
+    for eps in (0.0, 0.3, 5.0):
+        got = changes.keep_changes(df, ["session_id"], ["pose"], eps)
+        assert sorted(r.event_id for r in got.collect()) == plain_changes(rows, eps, False)
+    plan = changes.keep_changes(df, ["session_id"], ["pose"], 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session_id" in plan and "__group" in plan
+
+
 @pytest.mark.parametrize("size", [0.5, 3.0, 40.0, 700.0, 1e7])
 def test_boxes_of_any_extent_meet_their_cells(spark, size):
     rng = random.Random(int(size))
@@ -107,3 +125,21 @@ def test_boxes_of_any_extent_meet_their_cells(spark, size):
     want = {name: sum(n + 1 for n, c in enumerate(cells) if all(math.ceil(b[i] - 1.0 - 0.5) <= c[i] <= math.floor(b[i + 3] + 1.0 - 0.5) for i in range(3))) for name, b in boxes}
     assert {r["name"]: r.visits for r in got.collect()} == want
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ndjson_sessions_share_files_and_long_ones_span_them(spark, tmp_path):
+    rng = random.Random(6)
+    lengths = {"long": 70, "a": 3, "b": 4, "c": 1}
+    rows = [(s, BASE + timedelta(seconds=rng.randrange(50)), f'{{"type":"custom","n":{i},"session":"{s}"}}') for s, n in lengths.items() for i in range(n)]
+    rows.append(("c", BASE, '{"type":"custom",\n"n":1}'))
+    path = str(tmp_path / "n")
+    ingest.write_session_ndjson(spark.createDataFrame(rows, "session_id string, ts timestamp, payload string"), path, lines_per_file=20)
+    index = spark.read.parquet(f"{path}/index").collect()
+    files = {r["file"] for r in index}
+    assert 1 < len(files) <= 4 and len([r for r in index if r["session_id"] == "long"]) > 1
+    for session in lengths:
+        want = [p.replace("\n", " ") for s, _, p in sorted(r for r in rows if r[0] == session)]
+        assert [r.value for r in ingest.read_session_ndjson(spark, path, session).orderBy("place").collect()] == want
+    assert ingest.read_session_ndjson(spark, path, "nobody").count() == 0
+    good, skipped = ingest.read_ndjson(spark, f"{path}/lines")
+    assert good.count() == len(rows) and skipped.first()[0] == 0
