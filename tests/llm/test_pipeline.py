@@ -55,7 +55,8 @@ def test_empty_corpus(spark, tmp_path):
 
 def test_queries_with_sql(spark, sf):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, sql in Q.oracle_sql().items():
         got = Q.queries()[name](spark, sf)
         cursor = con.execute(sql)
