@@ -212,7 +212,8 @@ def judge(batches: DataFrame, projects: DataFrame) -> DataFrame:
     """parse_batches() with a reason why a batch is rejected; null if it is accepted.
 
     A batch counts whole or not at all: 1 to 1000 events, all valid, of one known project. It is judged within its own
-    row, from one parse of its events; the one join is that with the projects, which Spark broadcasts if they are few.
+    row, from one parse of its events; the one join is that with the registered projects, a short list of ids that is
+    broadcast. Dealt by project, the batches of a busy one, parsed events and all, would be read by one task.
     """
     parsed = parse_batches(batches)
     named = F.transform("events", lambda x: x["e"]["projectId"])
@@ -220,7 +221,7 @@ def judge(batches: DataFrame, projects: DataFrame) -> DataFrame:
     seen = parsed.select("*", flaws.alias("problem"), F.array_min(named).alias("p0"), F.array_max(named).alias("p1"))
     known = projects.select(F.col("project_id").alias("p0"), F.lit(True).alias("known")).distinct()
     reason = F.when(~F.col("n_events").between(1, S.MAX_BATCH), "batch size").when(F.col("problem").isNotNull(), F.concat(F.lit("invalid: "), "problem")).when(F.col("p0") != F.col("p1"), "several projects").when(F.col("known").isNull(), "unknown project")
-    return seen.join(known, "p0", "left").withColumn("reason", reason).drop("problem", "p0", "p1", "known")
+    return seen.join(F.broadcast(known), "p0", "left").withColumn("reason", reason).drop("problem", "p0", "p1", "known")
 
 
 def accepted_events(judged: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from lumenscape.operators.rollups import Rollups
 from lumenscape.plans import capture_queries
 from lumenscape.plans.analytics import PART
 from lumenscape.plans.scene_view import PROJECT, scene_events
-from lumenscape.plans.source_queries import as_batches
+from lumenscape.plans.source_queries import as_batches, node_batches
 from lumenscape.sources import ingest
 from tests.conftest import ROOT
 
@@ -75,6 +75,14 @@ def test_admission_is_one_parse_within_the_row(spark, sf, tmp_path):
         assert text.count("from_json(StructField(type") <= 1
 
 
+def test_batches_are_not_dealt_out_by_project(spark, sf):
+    """Projects of unknown size are broadcast too: the batches of one project are not read by one task."""
+    projects = spark.createDataFrame([(PROJECT,)], "project_id string")
+    for part in ingest.ingest(node_batches(scene_events(spark, sf)), projects, "secret"):
+        text = part._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
 def test_prefixes_and_boxes_join_by_equality(spark, sf):
     children = capture_queries.rigid_children(scene_events(spark, sf))
     assert "NestedLoop" not in plan(children) and "CartesianProduct" not in plan(children)
