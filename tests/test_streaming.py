@@ -83,6 +83,15 @@ def test_streaming_ingest(spark, tmp_path):
     assert [jobs.ingested(spark, out, t).count() for t in ("events", "node_samples", "quarantine")] == [14, 0, 1]
 
 
+def test_one_file_of_batches_is_parsed_by_many_tasks(spark, tmp_path):
+    rows = [(f"b{i}", json.dumps({"events": []}), T0.replace(tzinfo=None), "ip", AGENT) for i in range(40)]
+    spark.createDataFrame(rows, "batch_id string, body string, received_at timestamp, ip string, user_agent string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    projects = spark.createDataFrame([("parity-project",)], "project_id string")
+    jobs.streaming_ingest(jobs.read_event_stream(spark, str(tmp_path / "in")), projects, "secret", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    rejected = jobs.ingested(spark, str(tmp_path / "out"), "quarantine")
+    assert rejected.count() == 40 and rejected.select(F.input_file_name()).distinct().count() > 1
+
+
 PRESENT = "project_id string, session_id string, event_type string, visitor_id string, scene_id string, received_at timestamp, event_id long"
 
 
