@@ -1,4 +1,7 @@
-"""Rows that differ from the last row kept of their key: a fold, split by ranges of time.
+"""Rows that differ from the last row kept of their key: a fold; long keys are split by ranges of time.
+
+Most keys are short, and each is one sorted stream. A key of more than RANGE_ROWS rows is split into ranges of
+neighbouring hours that have about so many rows each, so a sparse key is never split into ranges of a row or two.
 
 What is kept in a range depends on the last row kept before it. Most ranges forget it: once a row is kept whatever came before,
 all that follows is the same. So a first pass takes each range on its own, as if its first row were kept, and tells in one
@@ -13,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lumenscape.operators.asof import time_range
 from lumenscape.operators.quantiles import null_safe
 
-#: Rows compared at once; the next change is mostly near.
-_SEARCH = 256
-_PART, _GROUP, _STATE = "__range", "__group", "__state"
+#: Rows of one range of a long key, as far as whole hours allow.
+RANGE_ROWS = 100_000
+#: Rows compared at once, at first and at most; the next change is mostly near.
+_NEAR, _SEARCH = 16, 4096
+_HOUR, _PART, _GROUP, _STATE = "__hour", "__range", "__group", "__state"
 _ROW = pa.list_(pa.list_(pa.float64()))
 
 
@@ -29,21 +34,42 @@ class Columns:
 
     def __init__(self, columns: list[pa.Array]):
         self.parts = [_numbers(c) for c in columns]
+        self.values, self.missing = (np.hstack(side) for side in zip(*self.parts))
+        self.some_missing = bool(self.missing.any())
 
     def row(self, i: int) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(values[i], missing[i]) for values, missing in self.parts]
 
     def next_change(self, at: int, end: int, last: list, eps: float, below: bool) -> int:
-        """The first row from at on that differs from `last`, or end."""
+        """The first row from at on that differs from `last`, a row of any batch, or end."""
+        step = _NEAR
         while at < end:
-            some = slice(at, min(at + _SEARCH, end))
+            some = slice(at, min(at + step, end))
             same = [_same(values[some], missing[some], *before, eps, below) for (values, missing), before in zip(self.parts, last)]
             changed = np.flatnonzero(~np.logical_and.reduce(same))
             if len(changed):
                 return at + int(changed[0])
-            at = some.stop
+            at, step = some.stop, min(2 * step, _SEARCH)
         return end
 
+    def changes(self, at: int, end: int, eps: float, below: bool) -> list[int]:
+        """Rows that are kept from at on, which is kept itself."""
+        kept, last, step, at = [at], at, _NEAR, at + 1
+        while at < end:
+            some = slice(at, min(at + step, end))
+            gap = np.abs(self.values[some] - self.values[last])
+            near = gap < eps if below else gap <= eps
+            if self.some_missing:
+                near = (near | self.missing[some]) & (self.missing[some] == self.missing[last])
+            changed = ~near.all(axis=1)
+            first = int(changed.argmax())
+            if changed[first]:
+                last, at, step = at + first, at + first + 1, _NEAR
+                kept.append(last)
+            else:
+                at, step = some.stop, min(2 * step, _SEARCH)
+        return kept
+
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if pa.types.is_timestamp(column.type):
@@ -134,7 +160,15 @@ def _runs(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, int, in
         yield owner[begin], begin, end
 
 
-def keep_changes(rows: DataFrame, keys: list[str], columns: list[str], eps: float, below: bool = False) -> DataFrame:
+def ranges_of(rows: DataFrame, keys: list[str], range_rows: int) -> DataFrame:
+    """keys, _HOUR and _PART: which range of about range_rows rows each hour of a key is part of."""
+    hours = rows.groupBy(*keys, time_range("ts").alias(_HOUR)).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy(_HOUR).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return hours.select(*keys, _HOUR, F.floor(before / range_rows).alias(_PART))
+
+
+def keep_changes(rows: DataFrame, keys: list[str], columns: list[str], eps: float, below: bool = False, range_rows: int | None = None) -> DataFrame:
     """Rows that differ from the last row kept of their key (not from the row before) by more than eps in a column.
 
     Columns are numbers or vectors; one that is missing on one side only differs. below: less than eps is unchanged,
@@ -142,7 +176,12 @@ def keep_changes(rows: DataFrame, keys: list[str], columns: list[str], eps: floa
     """
     names = rows.columns
     order = [c for c in ("ts", "event_id") if c in names]
-    ranged = rows.withColumn(_PART, time_range("ts"))
+    most = range_rows or RANGE_ROWS
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    long = F.broadcast(sizes.where(F.col("n") > most).select(*keys))  # at most one of `most` rows
+    parted = lambda how: rows.alias("r").join(long.alias("s"), null_safe(keys, "r", "s"), how)
+    hourly = parted("left_semi").withColumn(_HOUR, time_range("ts"))
+    ranged = hourly.alias("r").join(ranges_of(parted("left_semi"), keys, most).alias("s"), null_safe([*keys, _HOUR], "r", "s")).select(*[F.col(f"r.{c}") for c in names], _PART)
     by = [*keys, _PART]
     told = ranged.select(*dict.fromkeys([*by, *order, *columns])).repartition(*by).sortWithinPartitions(*by, *order)
     typed = {f.name: f.dataType for f in ranged.schema.fields}
@@ -172,8 +211,8 @@ def keep_changes(rows: DataFrame, keys: list[str], columns: list[str], eps: floa
                 new = np.flatnonzero(bounds.beyond(data, slice(begin, end), eps, below))
                 if len(new):  # the first such row and the last
                     apart = [apart[0] if apart else data.row(begin + int(new[0])), data.row(begin + int(new[-1]))]
-                while (at := data.next_change(at, end, last, eps, below)) < end:
-                    last, at = data.row(at), at + 1
+                if (at := data.next_change(at, end, last, eps, below)) < end:
+                    last = data.row(data.changes(at, end, eps, below)[-1])
         if first is not None:
             yield row()
 
@@ -211,14 +250,15 @@ def keep_changes(rows: DataFrame, keys: list[str], columns: list[str], eps: floa
                 if of is None or group != of:
                     of, given = group, states[begin].as_py()
                     last = None if given is None else _unlisted(given)
-                    if last is None:
-                        last, kept[begin], at = data.row(begin), True, begin + 1
-                while (at := data.next_change(at, end, last, eps, below)) < end:
-                    last, kept[at], at = data.row(at), True, at + 1
+                if last is None or (at := data.next_change(at, end, last, eps, below)) < end:
+                    changed = data.changes(at, end, eps, below)
+                    kept[changed] = True
+                    last = data.row(changed[-1]) if end == batch.num_rows else last
             yield batch.select(names).filter(pa.array(kept))
 
     short = told.mapInArrow(tell, told_type)
     starts = short.repartition(*keys).sortWithinPartitions(*by).mapInArrow(follow, start_type)
     joined = ranged.alias("r").join(starts.alias("s"), null_safe(by, "r", "s")).select(*[F.col(f"r.{c}") for c in names], _GROUP, _STATE)
-    dealt = joined.repartition(*keys, _GROUP).sortWithinPartitions(*keys, _GROUP, *order)
+    whole = parted("left_anti").select(*names, F.lit(None).cast("long").alias(_GROUP), F.lit(None).cast(nested).alias(_STATE))
+    dealt = whole.union(joined).repartition(*keys, _GROUP).sortWithinPartitions(*keys, _GROUP, *order)
     return dealt.mapInArrow(run, rows.schema)

@@ -115,6 +115,20 @@ def test_a_hot_channel_is_read_by_ranges(spark):
     assert "hashpartitioning(session_id" in plan and "__group" in plan
 
 
+@pytest.mark.parametrize("range_rows", [1, 100, 100_000])
+def test_only_long_channels_are_split(spark, range_rows):
+    """Ranges are sized by rows, so that a channel with a row an hour is one stream and not as many ranges as rows."""
+    rng = random.Random(12)
+    rows = [(f"s{i % 30}" if i % 2 else rng.choice(["hot", None]), BASE + timedelta(minutes=47 * i), i, None if rng.random() < 0.02 else [rng.uniform(0, 3), 0.0][: 1 if rng.random() < 0.02 else 2]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "session_id string, ts timestamp, event_id long, pose array<double>")
+    want = plain_changes([(s or "", *rest) for s, *rest in rows], 1.0, False)
+    assert sorted(r.event_id for r in changes.keep_changes(df, ["session_id"], ["pose"], 1.0, range_rows=range_rows).collect()) == want
+    parts = changes.ranges_of(df, ["session_id"], range_rows).groupBy("session_id").agg(F.countDistinct("__range").alias("n"))
+    ranges = {r.session_id: r.n for r in parts.collect()}
+    assert ranges["s1"] == {1: 40}.get(range_rows, 1)  # it has 40 rows, one an hour
+    assert range_rows != 100 or 2 <= ranges["hot"] <= 5
+
+
 @pytest.mark.parametrize("size", [0.5, 3.0, 40.0, 700.0, 1e7])
 def test_boxes_of_any_extent_meet_their_cells(spark, size):
     rng = random.Random(int(size))
