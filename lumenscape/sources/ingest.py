@@ -368,14 +368,17 @@ def write_session_ndjson(timeline: DataFrame, path: str, lines_per_file: int = L
 
     Beside lines/ an index tells which lines of which file (counted from 0) are a session's, so that one is read without the others.
     """
-    files = max(1, -(-timeline.count() // lines_per_file))
     order = ["session_id", "ts", "payload"]
-    dealt = timeline.select(*order).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    # as many ranges as Spark deals out, whatever the number of files: bounds are sampled from short keys
+    dealt = timeline.select(*order).repartitionByRange("session_id", "ts").sortWithinPartitions(*order)
     number = F.monotonically_increasing_id()
-    placed = dealt.select("session_id", F.shiftright(number, 33).alias("file"), number.bitwiseAND((1 << 33) - 1).alias("line"), F.regexp_replace("payload", "[\\r\\n]+", " ").alias("value"))
-    placed.write.parquet(f"{path}/placed")  # files and lines are numbered once, for the texts and for the index
-    kept = timeline.sparkSession.read.parquet(f"{path}/placed")
-    kept.repartition(files, "file").sortWithinPartitions("file", "line").select("file", "value").write.partitionBy("file").text(f"{path}/lines")
+    placed = dealt.select("session_id", F.shiftright(number, 33).alias("part"), number.bitwiseAND((1 << 33) - 1).alias("at"), F.regexp_replace("payload", "[\\r\\n]+", " ").alias("value"))
+    placed.write.parquet(f"{path}/placed")  # lines are numbered once, for the texts and for the index
+    rows = timeline.sparkSession.read.parquet(f"{path}/placed")
+    most = rows.agg(F.max("at")).first()[0] or 0  # of any range
+    place = [(F.col("part") * (most // lines_per_file + 1) + F.expr(f"at div {lines_per_file}")).alias("file"), (F.col("at") % lines_per_file).alias("line")]
+    kept = rows.select("session_id", *place, "value")
+    kept.repartition("file").sortWithinPartitions("file", "line").select("file", "value").write.partitionBy("file").text(f"{path}/lines")
     kept.groupBy("session_id", "file").agg(F.min("line").alias("first"), F.max("line").alias("last")).sort("session_id").write.parquet(f"{path}/index")
 
 

@@ -157,3 +157,19 @@ def test_ndjson_sessions_share_files_and_long_ones_span_them(spark, tmp_path):
     assert ingest.read_session_ndjson(spark, path, "nobody").count() == 0
     good, skipped = ingest.read_ndjson(spark, f"{path}/lines")
     assert good.count() == len(rows) and skipped.first()[0] == 0
+
+
+def test_files_of_sessions_are_not_tasks(spark, tmp_path):
+    """How many files there are does not set how many tasks write them, nor how many keys are sampled to the driver."""
+    rows = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 100).alias("session_id"), F.timestamp_seconds("id").alias("ts"), F.format_string('{"type":"custom","n":%d}', "id").alias("payload"))
+    path, tracker = str(tmp_path / "n"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ndjson", "ndjson")
+    try:
+        ingest.write_session_ndjson(rows, path, lines_per_file=10)
+        stages = {s for job in tracker.getJobIdsForGroup("ndjson") for s in tracker.getJobInfo(job).stageIds}
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) < 50
+    index = spark.read.parquet(f"{path}/index")
+    assert index.select("file").distinct().count() >= 300 and index.agg(F.max("last")).first()[0] == 9
+    assert [r.value for r in ingest.read_session_ndjson(spark, path, "s7").collect()] == [f'{{"type":"custom","n":{n}}}' for n in range(7, 3000, 100)]
