@@ -16,6 +16,12 @@ _HITS = "t IN ('camera_sample', 'pointer_click', 'pointer_move') AND i % 13 <> 0
 
 def scene_sql(spark: bool) -> str:
     """SELECT over a view `events` that gives the wide schema, with event_id as the tie-break."""
+    steps, columns = _parts(spark)
+    return f"{steps}{columns}\nFROM sourced\n"
+
+
+def _parts(spark: bool) -> tuple[str, str]:
+    """The steps up to `sourced`, where a row has its session, type and source, and the SELECT of its columns."""
 
     def vec(condition: str, *parts: str) -> str:
         items = ", ".join(f"CAST({p} AS DOUBLE)" for p in parts)
@@ -41,7 +47,7 @@ def scene_sql(spark: bool) -> str:
     if not spark:
         own = own.replace("STRING", "VARCHAR")
     text = "STRING" if spark else "VARCHAR"
-    return f"""
+    steps = f"""
 WITH raw AS (
   SELECT event_id AS i, CAST(ts AS TIMESTAMP) AS ts, user_id, value, {k} AS k,
     'u' || CAST(user_id AS {text}) || '-w' || CAST(CAST(floor((day(ts) - 1) / 7e0) AS INT) AS {text}) AS session_id
@@ -57,7 +63,8 @@ typed AS (
 sourced AS (
   SELECT *, CASE WHEN NOT ({_INPUT}) THEN 'mouse' WHEN (i * 7) % 11 < 7 THEN 'mouse' WHEN (i * 7) % 11 < 9 THEN 'touch'
     WHEN (i * 7) % 11 = 9 THEN 'xr-controller' ELSE 'hand' END AS source FROM typed)
-SELECT i AS event_id, '{PROJECT}' AS project_id, session_id, 'v' || CAST(user_id AS {text}) AS visitor_id, t AS event_type, ts,
+"""
+    return steps, f"""SELECT i AS event_id, '{PROJECT}' AS project_id, session_id, 'v' || CAST(user_id AS {text}) AS visitor_id, t AS event_type, ts,
   '0.1.0' AS sdk_version, '' AS url, {pick('user_id % 3', 'lobby', 'atrium', 'gallery')} AS scene_id, source, '' AS handedness, '' AS source_id,
   {vec("t = 'pointer_click' AND source IN ('xr-controller', 'hand')", '((i * 41) % 97) / 10e0 - 5.013e0', '1.613e0', '((i * 43) % 89) / 10e0 - 4.517e0')} AS ray_origin,
   {vec("t = 'pointer_click' AND source IN ('xr-controller', 'hand')", '0e0', '0e0', '1e0')} AS ray_direction,
@@ -77,19 +84,46 @@ SELECT i AS event_id, '{PROJECT}' AS project_id, session_id, 'v' || CAST(user_id
   {num(gpu, 'value * 1000')} AS texture_bytes, {num(gpu, 'value * 500')} AS geometry_bytes, {num(gpu, 'value * 30')} AS triangles, {num(gpu, 'value * 20')} AS vertices, {num(gpu, 'value * 4000')} AS js_heap_bytes,
   CASE WHEN t = 'capability_change' THEN {pick('user_id % 2', 'high', 'low')} ELSE '' END AS cap_from, CASE WHEN t = 'capability_change' THEN {pick('(k + user_id) % 2', 'medium', 'low')} ELSE '' END AS cap_to,
   {num("t = 'camera_sample' AND i % 3 <> 0", '1.0471975511965976e0')} AS fov, {num("t = 'camera_sample' AND i % 3 <> 0", '1.777e0')} AS aspect, {num("t = 'camera_sample' AND i % 3 <> 0", '0.1e0')} AS near,
-  CASE t WHEN 'session_start' THEN {start} WHEN 'graphics_diagnostic' THEN {diagnostic} WHEN 'custom' THEN {own} ELSE '{{"type":"' || t || '"}}' END AS payload
-FROM sourced
-"""
+  CASE t WHEN 'session_start' THEN {start} WHEN 'graphics_diagnostic' THEN {diagnostic} WHEN 'custom' THEN {own} ELSE '{{"type":"' || t || '"}}' END AS payload"""
 
 
 #: Folder of the written table by application and data folder.
 _WRITTEN: dict[tuple[str, str], str] = {}
 
+#: Spark runs a stage's operators one by one where their fused method is larger than this.
+_FUSED = "spark.sql.codegen.hugeMethodLimit"
+
+
+def _of_events(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    text = text.replace("{", "{{").replace("}", "}}").replace("FROM events)", "FROM {events})")
+    return spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
 
 def scene_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scene events of one data folder, worked out anew."""
-    text = scene_sql(spark=True).replace("{", "{{").replace("}", "}}").replace("FROM events)", "FROM {events})")
-    return spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return _of_events(spark, sf_dir, scene_sql(spark=True))
+
+
+def write_scene_events(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the scene events as the event sink keeps them.
+
+    Only what the steps give is sampled, shuffled and sorted; the many columns of a row are worked out as it is written.
+    All rows are of one project, so its folder is named here: Spark drops a column of one value from a sort. Fused into one
+    method, those columns are too much for the JVM to compile (over 8,000 bytes), so the limit for fusing is lowered for this write.
+    """
+    steps, columns = _parts(spark=True)
+    columns = columns.replace("{", "{{").replace("}", "}}")
+
+    def widen(rows: DataFrame) -> DataFrame:
+        return spark.sql(f"{columns}, event_date FROM {{rows}}", rows=rows.withColumnRenamed("event_type", "t")).drop("project_id")
+
+    rows = _of_events(spark, sf_dir, f"{steps}SELECT * FROM sourced").withColumnRenamed("t", "event_type")
+    before = spark.conf.get(_FUSED, None)
+    spark.conf.set(_FUSED, 8000)
+    try:
+        write_events(rows, f"{path}/project_id={PROJECT}", widen=widen)
+    finally:
+        spark.conf.set(_FUSED, before) if before is not None else spark.conf.unset(_FUSED)
 
 
 def scene_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +139,6 @@ def scene_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             if "PATH_NOT_FOUND" not in str(gone):
                 raise
     path = own_folder(spark, "scene-events")
-    write_events(scene_view(spark, sf_dir), path)
+    write_scene_events(spark, sf_dir, path)
     _WRITTEN[key] = path
     return spark.read.parquet(path)

@@ -224,10 +224,10 @@ def proxy_log(e: DataFrame) -> DataFrame:
 def registry(e: DataFrame) -> ingest.SceneRegistry:
     """The writes of proxy_log() in four commits, each sent twice; after the third the view so far takes their place."""
     kept = ingest.SceneRegistry(e.sparkSession, own_folder(e.sparkSession, "registry"))
-    writes = proxy_log(e).withColumn("part", F.floor(F.day("updated_at") / 8))
     for number in range(4):
+        writes = proxy_log(e.where(F.floor(F.day("event_date") / 8) == number))  # reads these days only
         for _ in range(2):
-            kept.put(writes.where(F.col("part") == number).drop("part"), "sent", number)
+            kept.put(writes, "sent", number)
         if number == 2:
             kept.snapshot(0)
     return kept

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lumenscape import schema as S
@@ -326,14 +328,19 @@ def node_events(samples: DataFrame) -> DataFrame:
     return samples.select("project_id", "session_id", "ts", F.lit("node_transform").alias("event_type"), payload.alias("payload"))
 
 
-def write_events(rows: DataFrame, path: str, mode: str = "append") -> None:
+def write_events(rows: DataFrame, path: str, mode: str = "append", widen: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Append (or overwrite), partitioned for pruning by project and day and sorted for skipping within files.
 
-    Rows are dealt by ranges of project, day, type and session, so that a busy day is written by many tasks.
+    Rows are dealt by ranges of project, day, type and session, so that a busy day is written by many tasks. Dealing samples
+    the rows first, so they are worked out twice: widen is given the dealt and sorted rows, with event_date, and adds the columns that have no part in that.
+    Rows without project_id are of one project, whose folder path is.
     """
-    dated = rows.withColumn("inserted_at", F.current_timestamp()).withColumn("event_date", F.to_date("ts"))
-    order = ["project_id", "event_date", *[c for c in ("event_type", "node_id", "session_id", "ts") if c in dated.columns]]
-    dated.repartitionByRange(*order[:-1]).sortWithinPartitions(*order).write.mode(mode).partitionBy("project_id", "event_date").parquet(path)
+    dated = rows.withColumn("event_date", F.to_date("ts"))
+    folders = [c for c in ("project_id", "event_date") if c in dated.columns]
+    order = [*folders, *[c for c in ("event_type", "node_id", "session_id", "ts") if c in dated.columns]]
+    dealt = dated.repartitionByRange(*order[:-1]).sortWithinPartitions(*order)
+    out = (widen(dealt) if widen else dealt).withColumn("inserted_at", F.current_timestamp())
+    out.write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def ingest_judged(judged: DataFrame, secret: str) -> tuple[DataFrame, DataFrame, DataFrame]:
