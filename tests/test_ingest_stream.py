@@ -25,6 +25,20 @@ def test_micro_batches_do_not_grow_with_the_events(spark, sf, monkeypatch):
     assert sum(n for (part, _), n in rows.items() if part == "quarantine") == events.where("event_id % 14 <> 0").count()
 
 
+def test_finished_rows_are_the_three_tables(spark, sf):
+    """What a micro-batch keeps has no parsed event, and its parts are those that are worked out one by one."""
+    events = scene_events(spark, sf)
+    batches = source_queries.flawed_batches(events).union(source_queries.node_batches(events)).union(source_queries.as_batches(events))
+    judged = I.judge(batches, spark.createDataFrame([(PROJECT,)], "project_id string")).persist()
+    finished = I.finished_rows(judged, "secret").persist()
+    assert not re.search("variant|struct", finished.schema.simpleString().removeprefix("struct"))
+    for got, want in zip(I.split_finished(finished), I.ingest_judged(judged, "secret"), strict=True):
+        assert got.schema.names == want.schema.names and want.count() > 0
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    judged.unpersist()
+    finished.unpersist()
+
+
 def test_rules_read_the_top_of_an_event_once():
     """By a path only the type and what lies in an object of the event are read, never a field at its top."""
     assert set(re.findall(r"'\$\.(\w+)'", I.event_problem())) - {f.partition(".")[0] for r in (I.ENVELOPE, *I.RULES.values()) for f in r if "." in f} == {"type"}
